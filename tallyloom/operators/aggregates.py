@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import half_even
+
 from tallyloom.operators.filters import drop_censored
 
 
@@ -38,7 +40,7 @@ def catalog_stats(sale: DataFrame) -> DataFrame:
     s = product_stats(sale)
     active = F.col("observed_days") - F.col("censored_days")
     return s.withColumn("active_tally_dates", active).withColumn(
-        "adus", F.when(active > 0, F.bround(F.col("weighted_units") / active, 4)).otherwise(F.lit(0.0)))
+        "adus", F.when(active > 0, half_even(F.col("weighted_units") / active, 4)).otherwise(F.lit(0.0)))
 
 
 def monthly(sale: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import half_even
+
 from tallyloom.operators.aggregates import fsn_base, product_stats
 
 THRESHOLDS = (0.75, 0.80, 0.85)
@@ -57,7 +59,7 @@ def fsn_sensitivity(products: DataFrame, stats: DataFrame, thresholds=(75, 80, 8
     return labelled.join(fast, "i").select(
         F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("i") + 1).alias("threshold"), "F",
         (F.col("n_moving") - F.col("F")).alias("S"), (n_products - F.col("n_moving")).alias("N"),
-        F.bround("cutoff", 4).alias("cutoff"))
+        half_even(F.col("cutoff"), 4).alias("cutoff"))
 
 
 def fsn_as_of(sale: DataFrame, origins: DataFrame, rules: dict[str, int], horizon: int = 30) -> DataFrame:
@@ -120,7 +122,7 @@ def term_velocity(sale: DataFrame, terms: DataFrame) -> DataFrame:
     s = product_stats(sale.join(F.broadcast(days), "day"), ["product_id", "semester_id"])
     active = F.col("observed_days") - F.col("censored_days")
     return s.select("product_id", "semester_id", F.col("total_units").alias("units"), active.alias("active_days"),
-                    F.when(active > 0, F.bround(F.col("weighted_units") / active, 4)).otherwise(0.0).alias("adus"))
+                    F.when(active > 0, half_even(F.col("weighted_units") / active, 4)).otherwise(0.0).alias("adus"))
 
 
 def decision_rules(classes: DataFrame, sale: DataFrame, calendar: DataFrame, threshold: float = REVIEW_THRESHOLD,

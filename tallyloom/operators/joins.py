@@ -94,7 +94,8 @@ def nearest_month_stock(asked: DataFrame, stock: DataFrame) -> DataFrame:
     point = F.when(F.col("q").isNotNull(), F.struct("month_no", "q"))
     w = Window.partitionBy("product_id").orderBy("month_no")
     day = day.withColumn("__p", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    day = day.withColumn("__f", F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    ahead_w = Window.partitionBy("product_id").orderBy(F.desc("month_no"))
+    day = day.withColumn("__f", F.last(point, ignorenulls=True).over(ahead_w.rowsBetween(Window.unboundedPreceding, 0)))
     back = F.col("month_no") - F.col("__p.month_no")
     ahead = F.col("__f.month_no") - F.col("month_no")
     use_back = F.col("__p").isNotNull() & (F.col("__f").isNull() | (back <= ahead))

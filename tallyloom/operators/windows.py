@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import half_even
+
 GAP_CAP_DAYS = 30
 SUPPLY_WINDOW = 28
 
@@ -31,7 +33,7 @@ def month_running(rows: DataFrame, order: list[str]) -> DataFrame:
 def depletion_rate(days: DataFrame) -> DataFrame:
     w = Window.partitionBy("product_id").orderBy("day")
     gap = F.least(F.datediff("day", F.lag("day").over(w)), F.lit(GAP_CAP_DAYS))
-    return days.withColumn("depletion_rate", F.bround(F.col("day_units") / gap, 4))
+    return days.withColumn("depletion_rate", half_even(F.col("day_units") / gap, 4))
 
 
 def stock_on_hand(days: DataFrame, counts: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def stock_state(on_hand: DataFrame) -> DataFrame:
     d = on_hand.withColumn("broken", broken).withColumn("rate", rate)
     known = F.col("counted").isNotNull() & F.col("broken").isNull()
     return d.withColumn("is_censored", F.when(known, (F.col("on_hand") <= 0).cast("int"))).withColumn(
-        "days_of_supply", F.when(known & (F.col("rate") > 0), F.bround(
+        "days_of_supply", F.when(known & (F.col("rate") > 0), half_even(
             F.greatest("on_hand", F.lit(0)) / F.col("rate"), 2)))
 
 
@@ -74,35 +76,48 @@ def trailing_rate(daily: DataFrame, origin, window: int, observed: DataFrame) ->
 
 
 def causal_features(series: DataFrame, key: str = "sku") -> DataFrame:
-    """Features of each day computed from strictly earlier days."""
-    w = Window.partitionBy(key).orderBy("pos")
+    """Features of each day computed from strictly earlier days.
 
-    def tail(k):
-        return w.rowsBetween(-k, -1)
-
-    qty, nz = F.col("qty"), (F.col("qty") > 0).cast("double")
-    out = series
+    Window sums come from differences of running sums, so a feature costs the
+    same for any window length; only the maxima need a moving frame.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    qty, pos = F.col("qty"), F.col("pos")
+    out = (series.withColumn("__c1", F.coalesce(F.sum(qty).over(past), F.lit(0.0)))
+           .withColumn("__c2", F.coalesce(F.sum(qty * qty).over(past), F.lit(0.0)))
+           .withColumn("__cn", F.coalesce(F.sum((qty > 0).cast("double")).over(past), F.lit(0.0)))
+           .withColumn("__last", F.last(F.when(qty > 0, pos), ignorenulls=True).over(past)))
+    for k in (30, 90):
+        out = out.withColumn(f"max_{k}", F.max(qty).over(w.rowsBetween(-k, -1)))
     for k in (1, 7, 14, 30):
         out = out.withColumn(f"lag_{k}", F.coalesce(F.lag("qty", k).over(w), F.lit(0.0)))
     for k in (7, 14, 30, 60, 90):
-        out = out.withColumn(f"mean_{k}", F.avg(qty).over(tail(k)))
-    for k in (30, 90):
-        out = (out.withColumn(f"std_{k}", F.stddev_pop(qty).over(tail(k))).withColumn(f"max_{k}", F.max(qty).over(tail(k)))
-               .withColumn(f"share_{k}", F.avg(nz).over(tail(k))))
-    for k in (30, 60, 90):
-        out = out.withColumn(f"sum_{k}", F.sum(qty).over(tail(k)))
-    last = F.last(F.when(qty > 0, F.col("pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("days_since", F.least(F.coalesce(F.col("pos") - 1 - last, F.least(F.col("pos"), F.lit(90))), F.lit(90)))
-    prev = F.avg(qty).over(w.rowsBetween(-60, -31))
-    out = out.withColumn("trend", F.when(F.col("pos") >= 60, F.col("mean_30") - prev))
-    return out.withColumn("ratio", F.when(F.col("mean_90") > 0, F.col("mean_30") / F.col("mean_90")).otherwise(0.0)).withColumn(
-        "weekday", F.col("pos") % 7)
+        for c in ("__c1", "__c2", "__cn"):
+            if c == "__c1" or k in (30, 90):
+                out = out.withColumn(f"{c}_{k}", F.col(c) - F.coalesce(F.lag(c, k).over(w), F.lit(0.0)))
+    for k in (7, 14, 30, 60, 90):
+        size = F.nullif(F.least(pos, F.lit(k)), F.lit(0))
+        out = out.withColumn(f"mean_{k}", F.col(f"__c1_{k}") / size)
+        if k in (30, 60, 90):
+            out = out.withColumn(f"sum_{k}", F.col(f"__c1_{k}"))
+        if k in (30, 90):
+            spread = F.col(f"__c2_{k}") / size - F.pow(F.col(f"__c1_{k}") / size, F.lit(2.0))
+            out = out.withColumn(f"std_{k}", F.sqrt(F.greatest(spread, F.lit(0.0))))
+            out = out.withColumn(f"share_{k}", F.col(f"__cn_{k}") / size)
+    out = out.withColumn("days_since", F.least(
+        F.coalesce(pos - 1 - F.col("__last"), F.least(pos, F.lit(90))), F.lit(90)))
+    prev = (F.col("__c1_60") - F.col("__c1_30")) / 30
+    out = out.withColumn("trend", F.when(pos >= 60, F.col("mean_30") - prev))
+    out = out.withColumn("ratio", F.when(F.col("mean_90") > 0, F.col("mean_30") / F.col("mean_90")).otherwise(0.0))
+    return out.withColumn("weekday", pos % 7).drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def next_sale_weeks(series: DataFrame, max_weeks: int, key: str = "sku") -> DataFrame:
     """Weeks to the next sale from each day on, right-censored at the end."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("qty") > 0, F.col("pos")), ignorenulls=True).over(w)
+    # the next sale is the last one seen when days are read backwards
+    w = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.last(F.when(F.col("qty") > 0, F.col("pos")), ignorenulls=True).over(w)
     weeks = F.coalesce(F.floor((nxt - F.col("pos")) / 7) + 1, F.floor((F.col("n") - F.col("pos")) / 7))
     seen = nxt.isNotNull() & (weeks <= max_weeks)
     return series.withColumn("weeks", F.least(weeks, F.lit(max_weeks))).withColumn("observed", seen.cast("int"))

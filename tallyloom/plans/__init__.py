@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "classify", "filters", "joins", "aggregates", "windows", "reports")
+MODULES = ("sources", "classify", "filters", "joins", "aggregates", "windows", "ranking", "sets", "reports")
 
 
 def load_all():

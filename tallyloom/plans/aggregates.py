@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import half_even
+
 from tallyloom.functions.calendar import planning_kind
 from tallyloom.operators import aggregates as A
 from tallyloom.operators import calendar as C
@@ -131,7 +133,7 @@ FROM (SELECT supplier_id, date_diff('day', ordered_on, delivered_on) AS d FROM r
 def delivery_medians(log):
     d = F.datediff("delivered_on", "ordered_on")
     return log.filter("delivered_on >= ordered_on").groupBy("supplier_id").agg(
-        F.count("*").alias("deliveries"), F.bround(F.percentile(d, 0.5), 0).alias("median_days"),
+        F.count("*").alias("deliveries"), half_even(F.percentile(d, 0.5), 0).alias("median_days"),
         F.min(d).alias("min_days"), F.max(d).alias("max_days")).filter("deliveries >= 3")
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import half_even
+
 from tallyloom.operators import calendar as C
 from tallyloom.operators import series as S
 from tallyloom.operators import windows as W
@@ -84,7 +86,7 @@ def _(s):
                    *[F.struct(F.lit(f"{t}% of units").alias("reading"), F.lit(None).cast("int").alias("p"), F.lit(t / 100).alias("t")) for t in (50, 80, 90, 95)])
     # each ranked row asks whether it is the one a reading points at
     hit = F.filter(tops, lambda x: F.when(
-        x["p"].isNotNull(), F.col("rank_no") == F.greatest(F.lit(1), F.bround(F.col("group_rows") * x["p"] / 100, 0)))
+        x["p"].isNotNull(), F.col("rank_no") == F.greatest(F.lit(1), half_even(F.col("group_rows") * x["p"] / 100, 0)))
         .otherwise((F.col("cum") >= x["t"]) & (F.col("cum") - F.col("u") / F.col("group_total") < x["t"] - 1e-12)))
     return c.withColumn("hit", F.explode(hit)).select(
         F.col("hit.reading").alias("reading"), F.col("rank_no").alias("n_skus"),
