@@ -36,10 +36,31 @@ class FoldPlan:
         return F.coalesce(each, F.array().cast("array<struct<fold:int,train_end:int>>"))
 
 
+    def train_end(self, n: Column, fold: Column) -> Column:
+        return (n - self.gap - self.horizon * (self.kept(n) - fold)).cast("int")
+
+    def fold_span(self, n: Column, pos: Column, reach: int | None = None) -> tuple[Column, Column]:
+        """First and last fold that train on ``pos`` (empty when lo > hi)."""
+        kept = self.kept(n)
+        left = n - self.gap - pos
+        lo = F.greatest(kept - F.ceil(left / self.horizon) + 1, F.lit(0))
+        hi = kept - 1
+        if reach is not None:
+            hi = F.least(hi, kept - F.ceil((left - reach) / self.horizon))
+        return lo.cast("int"), hi.cast("int")
+
+
 @dataclass(frozen=True)
 class Deploy(FoldPlan):
     """One fold that trains on everything; its horizon lies after the series."""
 
+    def train_end(self, n: Column, fold: Column) -> Column:
+        return n.cast("int")
+
+    def fold_span(self, n: Column, pos: Column, reach: int | None = None) -> tuple[Column, Column]:
+        hi = F.lit(0) if reach is None else F.when(n - pos <= reach, 0).otherwise(-1)
+        return F.when(pos < n, 0).otherwise(1), hi
+
     def kept(self, n: Column) -> Column:
         return F.lit(1)
 
@@ -64,19 +85,22 @@ def with_sale_ranks(series: DataFrame, key: str) -> DataFrame:
                 w.rowsBetween(Window.unboundedPreceding, -1))))
 
 
-def training_rows(series: DataFrame, plan: FoldPlan, limit: int | None = None) -> DataFrame:
+def training_rows(series: DataFrame, plan: FoldPlan, limit: int | None = None, window: int | None = None) -> DataFrame:
     """Each row once per fold that trains on it.
 
     ``age`` counts back from the origin (0 is the last training day) and
-    ``n_train`` is the training length, at most ``limit`` days.
+    ``n_train`` is the training length, at most ``limit`` days. Give
+    ``window`` when a method looks at the last ``window`` days only: older
+    rows are then dropped before they are repeated per fold.
     """
-    mine = F.filter(plan.folds(F.col("n")), lambda f: f["train_end"] > F.col("pos"))
-    t = series.withColumn("__f", F.explode(mine))
-    t = t.withColumn("fold", F.col("__f.fold")).withColumn("train_end", F.col("__f.train_end")).drop("__f")
-    t = t.withColumn("age", F.col("train_end") - 1 - F.col("pos"))
-    if limit is None:
-        return t.withColumn("n_train", F.col("train_end"))
-    return t.filter(F.col("age") < limit).withColumn("n_train", F.least("train_end", F.lit(limit)))
+    reach = min([w for w in (limit, window) if w is not None], default=None)
+    n, pos = F.col("n"), F.col("pos")
+    lo, hi = plan.fold_span(n, pos, reach)
+    t = series.withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__lo") <= F.col("__hi"))
+    t = t.withColumn("fold", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
+    t = t.withColumn("train_end", plan.train_end(n, F.col("fold")))
+    t = t.withColumn("age", F.col("train_end") - 1 - pos)
+    return t.withColumn("n_train", F.col("train_end") if limit is None else F.least("train_end", F.lit(limit)))
 
 
 def test_fold(plan: FoldPlan) -> Column:
@@ -100,9 +124,9 @@ def naive_scales(series: DataFrame, key: str, plan: FoldPlan) -> DataFrame:
     w = Window.partitionBy(key).orderBy("back")
     diffs = blocks.withColumn("d", F.lead("units").over(w) - F.col("units"))
     kept = plan.kept(F.col("n"))
-    folds = F.when(kept > 0, F.filter(F.sequence(F.lit(0), F.greatest(kept - 1, F.lit(0))),
-                                      lambda i: kept - 1 - i < F.col("back")))
-    rows = diffs.select(key, "d", F.explode(folds).alias("fold"))
+    lo = F.greatest(kept - F.col("back"), F.lit(0)).cast("int")
+    rows = diffs.withColumn("__lo", lo).withColumn("__hi", kept - 1).filter("__lo <= __hi").select(
+        key, "d", F.explode(F.sequence("__lo", "__hi")).alias("fold"))
     return rows.groupBy(key, "fold").agg(F.avg(F.abs("d")).alias("naive_scale"), F.avg(F.col("d") * F.col("d")).alias("sq_scale"))
 
 

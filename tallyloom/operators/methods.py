@@ -95,14 +95,14 @@ def weekly_hurdle(weeks: int = 12, week: int = 7) -> Column:
     return F.coalesce(F.sum(F.when(inside, F.col("qty"))) / (F.max(whole) * week), F.lit(0.0))
 
 
-def winsor_mean(window: int, q: float) -> Column:
+def winsor_mean(train: DataFrame, keys: list[str], window: int, q: float) -> DataFrame:
     """Mean with values capped at the window's own quantile."""
-    values = F.sort_array(F.collect_list(_tail(window)))  # at most `window` values
     from tallyloom.functions.numbers import quantile_of
 
-    cap = quantile_of(values, q)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.least(x, cap))
-    return total / F.size(values)
+    values = train.groupBy(*keys, "fold").agg(F.sort_array(F.collect_list(_tail(window))).alias("v"))  # <= window values
+    capped = values.withColumn("cap", quantile_of(F.col("v"), q))
+    total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + F.least(x, F.col("cap")))
+    return capped.select(*keys, "fold", (total / F.size("v")).alias("level"))
 
 
 def block_stat(kind: str, blocks: int = 6, size: int = 30) -> Column:
@@ -127,7 +127,7 @@ def level_methods() -> dict[str, Column]:
         "rolling_mean_90": rolling_mean(90), "rolling_mean_180": rolling_mean(180),
         "rolling_median_30": rolling_quantile(30), "rolling_q75_30": rolling_quantile(30, 0.75),
         "ewma_03": ewma(0.3), "croston": croston(), "sba": croston(sba=True), "tsb": tsb(), "tsb_05": tsb(0.05, 0.05),
-        "weekly_hurdle": weekly_hurdle(), "winsor_180": winsor_mean(180, 0.95), "block_median": block_stat("median"),
+        "weekly_hurdle": weekly_hurdle(), "block_median": block_stat("median"),
         "block_trimmed": block_stat("trimmed"),
     }
 
@@ -266,14 +266,14 @@ def observed_rate(train: DataFrame, keys: list[str], horizon: int, window: int =
                   min_observed: int = 20) -> DataFrame:
     """Mean of the last traded days times the expected number of traded days.
 
-    Needs ``traded`` (0/1) and ``t_pos``, ``t_all``: traded days through the
-    row and in the whole series, so the last ``window`` traded days of a fold
-    are found without another pass.
+    Needs ``traded`` (0/1) and ``t_pos``, the traded days through the row, so
+    the last ``window`` traded days of a fold are found without another pass.
+    They are looked for in the last ``2 * window + 60`` days.
     """
     g = train.groupBy(*keys, "fold").agg(F.max(F.when(F.col("traded") == 1, F.col("t_pos"))).alias("t_end"),
                                          F.avg(F.when(F.col("age") < density_window, F.col("traded"))).alias("density"),
                                          F.avg(_tail(window)).alias("base"), F.collect_list(
-                                             F.when((F.col("traded") == 1) & (F.col("age") < 2 * window + 30), F.struct("t_pos", "qty"))).alias("recent"))
+                                             F.when((F.col("traded") == 1) & (F.col("age") < 2 * window + 60), F.struct("t_pos", "qty"))).alias("recent"))
     last = F.filter("recent", lambda x: x["t_pos"] > F.col("t_end") - window)
     rate = F.aggregate(last, F.lit(0.0), lambda a, x: a + x["qty"]) / F.size(last)
     total = rate * F.greatest(horizon * F.col("density"), F.lit(1.0))
@@ -288,9 +288,11 @@ def holt_winters(series: DataFrame, key: str, plan: FoldPlan, grid: list[tuple],
     one-step error wins. ``grid`` holds (alpha, beta, gamma, phi).
     """
     arrays = series.groupBy(key, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "qty"))), lambda x: x["qty"]).alias("y"))
-    rows = arrays.withColumn("f", F.explode(plan.folds(F.col("n")))).withColumn("y", F.slice("y", F.lit(1), F.col("f.train_end")))
+    rows = arrays.withColumn("ends", F.transform(plan.folds(F.col("n")), lambda f: f["train_end"]))
     rows = rows.withColumn("p", F.explode(F.array(*[F.struct(
         F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"), F.lit(d).alias("d")) for a, b, g, d in grid])))
+    # every (series, parameters) pair is an independent row: spread the recursions
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key, "p")
     m = season
 
     def mean_of(arr):
@@ -298,28 +300,31 @@ def holt_winters(series: DataFrame, key: str, plan: FoldPlan, grid: list[tuple],
 
     s1, s2 = F.slice("y", 1, m), F.slice("y", m + 1, m)
     level0 = mean_of(s1)
+    snap_type = "array<struct<l:double,b:double,s:array<double>,sse:double,t:int>>"
     init = F.struct(level0.alias("l"), ((mean_of(s2) - level0) / m).alias("b"), F.transform(s1, lambda x: x - level0).alias("s"),
-                    F.lit(0.0).alias("sse"), F.lit(0).alias("t"))
+                    F.lit(0.0).alias("sse"), F.lit(0).alias("t"), F.array().cast(snap_type).alias("snaps"))
 
     def step(acc, y):
+        # season entries rotate: the first one is always the next day's
         old = F.get(acc["s"], F.lit(0))
         damped = F.col("p.d") * acc["b"]
         err = y - (acc["l"] + damped + old)
         lvl = F.col("p.a") * (y - old) + (1 - F.col("p.a")) * (acc["l"] + damped)
         trend = F.col("p.b") * (lvl - acc["l"]) + (1 - F.col("p.b")) * damped
         new = F.col("p.g") * (y - acc["l"] - damped) + (1 - F.col("p.g")) * old
-        return F.struct(lvl.alias("l"), trend.alias("b"),
-                        F.concat(F.slice(acc["s"], 2, m - 1), F.array(new)).alias("s"),
-                        (acc["sse"] + err * err).alias("sse"), (acc["t"] + 1).alias("t"))
-
-    # season entries rotate: the first one is always the next day's
-    fitted = rows.withColumn("st", F.aggregate("y", init, step))
-    best = fitted.groupBy(key, F.col("f.fold").alias("fold"), F.col("f.train_end").alias("train_end")).agg(
-        F.min_by(F.struct("st", "p", "y"), F.struct("st.sse", "p")).alias("b"))
+        state = [lvl.alias("l"), trend.alias("b"), F.concat(F.slice(acc["s"], 2, m - 1), F.array(new)).alias("s"),
+                 (acc["sse"] + err * err).alias("sse"), (acc["t"] + 1).alias("t")]
+        # keep the state at each fold's origin; a dozen per series
+        snaps = F.when(F.array_contains("ends", acc["t"] + 1), F.concat(acc["snaps"], F.array(F.struct(*state)))).otherwise(acc["snaps"])
+        return F.struct(*state, snaps.alias("snaps"))
+
+    fitted = rows.select(key, "p", "y", F.posexplode(F.aggregate("y", init, step)["snaps"]).alias("fold", "st"))
+    best = fitted.groupBy(key, "fold").agg(F.min_by(F.struct("st", "p"), F.struct("st.sse", "p")).alias("b"), F.first("y").alias("y"))
+    best = best.withColumn("train_end", F.col("b.st.t"))
     steps = best.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(plan.horizon - 1))))
     damp = F.aggregate(F.sequence(F.lit(1), F.col("h") + 1), F.lit(0.0), lambda acc, i: acc + F.pow(F.col("b.p.d"), i))
     yhat = F.col("b.st.l") + damp * F.col("b.st.b") + F.get(F.col("b.st.s"), F.col("h") % m)
-    flat = mean_of(F.col("b.y"))
+    flat = mean_of(F.slice("y", F.lit(1), F.col("train_end")))
     return steps.select(key, "fold", "h", F.greatest(F.when(F.col("train_end") < 2 * m, flat).otherwise(yhat), F.lit(0.0)).alias("yhat"))
 
 
@@ -352,9 +357,10 @@ def plausibility_cap(series: DataFrame, key: str, plan: FoldPlan, window: int =
     run = F.sum("qty").over(Window.partitionBy(key).orderBy("pos"))
     c = series.withColumn("__c", run)
     tot = F.col("__c") - F.coalesce(F.lag("__c", window).over(Window.partitionBy(key).orderBy("pos")), F.lit(0.0))
-    t = c.withColumn("tot", F.when(F.col("pos") >= window - 1, tot)).withColumn("f", F.explode(F.filter(
-        plan.folds(F.col("n")), lambda f: f["train_end"] > F.col("pos"))))
-    g = t.groupBy(key, F.col("f.fold").alias("fold")).agg(F.max("tot").alias("m"), F.sum("qty").alias("s"))
+    from tallyloom.operators.backtest import training_rows
+
+    t = training_rows(c.withColumn("tot", F.when(F.col("pos") >= window - 1, tot)), plan)
+    g = t.groupBy(key, "fold").agg(F.max("tot").alias("m"), F.sum("qty").alias("s"))
     return g.select(key, "fold", (factor * F.greatest(F.coalesce("m", "s"), F.lit(1.0))).alias("cap"))
 
 

@@ -10,26 +10,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def history_bounds(daily: DataFrame) -> DataFrame:
+def _key_spans(daily: DataFrame, keys: list[str]) -> DataFrame:
+    return daily.groupBy(*keys).agg(
+        F.min("day").alias("__a"), F.max(F.when(F.col("qty") > 0, F.col("day"))).alias("__z"))
+
+
+def history(daily: DataFrame, keys: list[str]) -> DataFrame:
     """First recorded day and last day anything sold (one row)."""
-    return daily.agg(F.min("day").alias("d0"), F.max(F.when(F.col("qty") > 0, F.col("day"))).alias("d1"))
+    return _key_spans(daily, keys).agg(F.min("__a").alias("d0"), F.max("__z").alias("d1"))
 
 
 def densify(daily: DataFrame, keys: list[str]) -> DataFrame:
     """Every key on every day of the history, zero-filled.
 
-    Days are exploded per key and the recorded units are unioned in and summed,
-    so one aggregation on (key, day) builds the grid; nothing is cross joined.
+    Days are exploded per key, the recorded units are unioned in, and one
+    aggregation on (key, day) builds the grid; nothing is cross joined. The
+    key spans and the recorded rows read the same daily aggregate, which Spark
+    computes once (the exchange is reused). ``daily`` has one row per key and
+    day.
     """
-    bounds = history_bounds(daily).select(F.struct("d0", "d1")).scalar()
-    span = F.col("__h")
-    grid = (daily.select(*keys).distinct().withColumn("__h", bounds)
-            .select(*keys, F.explode(F.sequence(span.d0, span.d1)).alias("day"), F.lit(0.0).alias("qty")))
-    both = grid.unionByName(daily.select(*keys, "day", F.col("qty").cast("double")))
-    out = both.groupBy(*keys, "day").agg(F.sum("qty").alias("qty")).withColumn("__h", bounds)
-    return out.filter(F.col("day").between(span.d0, span.d1)).select(
-        *keys, "day", F.datediff("day", span.d0).alias("pos"), "qty",
-        (F.datediff(span.d1, span.d0) + 1).alias("n"))
+    bounds = history(daily, keys).select(F.struct("d0", "d1")).scalar()
+    grid = _key_spans(daily, keys).withColumn("__h", bounds)
+    grid = grid.select(*keys, (F.datediff("__h.d1", "__h.d0") + 1).alias("n"),
+                       F.posexplode(F.sequence("__h.d0", "__h.d1")).alias("pos", "day"), F.lit(0.0).alias("qty"))
+    none = F.lit(None).cast("int")
+    rows = daily.select(*keys, none.alias("n"), none.alias("pos"), "day", F.col("qty").cast("double").alias("qty"))
+    out = grid.unionByName(rows).groupBy(*keys, "day").agg(
+        F.max("pos").alias("pos"), F.sum("qty").alias("qty"), F.max("n").alias("n"))
+    # recorded days outside the history (trailing zeros) have no grid row
+    return out.filter(F.col("pos").isNotNull())
 
 
 def trim_to_history(series: DataFrame) -> DataFrame:
@@ -62,16 +71,14 @@ def blocks(series: DataFrame, size: int, keys: list[str]) -> DataFrame:
 
 def extend_history(series: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     """Prepend labelled earlier history; uncovered days between are gaps."""
-    last_extra = extra.agg(F.max("day")).scalar()
-    first_real = series.agg(F.min("day")).scalar()
-    early = extra.filter(F.col("day") < first_real).select(*keys, "day", F.col("qty").cast("double"),
-                                                           F.lit(1).alias("is_synthetic"))
-    real = series.select(*keys, "day", "qty", F.lit(0).alias("is_synthetic"))
-    daily = early.unionByName(real)
-    dense = densify(daily.groupBy(*keys, "day").agg(F.sum("qty").alias("qty")), keys)
-    synthetic = (F.col("day") < first_real).cast("int")
-    return dense.select(*keys, "day", "pos", "qty", "n", synthetic.alias("is_synthetic"),
-                        ((F.col("day") > last_extra) & (F.col("day") < first_real)).cast("int").alias("is_gap"))
+    edge = series.groupBy(*keys).agg(F.min("day").alias("first_real"))
+    last = extra.groupBy(*keys).agg(F.max("day").alias("last_extra"))
+    early = extra.join(edge, keys).filter(F.col("day") < F.col("first_real")).select(*keys, "day", "qty")
+    dense = densify(early.unionByName(series.select(*keys, "day", "qty")), keys)
+    synthetic = F.col("day") < F.col("first_real")
+    return dense.join(edge, keys).join(last, keys, "left").select(
+        *keys, "day", "pos", "qty", "n", synthetic.cast("int").alias("is_synthetic"),
+        F.coalesce((synthetic & (F.col("day") > F.col("last_extra"))).cast("int"), F.lit(0)).alias("is_gap"))
 
 
 def winsorise_bulk(series: DataFrame, k: float, key: str = "sku") -> DataFrame:

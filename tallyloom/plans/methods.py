@@ -33,17 +33,23 @@ def tsb_sql(a, b):
 
 
 def train(s, plan_=PLAN, limit=None):
+    """Full-history training rows, with sale ranks for the smoothing methods."""
     return B.training_rows(B.with_sale_ranks(s.series, "sku"), plan_, limit)
 
 
-def one_level(s, **methods):
-    return M.levels(train(s), ["sku"], methods)
+def recent(s, window, plan_=PLAN):
+    """Training rows of the last ``window`` days of each fold."""
+    return B.training_rows(s.series, plan_, window=window)
+
+
+def one_level(s, window=None, **methods):
+    return M.levels(recent(s, window) if window else train(s), ["sku"], methods)
 
 
 def day_rows(s, plan_=PLAN):
     """Calendar days with kind, closure and position on the history."""
-    d0 = s.sku_day.agg(F.min("day")).scalar()
-    n = s.series.agg(F.max("n")).scalar()
+    h = S.history(s.sku_day, ["sku", "category"])
+    d0, n = h.select("d0").scalar(), h.select(F.datediff("d1", "d0") + 1).scalar()
     cal = s.calendar.select("day", C.demand_kind().alias("kind"), C.planning_kind().alias("planning"),
                             F.col("is_store_closed").alias("closed"), "semester_week", "is_sem_break",
                             "is_enrollment_period", "is_exam_week", "is_event_day")
@@ -115,22 +121,22 @@ def _level_sql(**exprs):
 
 @plan("fc_naive", "sku:s fold:l level:d6", _level_sql(level="arg_max(qty, pos)"))
 def _(s):
-    return one_level(s, level=M.naive())
+    return one_level(s, 1, level=M.naive())
 
 
 @plan("fc_rolling_mean", "sku:s fold:l mean_7:d6 mean_30:d6 mean_90:d6", _level_sql(**{f"mean_{w}": f"avg(qty) FILTER (age < {w})" for w in (7, 30, 90)}))
 def _(s):
-    return one_level(s, **{f"mean_{w}": M.rolling_mean(w) for w in (7, 30, 90)})
+    return one_level(s, 90, **{f"mean_{w}": M.rolling_mean(w) for w in (7, 30, 90)})
 
 
 @plan("fc_rolling_median", "sku:s fold:l level:d6", _level_sql(level="quantile_cont(qty, 0.5) FILTER (age < 30)"))
 def _(s):
-    return one_level(s, level=M.rolling_quantile(30))
+    return one_level(s, 30, level=M.rolling_quantile(30))
 
 
 @plan("fc_rolling_quantile", "sku:s fold:l q75:d6 q90:d6", _level_sql(q75="quantile_cont(qty, 0.75) FILTER (age < 30)", q90="quantile_cont(qty, 0.9) FILTER (age < 60)"))
 def _(s):
-    return one_level(s, q75=M.rolling_quantile(30, 0.75), q90=M.rolling_quantile(60, 0.9))
+    return one_level(s, 60, q75=M.rolling_quantile(30, 0.75), q90=M.rolling_quantile(60, 0.9))
 
 
 @plan("fc_ewma", "sku:s fold:l level:d6", _level_sql(level="sum(CASE WHEN pos = 0 THEN pow(0.7, age) ELSE 0.3 * pow(0.7, age) END * qty)"))
@@ -156,20 +162,20 @@ def _(s):
 @plan("fc_weekly_hurdle", "sku:s fold:l level:d6", TRAIN + """
 SELECT sku, fold, avg(CASE WHEN w > 0 THEN 1.0 ELSE 0.0 END) * coalesce(avg(CASE WHEN w > 0 THEN w END), 0) / 7 AS level FROM (SELECT sku, fold, age // 7 AS wk, sum(qty) AS w FROM train WHERE age // 7 < least(train_end // 7, 12) GROUP BY ALL) GROUP BY ALL""")
 def _(s):
-    return one_level(s, level=M.weekly_hurdle())
+    return one_level(s, 84, level=M.weekly_hurdle())
 
 
 @plan("fc_winsor_mean", "sku:s fold:l level:d6", TRAIN + """,
 c AS (SELECT sku, fold, quantile_cont(qty, 0.95) AS cap FROM train WHERE age < 180 GROUP BY ALL) SELECT sku, fold, avg(least(qty, cap)) AS level FROM train JOIN c USING (sku, fold) WHERE age < 180 GROUP BY ALL""".replace(" SELECT sku, fold, avg(least", "\nSELECT sku, fold, avg(least"))
 def _(s):
-    return one_level(s, level=M.winsor_mean(180, 0.95))
+    return M.winsor_mean(recent(s, 180), ["sku"], 180, 0.95)
 
 
 @plan("fc_block_stat", "sku:s fold:l median:d6 trimmed:d6", TRAIN + """,
 b AS (SELECT sku, fold, age // 30 AS i, sum(qty) AS u FROM train WHERE age < 180 GROUP BY ALL)
 SELECT sku, fold, quantile_cont(u, 0.5) / 30 AS median, (sum(u) - min(u) - max(u)) / 4 / 30 AS trimmed FROM b GROUP BY ALL""")
 def _(s):
-    return one_level(s, median=M.block_stat("median"), trimmed=M.block_stat("trimmed"))
+    return one_level(s, 180, median=M.block_stat("median"), trimmed=M.block_stat("trimmed"))
 
 
 @plan("fc_limit_history", "sku:s fold:l ewma_365:d6 tsb_365:d6", TRAIN + """,
@@ -191,18 +197,20 @@ og AS (SELECT * FROM o JOIN g USING (category, fold))
 TD_SQL = "g180 / 180 * CASE WHEN g30 > 0 THEN o30 / g30 ELSE 0 END"
 
 
-def sums(s, plan_=PLAN):
-    t = train(s, plan_)
+def sums(s, plan_=PLAN, with_tsb=False):
+    """Trailing sums of each line and of its category, per fold."""
+    t = train(s, plan_) if with_tsb else recent(s, 365, plan_)
+    extra = [M.tsb(0.05, 0.05).alias("tsb")] if with_tsb else []
     own = t.groupBy("sku", "category", "fold", "train_end").agg(
         *[F.sum(F.when(F.col("age") < w, F.col("qty")).otherwise(0.0)).alias(f"own_{w}") for w in (30, 90, 180, 365)],
-        F.sum(F.when(F.col("age").between(335, 364), F.col("qty")).otherwise(0.0)).alias("own_ly"), M.tsb(0.05, 0.05).alias("tsb"))
+        F.sum(F.when(F.col("age").between(335, 364), F.col("qty")).otherwise(0.0)).alias("own_ly"), *extra)
     whole = own.groupBy("category", "fold").agg(*[F.sum(f"own_{w}").alias(f"grp_{w}") for w in (30, 90, 180, 365)], F.sum("own_ly").alias("grp_ly"))
     return own.join(whole, ["category", "fold"])
 
 
 @plan("fc_topdown_share", "sku:s fold:l level:d6", GRP + f"SELECT sku, fold, {TD_SQL} AS level FROM og")
 def _(s):
-    t = M.group_sums(train(s), "sku", "category", (30, 180))
+    t = M.group_sums(recent(s, 180), "sku", "category", (30, 180))
     return t.withColumn("level", M.topdown_share(t))
 
 
@@ -220,7 +228,7 @@ base AS (SELECT og.sku, og.category, og.fold, og.train_end, 0.5 * {TD_SQL} + 0.5
 
 
 def topdown_tsb(s, plan_=PLAN):
-    t = sums(s, plan_)
+    t = sums(s, plan_, with_tsb=True)
     return t.withColumn("level", F.greatest(0.5 * M.topdown_share(t) + 0.5 * F.col("tsb"), F.lit(0.0)))
 
 
@@ -264,7 +272,7 @@ def _(s):
     days = day_rows(s)
     past = B.training_rows(days.filter("pos >= 0 AND pos < n"), PLAN)
     scale = M.closure_scale(past, M.horizon_days(days, PLAN))
-    return one_level(s, base=M.rolling_mean(30)).join(F.broadcast(scale), "fold").withColumn("level", F.col("base") * F.col("mult"))
+    return one_level(s, 30, base=M.rolling_mean(30)).join(F.broadcast(scale), "fold").withColumn("level", F.col("base") * F.col("mult"))
 
 
 @plan("fc_observed_rate", "sku:s fold:l level:d6", TRAIN + """,
@@ -277,26 +285,26 @@ def _(s):
     traded = (1 - F.col("closed"))
     # the traded-day counter is the same for every series: one row per day
     days = days.withColumn("traded", traded).withColumn("t_pos", F.sum(traded).over(Window.partitionBy("n").orderBy("pos")))
-    t = B.training_rows(s.series.join(F.broadcast(days.select("day", "traded", "t_pos")), "day"), PLAN)
+    t = B.training_rows(s.series.join(F.broadcast(days.select("day", "traded", "t_pos")), "day"), PLAN, window=180)
     return M.observed_rate(t, ["sku"], 30)
 
 
 @plan("fc_seasonal_naive", "sku:s fold:l h:l yhat:d6", TRAIN + """
 SELECT sku, fold, h, qty AS yhat FROM train JOIN (SELECT unnest(range(30)) AS h) ON pos = train_end - 7 + h % 7""")
 def _(s):
-    return M.seasonal_naive(train(s), ["sku"], PLAN)
+    return M.seasonal_naive(recent(s, 7), ["sku"], PLAN)
 
 
 @plan("fc_seasonal_365", "sku:s fold:l h:l yhat:d6", TRAIN + "SELECT sku, fold, pos - (train_end - 365) AS h, qty AS yhat FROM train WHERE pos - (train_end - 365) BETWEEN 0 AND 29")
 def _(s):
-    return M.last_year_days(train(s), ["sku"], PLAN)
+    return M.last_year_days(recent(s, 365), ["sku"], PLAN)
 
 
 @plan("fc_seasonal_index", "sku:s fold:l h:l yhat:d6", TRAIN + """,
 l AS (SELECT sku, fold, avg(qty) FILTER (age < 90) AS r, avg(qty) FILTER (age BETWEEN 365 AND 454) AS p, avg(qty) FILTER (age < 30) AS f FROM train GROUP BY ALL)
 SELECT sku, fold, pos - (train_end - 365) AS h, CASE WHEN p > 0 THEN qty * least(greatest(r / p, 0.25), 4.0) ELSE f END AS yhat FROM train JOIN l USING (sku, fold) WHERE pos - (train_end - 365) BETWEEN 0 AND 29""")
 def _(s):
-    return M.seasonal_index(train(s), ["sku"], PLAN)
+    return M.seasonal_index(recent(s, 455), ["sku"], PLAN)
 
 
 @plan("fc_semester_week", "sku:s fold:l h:l yhat:d6", TRAIN + """,
@@ -341,7 +349,7 @@ c AS (SELECT sku, fold, 3 * greatest(max(t), 1) AS cap FROM b JOIN fold ON pos <
 SELECT sku, fold, any_value(cap) AS cap, least(30 * quantile_cont(qty, 0.9), any_value(cap)) AS capped FROM train JOIN c USING (sku, fold) WHERE age < 30 GROUP BY ALL""")
 def _(s):
     cap = M.plausibility_cap(s.series, "sku", PLAN)
-    wild = one_level(s, base=M.rolling_quantile(30, 0.9))
+    wild = one_level(s, 30, base=M.rolling_quantile(30, 0.9))
     return wild.join(cap, ["sku", "fold"]).withColumn("capped", F.least(F.col("base") * 30, F.col("cap")))
 
 

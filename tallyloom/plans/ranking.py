@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import joins as J
 from tallyloom.operators import windows as W
+from tallyloom.operators.ranking import top_per_group
 from tallyloom.plans.aggregates import item_pesos
 from tallyloom.plans.joins import STOCK_SQL
 from tallyloom.plans.registry import plan
@@ -31,8 +32,7 @@ SELECT * FROM (SELECT d.category, product_id, diff, row_number() OVER (PARTITION
 def drivers(s):
     """The two items that moved each category most, the way it moved.
 
-    The best two per category are kept by a bounded ``max_by`` list in partial
-    aggregation, so a hot category is never sorted in one task.
+    The salted top-k keeps a hot category from being sorted in one task.
     """
     m = s.sale.filter(month_key("day").isin("2001-09", "2001-10")).groupBy("product_id", month_key("day").alias("month")).agg(
         F.sum("quantity_sold").alias("u")).join(s.product, "product_id")
@@ -44,20 +44,6 @@ def drivers(s):
                          ["product_id", "diff"], 2)
 
 
-def top_per_group(df, group, order, columns, k):
-    """First ``k`` rows of each group by a unique descending ``order``.
-
-    Groups are salted: each salt keeps its own first ``k`` rows, and only
-    those few rows are ranked per group. Exact for any skew.
-    """
-    salt = F.pmod(F.xxhash64(*columns), F.lit(32))
-    df = df.withColumn("__o", order).withColumn("__salt", salt)
-    first = Window.partitionBy(group, "__salt").orderBy(F.desc("__o"))
-    part = df.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k)
-    final = Window.partitionBy(group).orderBy(F.desc("__o"))
-    return part.withColumn("rank_no", F.row_number().over(final)).filter(F.col("rank_no") <= k).select(group, *columns, "rank_no")
-
-
 @plan("sort_nulls_last", "product_id:l days_of_supply:d2 stock:l", _HAND.rstrip() + f""",
 l AS (SELECT product_id, arg_max(ds, day) AS days_of_supply FROM (SELECT product_id, day, CASE WHEN counted IS NOT NULL AND broken IS NULL AND rate > 0 THEN round_even(greatest(on_hand, 0) / rate, 2) END AS ds FROM st) WHERE ds IS NOT NULL GROUP BY 1)
 SELECT p.product_id, days_of_supply, k.current_stock AS stock FROM product p LEFT JOIN l USING (product_id) LEFT JOIN ({STOCK_SQL}) k USING (product_id)""")
