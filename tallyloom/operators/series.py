@@ -69,16 +69,18 @@ def blocks(series: DataFrame, size: int, keys: list[str]) -> DataFrame:
             .groupBy(*keys, "back").agg(F.sum("qty").alias("units")))
 
 
-def extend_history(series: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
-    """Prepend labelled earlier history; uncovered days between are gaps."""
-    edge = series.groupBy(*keys).agg(F.min("day").alias("first_real"))
-    last = extra.groupBy(*keys).agg(F.max("day").alias("last_extra"))
-    early = extra.join(edge, keys).filter(F.col("day") < F.col("first_real")).select(*keys, "day", "qty")
-    dense = densify(early.unionByName(series.select(*keys, "day", "qty")), keys)
-    synthetic = F.col("day") < F.col("first_real")
-    return dense.join(edge, keys).join(last, keys, "left").select(
-        *keys, "day", "pos", "qty", "n", synthetic.cast("int").alias("is_synthetic"),
-        F.coalesce((synthetic & (F.col("day") > F.col("last_extra"))).cast("int"), F.lit(0)).alias("is_gap"))
+def extend_history(daily: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """Prepend labelled earlier history; uncovered days between are gaps.
+
+    Both inputs have one row per key and recorded day.
+    """
+    edge = daily.agg(F.min("day").alias("first_real"))
+    # one row on the right: a range condition against a single date
+    early = extra.join(F.broadcast(edge), F.col("day") < F.col("first_real")).select(*keys, "day", "qty")
+    dense = densify(early.unionByName(daily.select(*keys, "day", "qty")), keys)
+    synthetic = F.col("day") < edge.scalar()
+    gap = synthetic & (F.col("day") > extra.agg(F.max("day")).scalar())
+    return dense.select(*keys, "day", "pos", "qty", "n", synthetic.cast("int").alias("is_synthetic"), gap.cast("int").alias("is_gap"))
 
 
 def winsorise_bulk(series: DataFrame, k: float, key: str = "sku") -> DataFrame:

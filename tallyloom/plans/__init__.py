@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "classify", "filters", "joins", "aggregates", "windows", "ranking", "sets", "scalars", "methods", "scoring", "reports")
+MODULES = ("sources", "classify", "filters", "joins", "aggregates", "windows", "ranking", "sets", "scalars", "methods", "scoring", "policy", "reports")
 
 
 def load_all():
