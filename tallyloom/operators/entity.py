@@ -21,3 +21,150 @@ def handover(old_months: Column, new_months: Column) -> Column:
     gap = _month_no(F.array_min(new_months)) - _month_no(F.array_max(F.filter(
         old_months, lambda m: m < F.array_min(new_months))))
     return F.coalesce((F.size(F.array_intersect(old_months, new_months)) == 0) & gap.between(1, RECENT_MONTHS), F.lit(False))
+
+
+def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Score of every (new, old) name pair of one supplier that shares a word.
+
+    ``new`` / ``old``: name, supplier, price, months. Pairs meet by equality
+    on (supplier, word); a pair that shares no word cannot reach the minimum
+    score, so it is never formed. Frequent words are split over blocks of the
+    old side, so a hot (supplier, word) is spread over many tasks.
+    """
+    n_docs = new.select("name").unionByName(old.select("name")).agg(F.count("*")).scalar()
+
+    def words(df, side):
+        return df.select(F.col("name").alias(side), "supplier", F.explode(F.array_distinct(T.name_tokens(F.col("name")))).alias("word"))
+
+    wn, wo = words(new, "new"), words(old, "old")
+    df = wn.select("word").unionByName(wo.select("word")).groupBy("word").agg(F.count("*").alias("df"))
+    weight = F.log((n_docs + 1) / (F.col("df") + 1)) + 1.0
+    df = df.select("word", weight.alias("weight"))
+    wn, wo = wn.join(df, "word"), wo.join(df, "word")
+    tot_n = wn.groupBy("new", "supplier").agg(F.sum("weight").alias("tn"))
+    tot_o = wo.groupBy("old", "supplier").agg(F.sum("weight").alias("to"))
+    wo = wo.withColumn("salt", F.pmod(F.xxhash64("old"), F.lit(PARTNER_BLOCK)))
+    wn = wn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTNER_BLOCK - 1))).cast("long"))
+    hits = wn.join(wo.select("supplier", "word", "salt", "old"), ["supplier", "word", "salt"]).filter("new <> old")
+    shared = hits.groupBy("supplier", "new", "old").agg(F.sum("weight").alias("shared"))
+    s = shared.join(tot_n, ["new", "supplier"]).join(tot_o, ["old", "supplier"])
+    s = s.join(new.select(F.col("name").alias("new"), F.col("price").alias("np"), F.col("months").alias("nm")), "new")
+    s = s.join(old.select(F.col("name").alias("old"), F.col("price").alias("op"), F.col("months").alias("om")), "old")
+    text = 0.75 * (0.7 * F.col("shared") / F.col("to") + 0.3 * F.col("shared") / F.col("tn"))
+    same = F.coalesce(F.abs(F.col("np") - F.col("op")) < 0.005, F.lit(False))
+    hand = handover(F.col("om"), F.col("nm"))
+    return s.select("supplier", "new", "old", (text + F.when(same, 0.15).otherwise(0.0) + F.when(hand, 0.1).otherwise(0.0)).alias("score"),
+                    same.cast("int").alias("same_price"), hand.cast("int").alias("handover"))
+
+
+def one_to_one(scores: DataFrame, rounds: int = 40) -> DataFrame:
+    """Greedy best-first matching as rounds of mutual best pairs.
+
+    A pair that is the best of both its names is what the greedy order takes
+    first among them, so taking all mutual bests and repeating gives the same
+    matching. Names are unique, so ties are broken by (new, old).
+    """
+    left = cut_lineage(scores.filter(F.col("score") >= MIN_SCORE).select("supplier", "new", "old", "score"), "pairs")
+    out = None
+    for _ in range(rounds):
+        key = F.struct("score", "new", "old")
+        bn = left.groupBy("new").agg(F.max(key).alias("b")).select("new", F.col("b.old").alias("old"))
+        bo = left.groupBy("old").agg(F.max(key).alias("b")).select("old", F.col("b.new").alias("new"))
+        taken = cut_lineage(bn.join(bo, ["new", "old"]).join(left, ["new", "old"]).select("supplier", "new", "old", "score"), "taken")
+        if taken.isEmpty():
+            return out if out is not None else taken
+        out = taken if out is None else out.unionByName(taken)
+        left = cut_lineage(left.join(taken.select("new"), "new", "left_anti").join(taken.select("old"), "old", "left_anti"), "pairs")
+    raise RuntimeError("matching did not settle; raise rounds")
+
+
+def suggest(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Suggested old name per new name, strong or weak."""
+    scores = cut_lineage(pair_scores(new, old), "scores")
+    match = one_to_one(scores)
+    # the best other score on either side tells how clear the choice is
+    key = F.col("score")
+
+    def runner_up(side):
+        top = scores.groupBy(side).agg(F.max(F.struct("score", "new", "old")).alias("a"))
+        rest = scores.join(top, side).filter(~((F.col("a.new") == F.col("new")) & (F.col("a.old") == F.col("old"))))
+        return rest.groupBy(side).agg(F.max(key).alias("second")).join(top, side, "right").select(
+            side, F.coalesce("second", F.lit(0.0)).alias(f"second_{side}"))
+
+    j = (match.join(runner_up("new"), "new").join(runner_up("old"), "old")
+         .join(scores.select("new", "old", "same_price", "handover"), ["new", "old"]))
+    clear = F.col("score") - F.greatest("second_new", "second_old") >= STRONG_MARGIN
+    strong = (F.col("score") >= STRONG_SCORE) & clear & (F.col("handover") == 1) & (F.col("same_price") == 1)
+    return j.select("supplier", "new", "old", F.round("score", 3).alias("score"), F.when(strong, "strong").otherwise("weak").alias("strength"),
+                    F.concat_ws("; ", F.lit("same supplier"), F.when(F.col("same_price") == 1, "same price").otherwise("price differs"),
+                                F.when(F.col("handover") == 1, "old name stopped when this one started").otherwise("no clean hand-over"),
+                                F.when(~clear, "another item is almost as close")).alias("why"))
+
+
+def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
+    """Connected components: every node takes the smallest label it can reach.
+
+    Each round also jumps a label to its own label, so long chains settle in a
+    logarithmic number of rounds. ``edges``: a, b; ``nodes``: node.
+    """
+    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("l2"))
+        jump = step.join(step.select(F.col("node").alias("l2"), F.col("l2").alias("l3")), "l2", "left").select(
+            "node", "label", F.least("l2", F.coalesce("l3", "l2")).alias("new_label"))
+        jump = cut_lineage(jump, "labels")
+        changed = not jump.filter(F.col("label") != F.col("new_label")).isEmpty()
+        labels = jump.select("node", F.col("new_label").alias("label"))
+        if not changed:
+            return labels
+    raise RuntimeError("components did not settle; raise rounds")
+
+
+def name_clusters(names: DataFrame, min_ratio: int = 80) -> DataFrame:
+    """Groups of spellings of one item, with attribute conflicts.
+
+    ``names``: name, rows. Spellings with the same sorted words are one node.
+    Nodes are compared only when they share their rarest-word block and are
+    within the length the ratio allows.
+    """
+    toks = F.array_sort(F.array_distinct(T.name_tokens(F.col("name"))))
+    n = names.withColumn("toks", toks).withColumn("norm", F.array_join("toks", " "))
+    nodes = n.groupBy("norm").agg(F.first("toks").alias("toks"), F.sum("rows").alias("rows"),
+                                  F.max_by("name", F.struct("rows", "name")).alias("best"), F.count("*").alias("spellings"))
+    nodes = cut_lineage(nodes.filter("norm <> ''"), "nodes")
+    words = nodes.select("norm", F.explode("toks").alias("word"))
+    freq = words.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(freq, "word").groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
+    # two names at least 80 % alike share one of their two rarest words or a number
+    block = ranked.select("norm", F.explode(F.slice(F.transform("ws", lambda x: x["word"]), 1, 2)).alias("word"))
+    salted = block.withColumn("salt", F.pmod(F.xxhash64("norm"), F.lit(PARTNER_BLOCK)))
+    probe = block.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTNER_BLOCK - 1))).cast("long"))
+    pairs = probe.select(F.col("norm").alias("a"), "word", "salt").join(
+        salted.select(F.col("norm").alias("b"), "word", "salt"), ["word", "salt"]).filter("a < b").select("a", "b").distinct()
+    longest = F.greatest(F.length("a"), F.length("b"))
+    ratio = (1 - F.levenshtein("a", "b") / longest) * 100
+    edges = pairs.filter(ratio >= min_ratio)
+    labels = min_label_components(edges, nodes.select(F.col("norm").alias("node")))
+    j = nodes.join(labels, nodes["norm"] == labels["node"])
+    numbers = F.array_sort(F.filter("toks", lambda t: t.rlike("[0-9]")))
+    j = j.withColumn("numbers", F.array_join(numbers, " "))
+    return j.groupBy(F.col("label").alias("cluster")).agg(
+        F.count("*").alias("names"), F.sum("spellings").alias("spellings"), F.sum("rows").alias("rows"),
+        F.max_by("best", F.struct("rows", "best")).alias("suggested"),
+        (F.countDistinct("numbers") > 1).cast("int").alias("conflict"))
+
+
+def stable_ids(names: DataFrame, old_ids: DataFrame) -> DataFrame:
+    """Known names keep their id; new ones get the next ids in name order."""
+    from tallyloom.operators.scale import ranked_running
+
+    j = names.join(old_ids, "item_name", "left")
+    top = old_ids.agg(F.coalesce(F.max("product_id"), F.lit(0))).scalar()
+    fresh = j.filter("product_id IS NULL").select("item_name", F.lit(1).alias("one"))
+    # order by a prefix number first so the ranking runs in blocks
+    code = sum((F.coalesce(F.ascii(F.substring("item_name", i, 1)), F.lit(0)) * 256 ** (4 - i) for i in range(1, 5)), F.lit(0)).cast("long")
+    ranked = ranked_running(fresh.withColumn("key", -code), "key", ["item_name"], None, "one")
+    new = ranked.select("item_name", (top + F.col("rank_no")).alias("product_id"), F.lit(1).alias("is_new"))
+    return j.filter("product_id IS NOT NULL").select("item_name", "product_id", F.lit(0).alias("is_new")).unionByName(new)

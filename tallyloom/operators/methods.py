@@ -364,7 +364,8 @@ def plausibility_cap(series: DataFrame, key: str, plan: FoldPlan, window: int =
     return g.select(key, "fold", (factor * F.greatest(F.coalesce("m", "s"), F.lit(1.0))).alias("cap"))
 
 
-def split_largest_remainder(rows: DataFrame, group: list[str], quantity: str, weight: str, order: str) -> DataFrame:
+def split_largest_remainder(rows: DataFrame, group: list[str], quantity: str, weight: str, order: str,
+                            places: int | None = None) -> DataFrame:
     """Split a whole quantity by weights with an exact sum.
 
     The units left after flooring go to the largest fractions, then in group
@@ -377,5 +378,6 @@ def split_largest_remainder(rows: DataFrame, group: list[str], quantity: str, we
     df = rows.withColumn("__tot", F.sum(weight).over(w)).withColumn("__n", F.count("*").over(w))
     raw = F.when(F.col("__tot") > 0, F.col(quantity) * F.col(weight) / F.col("__tot")).otherwise(F.col(quantity) / F.col("__n"))
     df = df.withColumn("__raw", raw).withColumn("__floor", F.floor("__raw")).withColumn("__left", F.col(quantity) - F.sum("__floor").over(w))
-    rank = F.row_number().over(w.orderBy(F.desc(F.col("__raw") - F.col("__floor")), order))
+    part = F.col("__raw") - F.col("__floor")
+    rank = F.row_number().over(w.orderBy(F.desc(part if places is None else F.round(part, places)), order))
     return df.withColumn("allocated", F.col("__floor") + (rank <= F.col("__left")).cast("long")).drop("__tot", "__n", "__raw", "__floor", "__left")

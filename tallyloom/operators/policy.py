@@ -138,14 +138,14 @@ def service_tier(curve: DataFrame, items: DataFrame) -> DataFrame:
     w = Window.partitionBy("product_id").orderBy("q")
     d_s, d_h = F.col("served") - F.lag("served").over(w), F.col("held") - F.lag("held").over(w)
     stop = F.lag("q").over(w).isNotNull() & ((F.col("q") > MAX_Q) | ((d_h > 0) & (d_s / d_h < MIN_EFFICIENCY)))
-    c = curve.withColumn("stop", stop)
+    # windows and the grouping share one partitioning by item
+    whole = Window.partitionBy("product_id")
+    c = curve.withColumn("stop", stop).withColumn("q_stop", F.min(F.when(F.col("stop"), F.col("q"))).over(whole))
     g = c.groupBy("product_id").agg(
         F.max("fill").alias("best_fill"), F.min(F.when((F.col("q") <= MAX_Q) & (F.col("fill") >= TARGET), F.col("q"))).alias("q_serv"),
         F.max("efficiency").alias("best_eff"), F.count(F.when(F.col("efficiency").isNull(), 1)).alias("free"),
-        F.min(F.when(F.col("stop"), F.col("q"))).alias("q_stop"))
-    k = c.join(g, "product_id")
-    walk = k.groupBy("product_id").agg(F.max(F.when(F.col("q_stop").isNull() | (F.col("q") < F.col("q_stop")), F.col("q"))).alias("q_walk"))
-    t = items.select("product_id").join(g, "product_id", "left").join(walk, "product_id", "left")
+        F.max(F.when(F.col("q_stop").isNull() | (F.col("q") < F.col("q_stop")), F.col("q"))).alias("q_walk"))
+    t = items.select("product_id").join(g, "product_id", "left")
     dead = (F.col("free") == 0) & (F.col("best_eff") < MIN_EFFICIENCY)
     return t.select(
         "product_id", "best_fill",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import calendar as C
 from tallyloom.operators import joins as J
 from tallyloom.operators import season as N
+from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans import policy as PP
 from tallyloom.plans.aggregates import DAYS_SQL
 from tallyloom.plans.joins import FLAGS, RUNS_SQL, _RANGES, busy_runs
@@ -97,14 +98,16 @@ def _(s):
     from tallyloom.operators.ranking import top_per_group
     from tallyloom.plans.classify import decisions
 
-    plans = plan_rows(s).filter(F.col("status").isin("rush_now", "rush_by"))
+    items = cut_lineage(PP.status(s), "status")
+    plans = N.season_plan(items, windows(s), s.span.select("last_day").scalar()).filter(F.col("status").isin("rush_now", "rush_by"))
     a = plans.select(F.lit("season").alias("topic"), F.concat_ws(" ", "kind", F.col("start_day").cast("string")).alias("title"),
                      F.when(F.col("status") == "rush_now", 2).otherwise(1).alias("sev"), "product_id", F.col("rush_order").cast("double").alias("weight"))
     d = decisions(s).filter(F.col("action").isin("review_discontinuation", "clear_out", "promote"))
     b = d.select(F.lit("decision").alias("topic"), F.col("action").alias("title"), F.lit(1).alias("sev"), "product_id", (-F.col("product_id")).cast("double").alias("weight"))
-    st = PP.status(s).filter("needs_reorder = 1")
+    st = items.filter("needs_reorder = 1")
     c = st.select(F.lit("stock").alias("topic"), F.lit("reorder now").alias("title"), F.lit(2).alias("sev"), "product_id", F.col("order_qty").cast("double").alias("weight"))
     rows = a.unionByName(b).unionByName(c).withColumn("key", F.concat_ws("~", "topic", "title"))
+    rows = cut_lineage(rows, "advisories")
     head = rows.groupBy("key", "topic", "title").agg(F.max("sev").alias("sev"), F.count("*").alias("n_items"))
     top = top_per_group(rows, "key", F.struct("weight", "product_id"), ["product_id"], 5)
     names = top.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank_no", "product_id"))), lambda x: x["product_id"]), ",").alias("items"))

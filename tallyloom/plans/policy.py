@@ -8,6 +8,7 @@ from tallyloom.operators import joins as J
 from tallyloom.operators import policy as P
 from tallyloom.operators import series as S
 from tallyloom.operators.classify import fsn_classify
+from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans.aggregates import DAYS_SQL
 from tallyloom.plans.classify import FSN_SQL
 from tallyloom.plans.joins import STOCK_SQL
@@ -50,12 +51,14 @@ class Ctx:
     """The inputs of the policy at one position of the history."""
 
     def __init__(self, s):
-        b = s.sale.agg(F.min("day").alias("d0"), F.max(F.when(F.col("quantity_sold") > 0, F.col("day"))).alias("d1"))
-        self.d0, self.d1 = b.select("d0").scalar(), b.select("d1").scalar()
-        self.n = b.select(F.datediff("d1", "d0") + 1).scalar()
+        # one row with two dates: literals let Spark prune and fold the plan
+        b = s.sale.agg(F.min("day").alias("d0"), F.max(F.when(F.col("quantity_sold") > 0, F.col("day"))).alias("d1")).first()
+        self.d0, self.d1 = F.lit(b.d0), F.lit(b.d1)
+        self.n = F.lit((b.d1 - b.d0).days + 1)
         self.days = P.item_days(s.sale, self.d0)
         cls = fsn_classify(s.product, s.sale).filter(F.col("fsn_class").isin("F", "S"))
-        self.items = cls.select("product_id", "fsn_class", "lead_time_days", "unit_price_php", "category", "item_name")
+        # read by every later step: classified once, then read back
+        self.items = cut_lineage(cls.select("product_id", "fsn_class", "lead_time_days", "unit_price_php", "category", "item_name"), "items")
         mask = S.observed_mask(s.calendar, s.fact).withColumn("pos", F.datediff("day", self.d0)).filter("pos >= 0")
         # one row per calendar day
         self.observed = mask.withColumn("seen", F.coalesce(F.sum("observed").over(
@@ -75,7 +78,7 @@ class Ctx:
         return P.fold_errors(self.days, self.items.select("product_id", "lead_time_days"), self.n, self.observed, upto=end)
 
     def policy(self, end=None):
-        errors = self.errors(end)
+        errors = cut_lineage(self.errors(end), "errors")
         tiers = P.service_tier(P.tier_curve(errors), self.items)
         return self.rates(end).join(P.committed(errors, tiers), "product_id")
 
