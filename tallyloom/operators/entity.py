@@ -9,7 +9,6 @@ from tallyloom.functions import text as T
 from tallyloom.operators.scale import cut_lineage
 
 MIN_SCORE, STRONG_SCORE, STRONG_MARGIN, RECENT_MONTHS = 0.45, 0.6, 0.15, 2
-PARTNER_BLOCK = 64
 
 
 def _month_no(m: Column) -> Column:
@@ -23,38 +22,78 @@ def handover(old_months: Column, new_months: Column) -> Column:
     return F.coalesce((F.size(F.array_intersect(old_months, new_months)) == 0) & gap.between(1, RECENT_MONTHS), F.lit(False))
 
 
-def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Score of every (new, old) name pair of one supplier that shares a word.
+def _found(word: Column, words: Column, joined: Column) -> Column:
+    """A word is found as itself, as two joined words, or as a prefix (4+ letters)."""
+    near = F.exists(words, lambda w: ((F.length(word) >= 4) & w.startswith(word)) | ((F.length(w) >= 4) & word.startswith(w)))
+    return F.array_contains(words, word) | F.array_contains(joined, word) | near
+
+
+def _covered(src: Column, other: Column, joined: Column) -> Column:
+    """Share of the source words' weight found in the other name."""
+    total = F.aggregate(src, F.lit(0.0), lambda s, x: s + x["weight"])
+    hit = F.aggregate(src, F.lit(0.0), lambda s, x: s + F.when(_found(x["word"], other, joined), x["weight"]).otherwise(0.0))
+    return F.when(total > 0, hit / total).otherwise(0.0)
+
+
+def _stem(word: Column) -> Column:
+    return F.substring(word, 1, 4)
+
 
-    ``new`` / ``old``: name, supplier, price, months. Pairs meet by equality
-    on (supplier, word); a pair that shares no word cannot reach the minimum
-    score, so it is never formed. Frequent words are split over blocks of the
-    old side, so a hot (supplier, word) is spread over many tasks.
+def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Scores of all (new, old) pairs of one supplier that can reach the minimum.
+
+    ``new`` / ``old``: name, supplier, price, months. A pair below the minimum
+    word coverage on both sides cannot be suggested, so a name only looks for
+    partners through its rarer words: the most frequent ones are left out as
+    long as they could not reach that coverage together. Matching words start
+    with the same four letters, so pairs meet by equality on that stem. No
+    candidate is lost, and frequent words create no pairs.
     """
+    need = (MIN_SCORE - 0.25) / 0.75
     n_docs = new.select("name").unionByName(old.select("name")).agg(F.count("*")).scalar()
 
-    def words(df, side):
-        return df.select(F.col("name").alias(side), "supplier", F.explode(F.array_distinct(T.name_tokens(F.col("name")))).alias("word"))
-
-    wn, wo = words(new, "new"), words(old, "old")
-    df = wn.select("word").unionByName(wo.select("word")).groupBy("word").agg(F.count("*").alias("df"))
-    weight = F.log((n_docs + 1) / (F.col("df") + 1)) + 1.0
-    df = df.select("word", weight.alias("weight"))
-    wn, wo = wn.join(df, "word"), wo.join(df, "word")
-    tot_n = wn.groupBy("new", "supplier").agg(F.sum("weight").alias("tn"))
-    tot_o = wo.groupBy("old", "supplier").agg(F.sum("weight").alias("to"))
-    wo = wo.withColumn("salt", F.pmod(F.xxhash64("old"), F.lit(PARTNER_BLOCK)))
-    wn = wn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTNER_BLOCK - 1))).cast("long"))
-    hits = wn.join(wo.select("supplier", "word", "salt", "old"), ["supplier", "word", "salt"]).filter("new <> old")
-    shared = hits.groupBy("supplier", "new", "old").agg(F.sum("weight").alias("shared"))
-    s = shared.join(tot_n, ["new", "supplier"]).join(tot_o, ["old", "supplier"])
-    s = s.join(new.select(F.col("name").alias("new"), F.col("price").alias("np"), F.col("months").alias("nm")), "new")
-    s = s.join(old.select(F.col("name").alias("old"), F.col("price").alias("op"), F.col("months").alias("om")), "old")
-    text = 0.75 * (0.7 * F.col("shared") / F.col("to") + 0.3 * F.col("shared") / F.col("tn"))
-    same = F.coalesce(F.abs(F.col("np") - F.col("op")) < 0.005, F.lit(False))
-    hand = handover(F.col("om"), F.col("nm"))
-    return s.select("supplier", "new", "old", (text + F.when(same, 0.15).otherwise(0.0) + F.when(hand, 0.1).otherwise(0.0)).alias("score"),
-                    same.cast("int").alias("same_price"), hand.cast("int").alias("handover"))
+    def worded(df, side):
+        return df.select(F.col("name").alias(side), "supplier", F.col("price").alias(side + "_price"), F.col("months").alias(side + "_months"),
+                         T.name_tokens(F.col("name")).alias("words"))
+
+    def joined(words):
+        return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+                          lambda x, y: F.concat(x, y))
+
+    wn, wo = worded(new, "new"), worded(old, "old")
+    every = wn.select(F.explode(F.array_distinct("words")).alias("word")).unionByName(wo.select(F.explode(F.array_distinct("words")).alias("word")))
+    weights = every.groupBy("word").agg((F.log((n_docs + 1) / (F.count("*") + 1)) + 1.0).alias("weight"))
+
+    def weighed(df, side):
+        flat = df.select(side, F.posexplode("words").alias("i", "word")).join(weights, "word")
+        g = flat.groupBy(side).agg(F.sort_array(F.collect_list(F.struct("i", "word", "weight"))).alias("w"))
+        # words from the most frequent on, with the weight gathered so far
+        run = F.aggregate(F.array_sort("w", lambda x, y: F.when(x["weight"] < y["weight"], -1).when(x["weight"] > y["weight"], 1).otherwise(x["i"] - y["i"])),
+                          F.struct(F.lit(0.0).alias("t"), F.array().cast("array<string>").alias("keep")),
+                          lambda s, x: F.struct((s["t"] + x["weight"]).alias("t"), F.when(
+                              s["t"] + x["weight"] >= need * F.col("total") - 1e-9, F.concat(s["keep"], F.array(x["word"]))).otherwise(s["keep"]).alias("keep")))
+        g = g.withColumn("total", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["weight"])).withColumn("keep", run["keep"])
+        return df.join(g.drop("total"), side).withColumn("joined", joined(F.col("words")))
+
+    wn, wo = cut_lineage(weighed(wn, "new"), "new"), cut_lineage(weighed(wo, "old"), "old")
+
+    def stems(df, side, rare):
+        source = F.col("keep") if rare else F.concat("words", "joined")
+        return df.select(side, "supplier", F.explode(F.array_distinct(F.transform(source, _stem))).alias("stem"))
+
+    meet = ["supplier", "stem"]
+    a = stems(wn, "new", True).join(stems(wo, "old", False), meet).select("new", "old")
+    b = stems(wn, "new", False).join(stems(wo, "old", True), meet).select("new", "old")
+    pairs = a.unionByName(b).filter("new <> old").distinct()
+    n = wn.select("new", "supplier", "new_price", "new_months", F.col("w").alias("nw"), F.col("words").alias("nt"), F.col("joined").alias("nj"))
+    o = wo.select("old", "old_price", "old_months", F.col("w").alias("ow"), F.col("words").alias("ot"), F.col("joined").alias("oj"))
+    s = pairs.join(n, "new").join(o, "old")
+    text = 0.75 * (0.7 * _covered(F.col("ow"), F.col("nt"), F.col("nj")) + 0.3 * _covered(F.col("nw"), F.col("ot"), F.col("oj")))
+    same = F.coalesce(F.abs(F.col("new_price") - F.col("old_price")) < 0.005, F.lit(False))
+    hand = handover(F.col("old_months"), F.col("new_months"))
+    score = text + F.when(same, 0.15).otherwise(0.0) + F.when(hand, 0.1).otherwise(0.0)
+    return s.select("supplier", "new", "old", score.alias("score"), same.cast("int").alias("same_price"), hand.cast("int").alias("handover")).filter(
+        F.col("score") >= MIN_SCORE)
 
 
 def one_to_one(scores: DataFrame, rounds: int = 40) -> DataFrame:
@@ -122,30 +161,50 @@ def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -
     raise RuntimeError("components did not settle; raise rounds")
 
 
+def similar_pairs(names: DataFrame, col: str, min_ratio: int) -> DataFrame:
+    """All pairs whose edit distance is at most (1 - ratio) of the longer one.
+
+    Two strings within ``d`` edits share one of any ``d + 1`` pieces of the
+    shorter one, at nearly the same place. The shorter side offers its pieces,
+    the longer side its substrings around each place, and pairs meet by
+    equality. Exact: no pair within the distance is missed.
+    """
+    far = 1 - min_ratio / 100.0
+
+    def pieces(df, short, long):
+        tau = F.floor(F.col("ll") * far + 1e-9).cast("int")
+        df = df.withColumn("tau", tau).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tau"))))
+        k = F.col("tau") + 1
+        base = F.floor(F.col("sl") / k).cast("int")
+        plain = k - F.col("sl") % k  # the first pieces have the base length
+        start = F.col("i") * base + F.greatest(F.col("i") - plain, F.lit(0))
+        return df.withColumn("at", start.cast("int")).withColumn("len", (base + (F.col("i") >= plain).cast("int")).cast("int")).filter("len > 0")
+
+    n = F.length(col)
+    lo, hi = F.ceil(n * (1 - far) - 1e-9).cast("int"), F.floor(n / (1 - far) + 1e-9).cast("int")
+    short = pieces(names.select(F.col(col).alias("a"), n.alias("sl"), F.explode(F.sequence(n, hi)).alias("ll")), "a", "b")
+    short = short.select("a", "sl", "ll", "i", F.substring("a", F.col("at") + 1, F.col("len")).alias("piece"))
+    long = pieces(names.select(F.col(col).alias("b"), n.alias("ll"), F.explode(F.sequence(F.greatest(lo, F.lit(1)), n)).alias("sl")), "a", "b")
+    first, last = F.greatest(F.lit(0), F.col("at") - F.col("tau")), F.least(F.col("ll") - F.col("len"), F.col("at") + F.col("tau"))
+    long = long.filter(first <= last).withColumn("s", F.explode(F.sequence(first, last)))
+    long = long.select("b", "sl", "ll", "i", F.substring("b", F.col("s") + 1, F.col("len")).alias("piece")).distinct()
+    met = short.join(long, ["sl", "ll", "i", "piece"]).filter("a <> b AND (sl < ll OR a < b)")
+    close = F.levenshtein("a", "b") <= F.floor(F.col("ll") * far + 1e-9)
+    return met.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def name_clusters(names: DataFrame, min_ratio: int = 80) -> DataFrame:
     """Groups of spellings of one item, with attribute conflicts.
 
     ``names``: name, rows. Spellings with the same sorted words are one node.
-    Nodes are compared only when they share their rarest-word block and are
-    within the length the ratio allows.
+    Nodes are joined when their edit-distance ratio reaches ``min_ratio``.
     """
     toks = F.array_sort(F.array_distinct(T.name_tokens(F.col("name"))))
     n = names.withColumn("toks", toks).withColumn("norm", F.array_join("toks", " "))
     nodes = n.groupBy("norm").agg(F.first("toks").alias("toks"), F.sum("rows").alias("rows"),
                                   F.max_by("name", F.struct("rows", "name")).alias("best"), F.count("*").alias("spellings"))
     nodes = cut_lineage(nodes.filter("norm <> ''"), "nodes")
-    words = nodes.select("norm", F.explode("toks").alias("word"))
-    freq = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(freq, "word").groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
-    # two names at least 80 % alike share one of their two rarest words or a number
-    block = ranked.select("norm", F.explode(F.slice(F.transform("ws", lambda x: x["word"]), 1, 2)).alias("word"))
-    salted = block.withColumn("salt", F.pmod(F.xxhash64("norm"), F.lit(PARTNER_BLOCK)))
-    probe = block.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTNER_BLOCK - 1))).cast("long"))
-    pairs = probe.select(F.col("norm").alias("a"), "word", "salt").join(
-        salted.select(F.col("norm").alias("b"), "word", "salt"), ["word", "salt"]).filter("a < b").select("a", "b").distinct()
-    longest = F.greatest(F.length("a"), F.length("b"))
-    ratio = (1 - F.levenshtein("a", "b") / longest) * 100
-    edges = pairs.filter(ratio >= min_ratio)
+    edges = similar_pairs(nodes.select("norm"), "norm", min_ratio)
     labels = min_label_components(edges, nodes.select(F.col("norm").alias("node")))
     j = nodes.join(labels, nodes["norm"] == labels["node"])
     numbers = F.array_sort(F.filter("toks", lambda t: t.rlike("[0-9]")))
