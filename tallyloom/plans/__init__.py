@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "classify", "filters", "joins", "aggregates", "windows", "ranking", "sets", "scalars", "methods", "scoring", "policy", "outlook", "reports", "quality")
+MODULES = ("sources", "classify", "filters", "joins", "aggregates", "windows", "ranking", "sets", "scalars", "methods", "scoring", "policy", "outlook", "reports", "quality", "live", "learned")
 
 
 def load_all():
