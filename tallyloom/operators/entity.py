@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.scale import cut_lineage, spread
 
 MIN_SCORE, STRONG_SCORE, STRONG_MARGIN, RECENT_MONTHS = 0.45, 0.6, 0.15, 2
 
@@ -87,7 +87,7 @@ def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
     pairs = a.unionByName(b).filter("new <> old").distinct()
     n = wn.select("new", "supplier", "new_price", "new_months", F.col("w").alias("nw"), F.col("words").alias("nt"), F.col("joined").alias("nj"))
     o = wo.select("old", "old_price", "old_months", F.col("w").alias("ow"), F.col("words").alias("ot"), F.col("joined").alias("oj"))
-    s = pairs.join(n, "new").join(o, "old")
+    s = spread(pairs.join(n, "new").join(o, "old"), "new", "old")
     text = 0.75 * (0.7 * _covered(F.col("ow"), F.col("nt"), F.col("nj")) + 0.3 * _covered(F.col("nw"), F.col("ot"), F.col("oj")))
     same = F.coalesce(F.abs(F.col("new_price") - F.col("old_price")) < 0.005, F.lit(False))
     hand = handover(F.col("old_months"), F.col("new_months"))
@@ -134,10 +134,17 @@ def suggest(new: DataFrame, old: DataFrame) -> DataFrame:
          .join(scores.select("new", "old", "same_price", "handover"), ["new", "old"]))
     clear = F.col("score") - F.greatest("second_new", "second_old") >= STRONG_MARGIN
     strong = (F.col("score") >= STRONG_SCORE) & clear & (F.col("handover") == 1) & (F.col("same_price") == 1)
-    return j.select("supplier", "new", "old", F.round("score", 3).alias("score"), F.when(strong, "strong").otherwise("weak").alias("strength"),
+    picked = j.select("supplier", "new", "old", F.round("score", 3).alias("score"), F.when(strong, "strong").otherwise("weak").alias("strength"),
                     F.concat_ws("; ", F.lit("same supplier"), F.when(F.col("same_price") == 1, "same price").otherwise("price differs"),
                                 F.when(F.col("handover") == 1, "old name stopped when this one started").otherwise("no clean hand-over"),
                                 F.when(~clear, "another item is almost as close")).alias("why"))
+    # a name that lost its best partner still shows it, and to whom it went
+    lost = scores.join(match.select("new"), "new", "left_anti").groupBy("supplier", "new").agg(F.max(F.struct("score", "old")).alias("b"))
+    rival = match.select(F.col("old").alias("o"), F.col("new").alias("rival"))
+    rest = lost.join(rival, F.col("b.old") == F.col("o"), "left").select(
+        "supplier", "new", F.col("b.old").alias("old"), F.round("b.score", 3).alias("score"), F.lit("weak").alias("strength"),
+        F.concat(F.lit("'"), F.coalesce("rival", F.lit("another name")), F.lit("' matches '"), F.col("b.old"), F.lit("' better")).alias("why"))
+    return picked.unionByName(rest)
 
 
 def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.backtest import FoldPlan
+from tallyloom.operators.scale import spread
 
 DAY_TYPES = ("enrol", "break", "exam", "normal")
 
@@ -292,7 +293,7 @@ def holt_winters(series: DataFrame, key: str, plan: FoldPlan, grid: list[tuple],
     rows = rows.withColumn("p", F.explode(F.array(*[F.struct(
         F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"), F.lit(d).alias("d")) for a, b, g, d in grid])))
     # every (series, parameters) pair is an independent row: spread the recursions
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key, "p")
+    rows = spread(rows, key, "p")
     m = season
 
     def mean_of(arr):

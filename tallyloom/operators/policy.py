@@ -136,7 +136,8 @@ def service_tier(curve: DataFrame, items: DataFrame) -> DataFrame:
     An efficiency of NULL stands for nothing held (unbounded).
     """
     w = Window.partitionBy("product_id").orderBy("q")
-    d_s, d_h = F.col("served") - F.lag("served").over(w), F.col("held") - F.lag("held").over(w)
+    # a step of rounding noise is no step
+    d_s, d_h = (F.round(F.col(c) - F.lag(c).over(w), 9) for c in ("served", "held"))
     stop = F.lag("q").over(w).isNotNull() & ((F.col("q") > MAX_Q) | ((d_h > 0) & (d_s / d_h < MIN_EFFICIENCY)))
     # windows and the grouping share one partitioning by item
     whole = Window.partitionBy("product_id")

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EDGES = 64
@@ -77,8 +78,6 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tallyloom-")
-    import uuid
-
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -90,5 +89,12 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pick(cond: Column, value: Column | str) -> Column:
-    return F.when(cond, F.col(value) if isinstance(value, str) else value)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give rows that are small but slow to compute to every core.
+
+    Adaptive execution sizes partitions by bytes; a year-long walk per row is
+    a few bytes and much work, so the number of partitions is set here.
+    """
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
