@@ -1,9 +1,8 @@
 """Joins bound to the star."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import fold_name, order_type, strict_date  # noqa: F401
+from tallyloom.functions.text import fold_name, order_type
 from tallyloom.operators import aggregates as A
 from tallyloom.operators import joins as J
 from tallyloom.operators import series as S

@@ -109,12 +109,12 @@ def _(s):
     return u.join(F.broadcast(k), "day").groupBy("planning", "demand", "mark", "report").agg(F.count("*").alias("days"), F.sum("u").alias("units"))
 
 
-_NAMED = "'UST ' || upper(item_name) || CASE WHEN product_id % 3 = 0 THEN ' @' || (product_id % 300 + 50) WHEN product_id % 3 = 1 THEN ' w/ Scarves & Bodies' ELSE ' dress designs' END"
+_NAMED = "'NEW ' || upper(item_name) || CASE WHEN product_id % 3 = 0 THEN ' @' || (product_id % 300 + 50) WHEN product_id % 3 = 1 THEN ' w/ Scarves & Bodies' ELSE ' dress designs' END"
 
 
 def _named():
     k = F.col("product_id")
-    return F.concat(F.lit("UST "), F.upper("item_name"), F.when(k % 3 == 0, F.concat(F.lit(" @"), k % 300 + 50))
+    return F.concat(F.lit("NEW "), F.upper("item_name"), F.when(k % 3 == 0, F.concat(F.lit(" @"), k % 300 + 50))
                     .when(k % 3 == 1, " w/ Scarves & Bodies").otherwise(" dress designs"))
 
 

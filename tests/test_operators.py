@@ -295,7 +295,7 @@ def test_season_plan_equals_daily_walk(spark):
 
 # ------------------------------------------------------------------ entity
 def test_name_tokens(spark):
-    r = spark.range(1).select(T.name_tokens(F.lit("UST ASSORTED SHIRTS UPSIZE (5XL) W/ PRINT")).alias("t")).first()
+    r = spark.range(1).select(T.name_tokens(F.lit("NEW ASSORTED SHIRTS UPSIZE (5XL) W/ PRINT")).alias("t")).first()
     assert r.t == ["shirt", "upsize", "5xl"]
 
 
