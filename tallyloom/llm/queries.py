@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, records
+from tallyloom.llm import bpe, records, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,25 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an archive record, read back."""
+    return warc.archived(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first FROM h GROUP BY hex),
+bits AS (SELECT hex, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), lambda a, c: a || c) AS b FROM f)
+SELECT h.page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           list_reduce(list_transform(range(1, 6), lambda j: CAST(b[5 * i + j] AS INTEGER)), lambda x, y: 2 * x + y) + 1]), lambda x, y: x || y) AS payload_digest,
+       CASE WHEN h.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN h.page_id = f.first THEN NULL ELSE f.first END AS refers_to
+FROM h JOIN f USING (hex) JOIN bits USING (hex)"""
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of the text decoded from them."""
