@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, minhash, records, warc
+from tallyloom.llm import bpe, decontaminate, minhash, records, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,12 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage: one row per document and item."""
+    return decontaminate.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as an archive record, read back."""
