@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontaminate, minhash, records, warc
+from tallyloom.llm import bpe, decontaminate, langid, minhash, records, toxicity, warc
+from tallyloom.llm.sampling import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").filter(id_remainder(F.col("doc_id"), 3) != 1)
+    model = toxicity.train(docs, learn)
+    held = docs.withColumn("held_out", id_remainder(F.col("doc_id"), 3) == 1)
+    return toxicity.with_toxicity(held, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"))
+    model = langid.train(docs.filter("not held_out"))
+    return langid.with_language(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 @query
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that are near copies, on three-word shingles."""
