@@ -13,13 +13,17 @@ score is a logistic function of its matches per reading, so a matched clause
 counts by how it is said. Runs of filler words longer than the memory of the
 machines are skipped in one step, and clauses without a match are not read.
 
-The insult lexicon is an acceptor over words and word beginnings (four to six
-bytes), grown on a bounded sample of labelled texts: again and again the
-entry is taken that explains most toxic texts not yet explained and no more than a
-small share of clean ones. A text that an earlier entry explains supports no other, so words that
-merely stand beside insults, or repeat in copies of one text, are not learned.
-General insults and threats are known from the start. The logistic weights are
-fitted on the same sample, and weighted so that the classes keep their shares.
+The insult lexicon is a weighted acceptor over words and word beginnings,
+learned on a bounded sample of labelled texts. What counts is the number of
+distinct surroundings (word before, word behind) in toxic and in clean texts:
+copies of one text add nothing, and a word that goes with toxic texts only
+because it occurs in a copied one isn't learned. A word is taken if a likelihood-ratio test
+is far beyond chance; a beginning, if three or more such words share it and it
+passes as well. The weight is the log ratio of the two rates. General insults
+and threats are known from the start, with a fixed weight where nothing better
+was learned. The logistic weights of the readings are fitted on the same
+sample, weighted so that the classes keep their shares, and drawn towards
+fixed values for readings that the sample doesn't have.
 
 A null or empty text has no matches and gets the score of clean texts, a
 number as any other. Without labels of both classes only the general lexicon
@@ -41,7 +45,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.arrow_text import BYTE_VALUE, WINDOW, mix, powers, raw, slices, word_spans
 from tallyloom.llm.sampling import bounded_sample
 
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
+GENERAL_WEIGHT = 3.0
 FILLER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 MEMORY = 3  # words that a negation reaches
 
@@ -100,7 +105,7 @@ BACKWARD = composed(latch(TARGET))
 READINGS = 16  # kind x negated x reported x targeted
 
 
-def readings(symbols: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+def readings(symbols: np.ndarray, gaps: np.ndarray) -> list[int]:
     """Reading of each match in one clause; ``gaps``: filler words before each symbol."""
     (ahead, marks), (back, back_marks) = FORWARD, BACKWARD
     before, state = [], 0
@@ -113,8 +118,7 @@ def readings(symbols: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     for symbol in symbols[::-1].tolist():
         after.append(back_marks[state])
         state = back[state, symbol]
-    out = [(symbol == THREAT) * 8 + ((m & 3) | ((m >> 2 | a) & 1) << 2) for symbol, m, a in zip(symbols.tolist(), before, after[::-1]) if symbol in (INSULT, THREAT)]
-    return np.array(out, np.int64)
+    return [(symbol == THREAT) * 8 + ((m & 3) | ((m >> 2 | a) & 1) << 2) for symbol, m, a in zip(symbols.tolist(), before, after[::-1]) if symbol in (INSULT, THREAT)]
 
 
 def _hash(word: str) -> int:
@@ -140,11 +144,20 @@ class Words:
         self.s, self.e = word_spans(data, at, APART)
         self.row = np.searchsorted(at, self.s, "right") - 1
 
-    def features(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(width, words, hashes): whole words at width 0, then beginnings of longer words."""
+    def hashes(self) -> np.ndarray:
+        return _hashes(self.data, self.s, self.e)
+
+    def surroundings(self, own: np.ndarray) -> np.ndarray:
+        """Hash of the words before and behind each word in its text."""
+        same = self.row[1:] == self.row[:-1]
+        before, behind = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+        before[1:][same], behind[:-1][same] = own[:-1][same], own[1:][same]
+        return mix(before * np.uint64(0x9E3779B97F4A7C15) + behind)
+
+    def beginnings(self, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(width, words, hashes of their beginnings) of the words that are longer."""
         size = self.e - self.s
-        yield 0, np.arange(len(size)), _hashes(self.data, self.s, self.e)
-        for w in BEGINNINGS:
+        for w in widths:
             some = np.flatnonzero(size > w)
             yield w, some, _hashes(self.data, self.s[some], self.e[some], w)
 
@@ -157,24 +170,36 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 class Lexicon:
-    """Symbols by hash of a word or beginning."""
+    """Symbols and weights by hash of a word or beginning."""
 
-    def __init__(self, entries: dict[int, int]):
+    def __init__(self, entries: dict[int, tuple[int, float]], widths: list[int]):
         self.keys = np.array(sorted(entries), np.uint64)
-        self.symbols = np.array([entries[int(k)] for k in self.keys], np.int8)
+        self.symbols = np.array([entries[k][0] for k in self.keys.tolist()], np.int8)
+        self.weights = np.array([entries[k][1] for k in self.keys.tolist()])
+        self.widths = widths
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[self.keys >> np.uint64(46)] = True
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``hashes`` that are entries, and their symbols."""
+        """Positions in ``hashes`` that are entries, and the entries."""
         at = np.flatnonzero(self.maybe[hashes >> np.uint64(46)])
         place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
         real = self.keys[place] == hashes[at]
-        return at[real], self.symbols[place[real]]
+        return at[real], place[real]
+
+    def read(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and weight of each word; a whole word goes before a beginning, a long beginning before a short one."""
+        entry = np.full(len(words.s), -1, np.int64)
+        for w, some, hashes in words.beginnings(self.widths):
+            where, found = self.look(hashes)
+            entry[some[where]] = found
+        where, found = self.look(words.hashes())
+        entry[where] = found
+        return np.where(entry >= 0, self.symbols[entry], FILLER), np.where(entry >= 0, self.weights[entry], 0.0)
 
 
-def general_lexicon(kinds: tuple[int, ...] = tuple(GENERAL)) -> dict[int, int]:
-    return {_hash(w): kind for kind in reversed(kinds) for w in GENERAL[kind].split()}
+def general_lexicon() -> dict[int, tuple[int, float]]:
+    return {_hash(w): (kind, GENERAL_WEIGHT) for kind in reversed(GENERAL) for w in GENERAL[kind].split()}
 
 
 @dataclass
@@ -183,20 +208,15 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """Matches of each text by reading."""
-        out = np.zeros((len(column), READINGS))
-        for lo, _, data, at in text_slices(column):
+    def features(self, column: pa.Array) -> np.ndarray:
+        """Of each text: the weight of its matches by reading, as logarithm, and the logarithm of its length in words."""
+        total, length = np.zeros((len(column), READINGS)), np.zeros(len(column))
+        for lo, hi, data, at in text_slices(column):
             words = Words(data, at)
             if not len(words.s):
                 continue
-            symbol = np.zeros(len(words.s), np.int8)
-            for width, some, hashes in words.features():
-                where, found = self.lexicon.look(hashes)
-                if width:  # a whole word says more than a beginning
-                    fresh = symbol[some[where]] == FILLER
-                    where, found = where[fresh], found[fresh]
-                symbol[some[where]] = found
+            length[lo:hi] += np.bincount(words.row, minlength=hi - lo)
+            symbol, weight = self.lexicon.read(words)
             match = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
             if not len(match):
                 continue
@@ -206,92 +226,116 @@ class ToxicityModel:
             group = np.cumsum(np.append(True, (clause[1:] != clause[:-1]) | (words.row[1:] != words.row[:-1])))
             for g in np.unique(group[match]).tolist():
                 i, j = np.searchsorted(group, [g, g + 1])
-                tell = np.flatnonzero(symbol[i:j])
-                gaps = np.diff(np.append(-1, tell)) - 1
-                np.add.at(out[lo + words.row[i]], readings(symbol[i:j][tell], gaps), 1)
-        return out
+                tell = np.flatnonzero(symbol[i:j]) + i
+                gaps = np.diff(np.append(i - 1, tell)) - 1
+                hits = tell[(symbol[tell] == INSULT) | (symbol[tell] == THREAT)]
+                np.add.at(total[lo + words.row[i]], readings(symbol[tell], gaps), weight[hits])
+        return np.hstack([np.log1p(total), np.log1p(length)[:, None]])
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-(np.log1p(self.counts(column)) @ self.weights + self.bias)))
-
-
-def _cover(toxic: int, clean: int, hits: list[tuple[int, int, bool]], width: dict[int, int], least: int, purity: float) -> list[int]:
-    """Entries taken one after the other by the toxic texts that they newly explain."""
-    texts: dict[int, tuple[set[int], int]] = {}
-    for feature, doc, is_toxic in hits:
-        own, n = texts.setdefault(feature, (set(), 0))
-        if is_toxic:
-            own.add(doc)
-        else:
-            texts[feature] = own, n + 1
-    texts = {f: (own, n) for f, (own, n) in texts.items() if len(own) >= least and n * max(toxic, 1) <= (1 - purity) * len(own) * max(clean, 1)}
-    taken, explained = [], set()
-    while texts:
-        new = {f: len(own - explained) for f, (own, _) in texts.items()}
-        best = max(new, key=lambda f: (new[f] - texts[f][1], width[f] or 99, f))
-        if new[best] < least:
-            break
-        taken.append(best)
-        explained |= texts.pop(best)[0]
-    return taken
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps."""
+        return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.weights + self.bias, -50, 50)))
+
+
+def surprise(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood-ratio statistic of ``t`` toxic among t + c surroundings, where ``share`` are toxic; 0 if they are not too many."""
+    n = t + c
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (t * np.log(t / (n * share)) + np.where(c > 0, c * np.log(c / (n * (1 - share))), 0))
+    return np.where(t > n * share, g, 0.0)
+
+
+def learned_lexicon(column: pa.Array, toxic: np.ndarray, beyond: float) -> tuple[dict[int, tuple[int, float]], list[int]]:
+    own, around, bad, where = [], [], [], []
+    parts = []
+    for lo, _, data, at in text_slices(column):
+        words = Words(data, at)
+        if len(words.s):
+            h = words.hashes()
+            own.append(h)
+            around.append(words.surroundings(h))
+            bad.append(toxic[words.row + lo] == 1)
+            where.append(np.stack([np.full(len(h), len(parts)), np.arange(len(h))], 1))
+            parts.append(words)
+    if not own:
+        return {}, []
+    own, around, bad, where = (np.concatenate(x) for x in (own, around, bad, where))
+    _, once = np.unique(mix(own * np.uint64(2) + bad) ^ around, return_index=True)  # each surrounding once in a class
+    own, bad, where = own[once], bad[once], where[once]
+    share = bad.mean()
+    word, sample, code = np.unique(own, return_index=True, return_inverse=True)
+    t = np.bincount(code, bad, minlength=len(word))
+    c = np.bincount(code, minlength=len(word)) - t
+    ratio = lambda t, c: np.log((t + 0.5) / share) - np.log((c + 0.5) / (1 - share))
+    strong = np.flatnonzero((surprise(t, c, share) >= beyond) & (ratio(t, c) >= np.log(4)))
+    entries = {int(word[i]): (INSULT, float(ratio(t[i], c[i]))) for i in strong}
+
+    # beginnings that several strong words share
+    seen: dict[tuple[int, bytes], int] = {}
+    for i in strong.tolist():
+        p, k = where[sample[i]].tolist()
+        spelled = parts[p].data[parts[p].s[k]:parts[p].e[k]].tobytes()
+        for w in BEGINNINGS:
+            if len(spelled) > w:
+                seen[w, spelled[:w]] = seen.get((w, spelled[:w]), 0) + 1
+    widths = sorted({w for (w, _), n in seen.items() if n >= 3})
+    wanted = {w: np.array(sorted(int(_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([w]), w)[0]) for (v, b), n in seen.items() if v == w and n >= 3), np.uint64) for w in widths}
+    many = {w: np.zeros((len(x), 2)) for w, x in wanted.items()}
+    # the beginning of a word follows from the word, so each distinct word is looked at once
+    for p, words in enumerate(parts):
+        mine = where[sample][:, 0] == p
+        k, ids = where[sample][mine, 1], np.flatnonzero(mine)
+        size = words.e - words.s
+        for w in widths:
+            long = size[k] > w
+            h = _hashes(words.data, words.s[k[long]], words.e[k[long]], w)
+            at = np.minimum(np.searchsorted(wanted[w], h), len(wanted[w]) - 1)
+            real = wanted[w][at] == h
+            np.add.at(many[w], at[real], np.stack([t, c], 1)[ids[long][real]])
+    used = set()
+    for w in widths:
+        for h, (tt, cc) in zip(wanted[w].tolist(), many[w].tolist()):
+            if surprise(np.array(tt), np.array(cc), share) >= beyond and ratio(tt, cc) >= np.log(4):
+                entries[h] = (INSULT, float(ratio(tt, cc)))
+                used.add(w)
+    return entries, sorted(used)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps, drawn towards ``prior`` where the sample says little."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = aim = np.append(prior, 0.0)
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (cost * (p - y)) + keep * w
+        gradient = x.T @ (cost * (p - y)) + keep * (w - aim)
         hessian = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(keep)
         w = w - np.linalg.solve(hessian, gradient)
     return w[:-1], float(w[-1])
 
 
 def untrained() -> ToxicityModel:
-    weights = np.array([(3.0 - 2 * (i & 1) - 1.5 * (i >> 1 & 1) + (i >> 2 & 1)) for i in range(READINGS)])
-    return ToxicityModel(Lexicon(general_lexicon()), weights, -4.0)
+    weights = np.array([(3.0 - 2 * (i & 1) - 1.5 * (i >> 1 & 1) + (i >> 2 & 1)) for i in range(READINGS)] + [0.0])
+    return ToxicityModel(Lexicon(general_lexicon(), []), weights, -4.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_each: int = 2500, longest: int = 20_000,
-          least: int = 6, purity: float = 0.98) -> ToxicityModel:
-    """Fit on at most 2 * ``rows_each`` labelled texts of each class, of at most ``longest`` characters, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 6000,
+          longest: int = 20_000, beyond: float = 20.0) -> ToxicityModel:
+    """Fit on at most twice ``toxic_rows`` and ``clean_rows`` labelled texts, of at most ``longest`` characters, chosen by a hash of the id."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.max(label).alias("__toxic"))
     shares = {r[0]: r[1] for r in known.groupBy("__toxic").agg(F.count("*")).collect()}
-    some = F.broadcast(bounded_sample(known, "__id", rows_each, "__toxic"))  # bounded by rows_each
+    some = F.broadcast(bounded_sample(known, "__id", {0: clean_rows, 1: toxic_rows}, "__toxic"))  # bounded by the two numbers
     base = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).filter(F.length("__text") <= longest)
-    rows = sorted((r[0], r[1], r[2]) for r in base.join(some, "__id").select("__id", "__toxic", "__text").limit(4 * rows_each).collect())
+    rows = sorted((r[0], r[1], r[2]) for r in base.join(some, "__id").select("__id", "__toxic", "__text").limit(2 * (toxic_rows + clean_rows)).collect())
     y = np.array([r[1] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return untrained()
     column = pa.array([r[2] for r in rows], pa.string())
-
-    features: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for lo, _, data, at in text_slices(column):
-        words = Words(data, at)
-        for width, some_words, hashes in words.features():
-            pair = np.unique(np.stack([hashes, (words.row[some_words] + lo).astype(np.uint64)]), axis=1)
-            features.append((pair[0], pair[1].astype(np.int64), width))
-    every = np.concatenate([f[0] for f in features])
-    owner = np.concatenate([f[1] for f in features])
-    width = np.concatenate([np.full(len(f[0]), f[2]) for f in features])
-    distinct, code = np.unique(every, return_inverse=True)
-    bad = np.bincount(code, y[owner], minlength=len(distinct))
-    good = np.bincount(code, 1 - y[owner], minlength=len(distinct))
-    n_bad, n_good = y.sum(), len(y) - y.sum()
-    candidate = (bad >= least) & (good * n_bad <= (1 - purity) * bad * n_good)
-    pick = candidate[code]
-    hits = list(zip(every[pick].tolist(), owner[pick].tolist(), (y[owner[pick]] == 1).tolist()))
-    widths = dict(zip(every[pick].tolist(), width[pick].tolist()))
-    learned = _cover(int(n_bad), int(n_good), hits, widths, least, purity)
-
-    lexicon = Lexicon({f: INSULT for f in learned} | general_lexicon())
-    model = ToxicityModel(lexicon, np.zeros(READINGS), 0.0)
-    cost = np.where(y == 1, shares.get(1, 1) / n_bad, shares.get(0, 1) / n_good)
+    learned, widths = learned_lexicon(column, y, beyond)
+    model = ToxicityModel(Lexicon(general_lexicon() | learned, widths), np.zeros(READINGS + 1), 0.0)
+    cost = np.where(y == 1, shares.get(1, 1) / y.sum(), shares.get(0, 1) / (len(y) - y.sum()))
     cost *= len(y) / cost.sum()
-    model.weights, model.bias = _logistic(np.log1p(model.counts(column)), y, cost)
+    model.weights, model.bias = _logistic(model.features(column), y, cost, untrained().weights)
     return model
 
 
