@@ -303,14 +303,18 @@ def learned_lexicon(column: pa.Array, toxic: np.ndarray, beyond: float) -> tuple
 def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton steps, drawn towards ``prior`` where the sample says little."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = aim = np.append(prior, 0.0)
-    keep = np.full(x.shape[1], ridge)
+    aim, keep = np.append(prior, 0.0), np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
-    for _ in range(25):
+    loss = lambda w: float((cost * np.logaddexp(0, -(2 * y - 1) * (x @ w))).sum() + 0.5 * (keep * (w - aim) ** 2).sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (cost * (p - y)) + keep * (w - aim)
         hessian = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        w = w - np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve(hessian, gradient)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w - step
     return w[:-1], float(w[-1])
 
 
