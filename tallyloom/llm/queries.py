@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontaminate, langid, minhash, records, toxicity, warc
+from tallyloom.llm import bpe, decontaminate, langid, minhash, records, secrets, toxicity, warc
 from tallyloom.llm.sampling import id_remainder
+from tallyloom.operators.scale import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +87,32 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, with a new ledger."""
+    found = secrets.secrets_of(table(spark, sf_dir, "documents"), work_dir(spark, "ledger"))
+    return secrets.report(found, ("assign", "access", "hex"))
+
+
+def _spans_sql(kind: str, no: int, pattern: str, base: bool, where: str = "true") -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {no} AS no, {base} AS base, hit, CAST(sum(gap + before) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS start, length(hit) AS n
+FROM (SELECT doc_id, i, hits[i] AS hit, length(gaps[i]) AS gap, CASE WHEN i > 1 THEN length(hits[i - 1]) ELSE 0 END AS before
+      FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
+            FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS hits, string_split_regex(text, '{quoted}') AS gaps FROM d)))
+QUALIFY {where}"""
+
+
+ORACLES["op5_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_spans_sql(r.name, i, r.pattern, r.base, f"length(regexp_extract(hit, '{r.pattern.replace(chr(39), chr(39) * 2)}', 1)) >= {r.value_at_least}" if r.value_at_least else "true") for i, r in enumerate(secrets.RULES))}),
+s AS (SELECT *, kind || ':' || start || ':' || (start + n) AS w FROM f)
+SELECT d.doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
+       sha256(coalesce(string_agg(w, ',' ORDER BY start, no) FILTER (base), '')) AS base_sha256, coalesce(string_agg(w, ',' ORDER BY start, no), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: one row per document and item."""

@@ -73,15 +73,17 @@ def archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str =
     """Write a record for each page under ``folder``; returns the table of files."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("key", F.coalesce("page_id", F.lit(0))).withColumn("unnamed", F.col("page_id").isNull())
     learned = trained(rows, "html", sample_rows, sample_chars, dictionary_bytes)
 
-    keys = rows.select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"))
-    roles = keys.distinct().join(first, "digest").select(F.col("page_id").alias("k"), F.col("digest").alias("d"), "first")
+    keys = rows.select("key", "unnamed", "digest")
+    first = keys.groupBy("digest").agg(F.min(F.when(~F.col("unnamed"), F.col("key"))).alias("first"))
+    roles = keys.distinct().join(first, "digest")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # copies of one page meet in one task, which gives the first of them the response
-    dealt = rows.repartition(parts, "page_id", "digest").join(roles, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")))
-    dealt = dealt.sortWithinPartitions("page_id", "digest").select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "first")
+    together = ["key", "unnamed", "digest"]
+    dealt = rows.repartition(parts, *together).join(roles, together)
+    dealt = dealt.sortWithinPartitions(*together).select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstd.ZstdCompressor(level=3, dict_data=learned and zstd.ZstdCompressionDict(learned), write_checksum=True)
