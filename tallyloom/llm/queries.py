@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontaminate, langid, minhash, records, secrets, toxicity, warc
+from tallyloom.llm import bpe, decontaminate, langid, minhash, pii, records, secrets, toxicity, warc
 from tallyloom.llm.sampling import id_remainder
+from tallyloom.llm.spans import counted, digest, written
 from tallyloom.operators.scale import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +120,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.train(docs))
+    return found.select("doc_id", *[counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], digest(F.col("base")).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as an archive record, read back."""
