@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontaminate, langid, minhash, pii, records, secrets, toxicity, warc
+from tallyloom.llm import ann, bpe, decontaminate, langid, minhash, pii, records, secrets, toxicity, warc
 from tallyloom.llm.sampling import id_remainder
 from tallyloom.llm.spans import counted, digest, written
 from tallyloom.operators.scale import work_dir
@@ -114,6 +114,13 @@ SELECT d.doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign,
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
 
 
+@query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: one row per document and item."""
