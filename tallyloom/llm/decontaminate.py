@@ -201,15 +201,17 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, k: int = 5, sim
 def is_contaminated(text: Column, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 23, block_items: int = 10_000,
                     item_id: str = "item_id", item_text: str = "text") -> Column:
     """Whether a text holds a passage of any item."""
-    out = F.lit(False)
-    for items in blocks(benchmark, item_id, item_text, block_items):
+    def holder(items: list):
         @F.arrow_udf("boolean")
-        def holds(columns: Iterator[pa.Array], items: list = items) -> Iterator[pa.Array]:
+        def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = Benchmark(items, k, similarity, radius)
             for column in columns:
                 flags = np.zeros(len(column), bool)
                 flags[[m[0] for m in own.matches(column)]] = True
                 yield pa.array(flags)
+        return holds
 
-        out = out | holds(text.cast("string"))
+    out = F.lit(False)
+    for items in blocks(benchmark, item_id, item_text, block_items):
+        out = out | holder(items)(text.cast("string"))
     return out
