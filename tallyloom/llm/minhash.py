@@ -10,13 +10,15 @@ everything below is about classes, so copies cost nothing.
    agree in T coordinates share one among their K - T + 1 rarest. Only those
    are posted. Values held by one class need no posting, and a class with fewer
    than T shared values has no partner and is skipped.
-3. *Skip*: in a posting list, first all members meet one pivot. Links join
-   members into components, and from then on only members of different
-   components meet: those outside the largest component of the list become
-   pivots, a few first, four times as many in each round, until all have been.
-   So a list of near copies costs a multiple of its length, and no link between
-   components is left out.
-4. Pairs that agree in T coordinates are confirmed on the full sets.
+3. *Skip*: in a posting list, first all members meet one pivot, the least
+   class. Links join members into components, and from then on only members of
+   different components meet: first a few pivots drawn from the list with all
+   members outside its largest component, then those still outside with
+   all others. A list of near copies so costs a multiple of its length, and no
+   link between components is left out.
+4. Pairs must have similar set sizes (lists are dealt by size band), few
+   differing bits in a one-bit sketch of the signature, and T agreeing
+   coordinates, before they are confirmed on the full sets.
 
 Words are runs of non-blank ASCII characters, lower-cased in A-Z. A text with
 fewer words than a shingle is one shingle; an empty or null text has none and
@@ -40,7 +42,8 @@ from tallyloom.llm.arrow_text import mix, raw, shingles, words
 from tallyloom.llm.components import components
 from tallyloom.operators.scale import cut_lineage
 
-FIRST_PIVOTS = 16
+BITS = 64  # of the sketch
+PIVOTS = 8  # drawn from each list in the second round
 U64 = np.uint64
 
 
@@ -54,6 +57,16 @@ def collisions_needed(coordinates: int, similarity: float, miss: float) -> int:
     return coordinates
 
 
+def differences_allowed(bits: int, similarity: float, miss: float) -> int:
+    """Smallest number of differing sketch bits that pairs at the bound exceed with a probability below ``miss``."""
+    p, tail = (1 - similarity) / 2, 0.0
+    for d in range(bits, 0, -1):
+        tail += comb(bits, d) * p**d * (1 - p) ** (bits - d)
+        if tail >= miss:
+            return d
+    return 0
+
+
 def multipliers(coordinates: int) -> np.ndarray:
     return mix(np.arange(1, coordinates + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 
@@ -130,21 +143,28 @@ def _whole_sets(text, k: int):
     return gather(text)
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs of different classes of two posting lists with the columns key, class and component."""
-    right = right.select("key", F.col("class").alias("other"), F.col("component").alias("apart"))
-    met = left.join(right, "key").filter("class <> other and component <> apart")
+def _pairs(left: DataFrame, right: DataFrame, percent: int, differences: int) -> DataFrame:
+    """Distinct pairs of different classes and components that meet in a list and may be similar enough.
+
+    Both have the columns key, class, component, n and sketch.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
+    near = left.withColumn("band", F.explode(F.sequence(band - 1, band + 1)))
+    other = right.select("key", band.alias("band"), F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("sketch").alias("sketch2"))
+    met = near.join(other, (near["key"] == other["key"]) & (near["band"] == other["band"]) & (F.col("class") != F.col("other")) & (F.col("component") != F.col("apart"))
+                    & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= differences))
     return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, collisions: int, percent: int) -> DataFrame:
-    """Pairs that agree in enough coordinates and whose sets are similar enough."""
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"g_{c}"), F.col("shingles").alias(f"s_{c}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (F.aggregate(F.zip_with("g_a", "g_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= collisions))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return close.withColumn("both", both).filter(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, collisions: int, percent: int) -> DataFrame:
+    """Pairs that agree in enough coordinates, and then whose sets are similar enough."""
+    side = lambda df, c, v: df.select(F.col("class").alias(c), F.col(v).alias(f"{v}_{c}"))
+    agree = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    close = pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b").filter(agree >= collisions).select("a", "b")
+    close = cut_lineage(close, "close-pairs")
+    full = close.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return full.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("n")).filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,6 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     sets of ``k``-word shingles.
     """
     needed = collisions_needed(coordinates, percent / 100, miss)
+    differences = differences_allowed(min(BITS, coordinates), percent / 100, miss)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = cut_lineage(base.select("doc_id", _signed(F.col("text"), k, coordinates).alias("s")).select("doc_id", "s.*"), "signatures")
     classes = cut_lineage(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
@@ -164,35 +185,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
               .filter(F.size("e") >= needed).select("class", F.explode(F.slice("e", F.lit(1), F.size("e") - (needed - 1))).alias("e")).select(F.col("e.key").alias("key"), "class"))
     postings = cut_lineage(prefix, "prefixes")
     met = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    postings = cut_lineage(postings.join(met, "key"), "postings")
+    sketch = F.aggregate(F.slice("signature", 1, BITS), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1) + x.cast("long").bitwiseAND(1))
+    postings = cut_lineage(postings.join(met, "key").join(classes.select("class", "n", sketch.alias("sketch")), "class"), "postings")
 
     # full sets of the classes that meet another one
-    active = classes.join(postings.select("class").distinct(), "class", "left_semi").select("class", "label", "n", "signature")
+    active = cut_lineage(classes.join(postings.select("class").distinct(), "class", "left_semi").select("class", "label", "signature"), "active")
     held = base.join(active.select(F.col("label").alias("l"), F.col("class").alias("c")), F.col("doc_id").eqNullSafe(F.col("l")))
-    held = held.select("c", _whole_sets(F.col("text"), k).alias("s")).filter("s.class = c").select("s.class", "s.shingles").dropDuplicates(["class"])
-    sets = cut_lineage(held.join(active, "class").select("class", "n", "signature", "shingles"), "shingle-sets")
-
-    least = postings.groupBy("key").agg(F.min("class").alias("class"))
-    own = lambda df: df.withColumn("component", F.col("class"))
-    links = cut_lineage(_confirmed(_pairs(own(least), own(postings)), sets, needed, percent), "links")
-    roots = components(links)
-    pivots = FIRST_PIVOTS
-    while True:
-        placed = postings.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("component"))
-        largest = (placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
-                   .agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0"))
-        outside = cut_lineage(placed.join(largest, "key").filter("component <> main").select("key", "class", "component", "outside"), "outside")
-        most = outside.agg(F.max("outside")).first()[0]
-        if most is None:
-            break
-        chosen = outside.filter(F.pmod(F.xxhash64("class", F.lit(pivots)), F.ceil(F.col("outside") / pivots)) == 0)
-        found = cut_lineage(_confirmed(_pairs(chosen, placed), sets, needed, percent), "links")
-        if found.head(1):
-            links = links.union(found)
+    held = held.select("c", _whole_sets(F.col("text"), k).alias("s")).filter("s.class = c").select("s.class", "s.shingles")
+    sets = cut_lineage(held.dropDuplicates(["class"]), "shingle-sets")
+
+    roots = None
+    links = None
+    for turn in ("least", "drawn", "all"):
+        if roots is None:
+            placed = postings.withColumn("component", F.col("class"))
+            left = postings.groupBy("key").agg(F.min(F.struct("class", "n", "sketch")).alias("p")).select("key", "p.*").withColumn("component", F.col("class"))
+            right = placed
+        else:
+            placed = cut_lineage(postings.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "sketch", F.coalesce("root", "class").alias("component")), "placed")
+            largest = (placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
+                       .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("most < size"))
+            open_ = placed.join(largest, "key")
+            left = open_.filter("component <> main").select(*placed.columns)
+            right = open_.select(*placed.columns)
+            if turn == "drawn":
+                right = open_.filter(F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / PIVOTS)) == 0).select(*placed.columns)
+        found = cut_lineage(_confirmed(_pairs(left, right, percent, differences), active, sets, needed, percent), "links")
+        if roots is None or found.head(1):
+            links = found if links is None else links.union(found)
             roots = components(links)
-        if most <= pivots:  # every member outside the largest components was a pivot
-            break
-        pivots *= 4
 
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "label", F.coalesce("root", "class").alias("root"))
     names = named.groupBy("root").agg(F.min("label").alias("component_id"))
