@@ -24,16 +24,25 @@ CATEGORY_RULES = (
 RESIDUE = "Uncategorised"
 # Store section patterns with where the rule comes from, first match wins.
 SECTION_RULES = (
-    ("Vouchers", "list", r"\bvoucher"), ("Toys", "list", r"\bcar\b|plush|stuff\s*toy"),
-    ("Jackets", "list", r"hoodie|jacket|windbreaker|sweatshirt|bomber"), ("Polo", "list", r"\bpolo|poloshirt"),
-    ("Shirts", "list", r"shirt|embro|dri-?\s*fit|dry fit|oversize"),
-    ("Gift items", "list", r"sticker|key\s*chain|clicker|\bpins?\b|clock|utensil|clapper"),
-    ("Stationery", "list", r"\bpens?\b|ballpen|pencil|notebook|notelet|bookmark"),
-    ("Bags", "list", r"\bbags?\b|\btote|back\s*pack"), ("Mugs", "list", r"\bmug|tumbler|\bcup\b"),
-    ("Lanyards", "list", r"lanyard|\blace\b|i\.?d\s*case"),
-    ("Accessories", "list", r"scarf|scarves|headband|\bcaps?\b|\bhat\b|umbrella|canopy"),
-    ("Accessories", "name", r"\bsash\b|\bsocks?\b|charger"),
+    ("Vouchers", "list", r"\bvoucher"),
+    ("Costumes", "list", r"\bcost?ume\b|\bcustome\b"),
+    ("Bundles & Gift Sets", "list", r"\bkit\b"),
+    ("Toys and Plushies", "list", r"\bcar\b|plush|stuff\s*toy"),
+    ("Jersey", "list", r"\bjersey\b"),
+    ("Jackets, Hoodies, Sweatshirt", "list", r"hoodie|jacket|windbreaker|breaker|sweatshirt|bomber|machete|taslan"),
+    ("Polo Shirts", "list", r"\bpolo|poloshirt|subli\w*\s+(yellow|2 color)"),
+    ("Shirts", "name", r"(architecture|cics|cthm|engineering|fine arts|pharmacy|tourism|commerce|college of science|ipea|absc|arts & letters)"),
+    ("Shirts", "list", r"shirt|embro|dri-?\s*fit|dry fit|oversize|\bos\b|golden tigresses|happy tiger|tiger pattern|quiana|quina|go uste|\bvl ust"),
+    ("Premium Pens", "list", r"insignia|blanca|picasso|w/\s*box|with box"),
+    ("Gift & Souvenir Items", "list", r"sticker|key\s*chain|clicker|\bpins?\b|\barch\b|clock|utensil|clapper"),
+    ("Writing & Stationery", "list", r"\bpens?\b|ballpen|pencil|notebook|\bnb\b|notelet|bookmark|ust-pen"),
+    ("Bags", "list", r"\bbags?\b|\btote|back\s*pack"),
+    ("Mugs & Tumblers", "list", r"\bmug|tumbler|aquaflask|\bcup\b"),
+    ("Lanyards & ID Accessories", "list", r"lanyard|\blace\b|i\.?d\s*case"),
+    ("Accessories, Tech (Textiles & Wearables)", "list", r"scarf|scarves|headband|\bcaps?\b|\bhat\b|trucker|umbrella|\bumb\b|\bumb\.|canopy|power\s*bank|powerbank|blanket"),
+    ("Accessories, Tech (Textiles & Wearables)", "name", r"\bsash\b|\bsocks?\b|charger"),
 )
+SECTION_RESIDUE = "Uncategorized"
 APPAREL_TAGS = {"APPAREL": "apparel", "NON-APPAREL": "non-apparel", "MAIN STORAGE": "non-apparel"}
 APPAREL_PARTS = ("shirt", "jersey", "jacket", "hoodie", "sweatshirt", "poloshirt", "uniform", "blouse", "costume",
                  "embro", "oversized", "varsity", "dri-fit", "drifit", "taslan", "subli", "headband", "blazer")
@@ -98,7 +107,7 @@ def section_of(name: Column, override: Column) -> Column:
 
     return _ladder([(override.isNotNull(), pair(override, "override"))]
                    + [(low.rlike(pat), pair(F.lit(sec), basis)) for sec, basis, pat in SECTION_RULES],
-                   pair(F.lit(RESIDUE), "none"))
+                   pair(F.lit(SECTION_RESIDUE), "none"))
 
 
 def is_apparel_name(name: Column) -> Column:

@@ -269,16 +269,18 @@ def observed_rate(train: DataFrame, keys: list[str], horizon: int, window: int =
 
     Needs ``traded`` (0/1) and ``t_pos``, the traded days through the row, so
     the last ``window`` traded days of a fold are found without another pass.
-    They are looked for in the last ``2 * window + 60`` days.
+    They are looked for in the whole history: long closures only make the
+    search longer. Each one is a running number, so no day list is gathered.
     """
-    g = train.groupBy(*keys, "fold").agg(F.max(F.when(F.col("traded") == 1, F.col("t_pos"))).alias("t_end"),
-                                         F.avg(F.when(F.col("age") < density_window, F.col("traded"))).alias("density"),
-                                         F.avg(_tail(window)).alias("base"), F.collect_list(
-                                             F.when((F.col("traded") == 1) & (F.col("age") < 2 * window + 60), F.struct("t_pos", "qty"))).alias("recent"))
-    last = F.filter("recent", lambda x: x["t_pos"] > F.col("t_end") - window)
-    rate = F.aggregate(last, F.lit(0.0), lambda a, x: a + x["qty"]) / F.size(last)
+    # one row per fold and training length: the traded days of a fold are the same for every series
+    ends = train.filter("traded = 1").groupBy("fold", "train_end").agg(F.max("t_pos").alias("t_end"))
+    late = (F.col("traded") == 1) & (F.col("t_pos") > F.col("t_end") - window)
+    g = train.join(F.broadcast(ends), ["fold", "train_end"], "left").groupBy(*keys, "fold").agg(
+        F.max("t_end").alias("t_end"), F.avg(F.when(F.col("age") < density_window, F.col("traded"))).alias("density"),
+        F.avg(_tail(window)).alias("base"), F.avg(F.when(late, F.col("qty"))).alias("rate"))
+    rate = F.coalesce("rate", F.lit(0.0))
     total = rate * F.greatest(horizon * F.col("density"), F.lit(1.0))
-    return g.select(*keys, "fold", F.when(F.col("t_end") < min_observed, F.col("base")).otherwise(total / horizon).alias("level"))
+    return g.select(*keys, "fold", F.when(F.coalesce("t_end", F.lit(0)) < min_observed, F.col("base")).otherwise(total / horizon).alias("level"))
 
 
 def holt_winters(series: DataFrame, key: str, plan: FoldPlan, grid: list[tuple], season: int = 7) -> DataFrame:

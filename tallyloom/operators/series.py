@@ -42,8 +42,10 @@ def densify(daily: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trim_to_history(series: DataFrame) -> DataFrame:
-    last = series.agg(F.max(F.when(F.col("qty") > 0, F.col("day")))).scalar()
-    return series.filter(F.col("day") <= last)
+    """Days up to the last one on which anything was sold."""
+    last = series.agg(F.max(F.when(F.col("qty") > 0, F.col("day"))).alias("__last"))
+    # one row on the right
+    return series.join(F.broadcast(last), F.col("day") <= F.col("__last")).drop("__last")
 
 
 def trading_days(series: DataFrame, tally_days: DataFrame, key: str = "sku") -> DataFrame:

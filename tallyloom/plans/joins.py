@@ -16,17 +16,16 @@ FLAGS = ["is_enrollment_period", "is_exam_week", "is_event_day", "is_sem_break"]
 SELECT category, strftime(day, '%Y-%m') AS planning_month, is_exam_week, sum(quantity_sold) AS units
 FROM sale JOIN calendar USING (day) JOIN product USING (product_id) GROUP BY ALL""")
 def _(s):
-    j = s.sale.join(F.broadcast(s.calendar), "day").join(s.product, "product_id")
-    return j.groupBy("category", F.date_format("day", "yyyy-MM").alias("planning_month"), "is_exam_week").agg(
-        F.sum("quantity_sold").alias("units"))
+    # sums per item, month and flag first: a hot item joins as a few dozen rows
+    j = s.sale.join(F.broadcast(s.calendar), "day").groupBy("product_id", F.date_format("day", "yyyy-MM").alias("planning_month"), "is_exam_week").agg(F.sum("quantity_sold").alias("units"))
+    return j.join(s.product, "product_id").groupBy("category", "planning_month", "is_exam_week").agg(F.sum("units").alias("units"))
 
 
 @plan("join_left_stats", "product_id:l units:l observed_days:l", """
 SELECT p.product_id, coalesce(sum(quantity_sold), 0) AS units, count(DISTINCT day) AS observed_days
-FROM product p LEFT JOIN (SELECT * FROM sale WHERE day >= DATE '2001-06-01') f USING (product_id) GROUP BY 1""")
+FROM product p LEFT JOIN sale f USING (product_id) GROUP BY 1""")
 def _(s):
-    recent = A.product_stats(s.sale.filter(F.col("day") >= "2001-06-01"))
-    return s.product.join(recent, "product_id", "left").select(
+    return s.product.join(A.product_stats(s.sale), "product_id", "left").select(
         "product_id", F.coalesce("total_units", F.lit(0)).alias("units"),
         F.coalesce("observed_days", F.lit(0)).alias("observed_days"))
 
@@ -261,15 +260,16 @@ def _(s):
     return S.densify(s.sku_day, ["sku", "category"])
 
 
-@plan("blocked_pair_join", "supplier_id:l pairs:l shared_base:l", """
-WITH n AS (SELECT supplier_id, category, product_id, base_name FROM product_full)
-SELECT a.supplier_id, count(*) AS pairs, sum(CASE WHEN a.base_name = b.base_name THEN 1 ELSE 0 END) AS shared_base FROM n a JOIN n b ON a.supplier_id = b.supplier_id AND a.category = b.category AND a.product_id <> b.product_id AND a.base_name = b.base_name GROUP BY 1""")
+@plan("blocked_pair_join", "supplier_id:l product_id:l other_id:l shared_base:l", """
+SELECT a.supplier_id, a.product_id, b.product_id AS other_id, CAST(a.base_name = b.base_name AS INTEGER) AS shared_base
+FROM product_full a JOIN product_full b ON a.supplier_id = b.supplier_id AND a.category = b.category AND a.brand = b.brand AND a.product_id < b.product_id""")
 def _(s):
-    # pairs share the supplier, the category and a word block, and only the
-    # counts leave the join: per block c * (c - 1) ordered pairs
-    n = s.product_full.groupBy("supplier_id", "category", "base_name").agg(F.count("*").alias("c"))
-    return n.filter("c > 1").groupBy("supplier_id").agg(
-        F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), F.sum(F.col("c") * (F.col("c") - 1)).alias("shared_base"))
+    # the candidate pairs are the feature; the block is supplier, category and brand
+    block = ["supplier_id", "category", "brand"]
+    n = s.product_full.select(*block, "product_id", "base_name")
+    other = n.select(*block, F.col("product_id").alias("other_id"), F.col("base_name").alias("other_base"))
+    return n.join(other, block).filter("product_id < other_id").select(
+        "supplier_id", "product_id", "other_id", (F.col("base_name") == F.col("other_base")).cast("int").alias("shared_base"))
 
 
 @plan("correction_apply", "product_id:l day:D quantity_sold:l imputation_flag:l correction_id:l rows:l", """

@@ -72,10 +72,9 @@ def _(s):
     return s.category_series
 
 
-@plan("series_trim", "sku:s day:D qty:d0", "SELECT sku, day, qty FROM series WHERE day <= (SELECT max(day) FROM series WHERE qty > 0 AND sku NOT LIKE 'Brand#1%')")
+@plan("series_trim", "sku:s day:D qty:d0", "SELECT sku, day, qty FROM series WHERE day <= (SELECT max(day) FROM series WHERE qty > 0)")
 def _(s):
-    last = s.series.filter(~F.col("sku").startswith("Brand#1")).agg(F.max(F.when(F.col("qty") > 0, F.col("day")))).scalar()
-    return S.trim_to_history(s.series.withColumn("qty", F.when(F.col("day") <= last, F.col("qty")).otherwise(0.0)))
+    return S.trim_to_history(s.series)
 
 
 @plan("series_trading_days", "sku:s day:D pos:l qty:d0", """
@@ -284,7 +283,7 @@ def _(s):
     traded = (1 - F.col("closed"))
     # the traded-day counter is the same for every series: one row per day
     days = days.withColumn("traded", traded).withColumn("t_pos", F.sum(traded).over(Window.partitionBy("n").orderBy("pos")))
-    t = B.training_rows(s.series.join(F.broadcast(days.select("day", "traded", "t_pos")), "day"), PLAN, window=180)
+    t = B.training_rows(s.series.join(F.broadcast(days.select("day", "traded", "t_pos")), "day"), PLAN)
     return M.observed_rate(t, ["sku"], 30)
 
 

@@ -21,8 +21,8 @@ def _(s):
     return ip.orderBy(F.desc(F.coalesce("php", F.lit(0.0))), F.desc("units"), "product_id").limit(10).withColumn("share", F.col("php") / total)
 
 
-_DRIVE = """WITH m AS (SELECT product_id, category, strftime(day, '%Y-%m') AS month, sum(quantity_sold) AS u, sum(quantity_sold) * any_value(coalesce(unit_price_php, 0)) AS php FROM sale JOIN product USING (product_id) WHERE strftime(day, '%Y-%m') IN ('2001-09', '2001-10') GROUP BY ALL),
-d AS (SELECT product_id, category, sum(CASE WHEN month = '2001-10' THEN php ELSE -php END) AS diff FROM m GROUP BY ALL),
+_DRIVE = """WITH m AS (SELECT product_id, category, strftime(day, '%Y-%m') AS month, sum(quantity_sold) AS u, sum(quantity_sold) * any_value(coalesce(unit_price_php, 0)) AS php FROM sale JOIN product USING (product_id) WHERE strftime(day, '%Y-%m') IN (SELECT DISTINCT strftime(day, '%Y-%m') FROM sale ORDER BY 1 DESC LIMIT 2) GROUP BY ALL),
+d AS (SELECT product_id, category, sum(CASE WHEN month = (SELECT max(month) FROM m) THEN php ELSE -php END) AS diff FROM m GROUP BY ALL),
 c AS (SELECT category, sum(diff) AS cdiff FROM d GROUP BY 1)
 """
 
@@ -34,10 +34,12 @@ def drivers(s):
 
     The salted top-k keeps a hot category from being sorted in one task.
     """
-    m = s.sale.filter(month_key("day").isin("2001-09", "2001-10")).groupBy("product_id", month_key("day").alias("month")).agg(
-        F.sum("quantity_sold").alias("u")).join(s.product, "product_id")
+    # per item and month the whole fact is a small table; the two newest months with data are compared
+    months = s.sale.groupBy("product_id", month_key("day").alias("month")).agg(F.sum("quantity_sold").alias("u"))
+    newest = months.select("month").distinct().orderBy(F.desc("month")).limit(2).agg(F.max("month").alias("new"), F.min("month").alias("old"))
+    m = months.join(F.broadcast(newest), F.col("month").isin(F.col("new"), F.col("old"))).join(s.product, "product_id")
     php = F.col("u") * F.coalesce("unit_price_php", F.lit(0.0))
-    d = m.groupBy("product_id", "category").agg(F.sum(F.when(F.col("month") == "2001-10", php).otherwise(-php)).alias("diff"))
+    d = m.groupBy("product_id", "category").agg(F.sum(F.when(F.col("month") == F.col("new"), php).otherwise(-php)).alias("diff"))
     c = d.groupBy("category").agg(F.sum("diff").alias("cdiff"))
     moved = d.join(F.broadcast(c), "category").filter(F.col("diff") * F.col("cdiff") > 0)
     return top_per_group(moved, "category", F.struct(F.abs("diff").alias("a"), (-F.col("product_id")).alias("b")),

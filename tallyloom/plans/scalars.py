@@ -30,7 +30,7 @@ def _(s):
 
 
 @plan("fn_rules_with_override", "item_name:s section:s basis:s units:l", _U + f"""
-SELECT item_name, CASE WHEN product_id % 19 = 0 THEN 'Premium' ELSE {_case([(a, p) for a, _, p in T.SECTION_RULES], 'lower(item_name)', _q(T.RESIDUE))} END AS section,
+SELECT item_name, CASE WHEN product_id % 19 = 0 THEN 'Premium' ELSE {_case([(a, p) for a, _, p in T.SECTION_RULES], 'lower(item_name)', _q(T.SECTION_RESIDUE))} END AS section,
 CASE WHEN product_id % 19 = 0 THEN 'override' ELSE {_case([(b, p) for _, b, p in T.SECTION_RULES], 'lower(item_name)', "'none'")} END AS basis, units FROM u""")
 def _(s):
     over = s.product.filter(F.col("product_id") % 19 == 0).select("product_id", F.lit("Premium").alias("override"))
@@ -62,13 +62,13 @@ _LEAD = [("28", "jacket|windbreaker"), ("18", "embro"), ("14", r"shirt|jersey|po
 
 
 @plan("fn_lead_time", "product_id:l days:l label:s", """
-WITH md AS (SELECT supplier_id, count(*) AS n, round_even(quantile_cont(d, 0.5), 0) AS med FROM (SELECT supplier_id, date_diff('day', ordered_on, delivered_on) AS d FROM restock_log WHERE delivered_on >= ordered_on AND supplier_id % 2 = 0) GROUP BY 1 HAVING count(*) >= 3)
+WITH md AS (SELECT supplier_id, count(*) AS n, round_even(quantile_cont(d, 0.5), 0) AS med FROM (SELECT supplier_id, date_diff('day', ordered_on, delivered_on) AS d FROM restock_log WHERE delivered_on >= ordered_on) GROUP BY 1 HAVING count(*) >= 3)
 SELECT product_id, coalesce(med, """ + _case(_LEAD, "lower(item_name)", "18", str) + """) AS days, CASE WHEN med IS NOT NULL THEN 'measured (' || n || ' deliveries)' ELSE """
       + _case([("jacket", "jacket|windbreaker"), ("embroidered_shirt", "embro"), ("simple_dtf_puff_shirt", r"shirt|jersey|polo|\btee\b")], "lower(item_name)", "'default (uncategorized)'") + " END AS label FROM product_full LEFT JOIN md USING (supplier_id)")
 def lead_times(s):
     from tallyloom.plans.aggregates import delivery_medians
 
-    md = delivery_medians(s.restock_log.filter(F.col("supplier_id") % 2 == 0))
+    md = delivery_medians(s.restock_log)
     p = s.product_full.join(md, "supplier_id", "left").withColumn("lt", T.lead_time(F.col("item_name"), F.lit(None).cast("string")))
     measured = F.concat(F.lit("measured ("), F.col("deliveries"), F.lit(" deliveries)"))
     return p.select("product_id", F.coalesce(F.col("median_days").cast("long"), F.col("lt.days")).alias("days"),

@@ -8,10 +8,8 @@ from tallyloom.sources import readers as R
 
 
 @plan("scan_star", "product_id:l day:D quantity_sold:l",
-      "SELECT product_id, day, quantity_sold FROM fact WHERE day >= DATE '1999-01-01'")
+      "SELECT product_id, day, quantity_sold FROM fact")
 def scan_star(s):
-    recent = s.table("lineitem").filter(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
-    s.table = lambda name, t=s.table: recent if name == "lineitem" else t(name)
     return s.fact.select("product_id", "day", "quantity_sold")
 
 
@@ -20,9 +18,9 @@ def scan_star(s):
        count(*) FILTER (line_no = 5) AS bad_rows FROM
        (SELECT product_id, line_no, amount, CASE WHEN line_no = 5 THEN NULL ELSE quantity_sold END AS quantity_sold FROM fact) GROUP BY 1""")
 def scan_csv_strict(s):
-    raw = s.fact.select(F.concat_ws(",", "product_id", F.when(F.col("line_no") == 5, "n/a").otherwise(
-        F.col("quantity_sold").cast("string")), F.col("amount").cast("string")).alias("line"))
-    fields = raw.select(F.from_csv("line", R.string_schema(["item", "qty", "amount"]).simpleString()[7:-1].replace(":", " ")).alias("r")).select("r.*")
+    path = work_dir(s.spark, "tally-csv")
+    s.fact.select(F.col("product_id").alias("item"), F.when(F.col("line_no") == 5, "n/a").otherwise(F.col("quantity_sold").cast("string")).alias("qty"), "amount").write.option("header", True).csv(path)
+    fields = R.read_csv_strict(s.spark, path, ["item", "qty", "amount"])
     qty = F.col("qty").try_cast("long")
     return fields.groupBy(F.col("item").try_cast("long").alias("product_id")).agg(
         F.sum(qty).alias("quantity"), F.sum(F.col("amount").try_cast("double")).alias("amount"),
@@ -33,9 +31,11 @@ def scan_csv_strict(s):
       """SELECT coalesce(nullif(trim(CASE WHEN product_id % 3 = 0 THEN ' ' ELSE item_name END), ''), base_name) AS item,
        sum(quantity_sold) AS qty FROM fact JOIN product USING (product_id) GROUP BY 1""")
 def normalize_headers(s):
-    messy = s.fact.join(s.product, "product_id").select(
+    # one row per item: a hot item joins once
+    totals = s.fact.groupBy("product_id").agg(F.sum("quantity_sold").alias("units"))
+    messy = totals.join(s.product, "product_id").select(
         F.when(F.col("product_id") % 3 == 0, " ").otherwise(F.col("item_name")).alias("Item  Name"),
-        F.col("base_name").alias("DESCRIPTION."), F.col("quantity_sold").alias("Total_QTY"))
+        F.col("base_name").alias("DESCRIPTION."), F.col("units").alias("Total_QTY"))
     clean = R.normalize_headers(messy, {"item": ["item name", "description"], "qty": ["quantity", "total qty"]})
     return clean.groupBy("item").agg(F.sum(F.col("qty").try_cast("long")).alias("qty"))
 
@@ -172,7 +172,10 @@ def judged_rows(s):
 @plan("quarantine_sink", "reason:s raw_item:s raw_qty:s raw_date:s rows_held:l",
       _RAW + """SELECT coalesce(reason, 'loaded') AS reason, raw_item, raw_qty, raw_date, count(*) AS rows_held FROM judged GROUP BY ALL""")
 def quarantine_sink(s):
-    return judged_rows(s).groupBy(F.coalesce("reason", F.lit("loaded")).alias("reason"), "raw_item", "raw_qty",
+    path = work_dir(s.spark, "tally-load")
+    R.write_with_quarantine(judged_rows(s).select("raw_item", "raw_qty", "raw_date", "reason"), f"{path}/good", f"{path}/bad")
+    good, bad = s.spark.read.parquet(f"{path}/good"), s.spark.read.parquet(f"{path}/bad")
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).groupBy(F.coalesce("reason", F.lit("loaded")).alias("reason"), "raw_item", "raw_qty",
                                   "raw_date").agg(F.count("*").alias("rows_held"))
 
 
@@ -212,4 +215,6 @@ def export_csv(s):
 
     lines = supplier_lines(s.sale, s.product_full.withColumn("item_name", F.when(
         F.col("product_id") % 9 == 0, F.concat(F.lit("="), "item_name")).otherwise(F.col("item_name"))))
-    return lines.withColumn("item", R.csv_safe(F.col("item")))
+    path = work_dir(s.spark, "report-csv")
+    R.write_csv_report(lines.select("supplier", "item", "units", "line_total", "row_kind"), path)
+    return s.spark.read.schema("supplier string, item string, units long, line_total double, row_kind int").option("header", True).csv(path)

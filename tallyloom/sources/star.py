@@ -205,8 +205,9 @@ class Star:
     def sku_day(self) -> DataFrame:
         """Units per product line and day, recorded days only."""
         p = self.product.select("product_id", "sku", "category")
-        return self.walkin.join(p, "product_id").groupBy("sku", "category", "day").agg(
-            F.sum("quantity_sold").cast("double").alias("qty"))
+        # item days first: a hot item joins as one row per day
+        days = self.walkin.groupBy("product_id", "day").agg(F.sum("quantity_sold").alias("units"))
+        return days.join(p, "product_id").groupBy("sku", "category", "day").agg(F.sum("units").cast("double").alias("qty"))
 
     @cached_property
     def series(self) -> DataFrame:
