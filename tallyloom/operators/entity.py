@@ -96,16 +96,17 @@ def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
         F.col("score") >= MIN_SCORE)
 
 
-def one_to_one(scores: DataFrame, rounds: int = 40) -> DataFrame:
+def one_to_one(scores: DataFrame) -> DataFrame:
     """Greedy best-first matching as rounds of mutual best pairs.
 
     A pair that is the best of both its names is what the greedy order takes
     first among them, so taking all mutual bests and repeating gives the same
-    matching. Names are unique, so ties are broken by (new, old).
+    matching. Names are unique, so ties are broken by (new, old). Every round
+    takes at least the best pair of all, so the loop ends by itself.
     """
     left = cut_lineage(scores.filter(F.col("score") >= MIN_SCORE).select("supplier", "new", "old", "score"), "pairs")
     out = None
-    for _ in range(rounds):
+    while True:
         key = F.struct("score", "new", "old")
         bn = left.groupBy("new").agg(F.max(key).alias("b")).select("new", F.col("b.old").alias("old"))
         bo = left.groupBy("old").agg(F.max(key).alias("b")).select("old", F.col("b.new").alias("new"))
@@ -114,7 +115,6 @@ def one_to_one(scores: DataFrame, rounds: int = 40) -> DataFrame:
             return out if out is not None else taken
         out = taken if out is None else out.unionByName(taken)
         left = cut_lineage(left.join(taken.select("new"), "new", "left_anti").join(taken.select("old"), "old", "left_anti"), "pairs")
-    raise RuntimeError("matching did not settle; raise rounds")
 
 
 def suggest(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def suggest(new: DataFrame, old: DataFrame) -> DataFrame:
     return picked.unionByName(rest)
 
 
-def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def min_label_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected components: every node takes the smallest label it can reach.
 
     Each round also jumps a label to its own label, so long chains settle in a
@@ -155,7 +155,7 @@ def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -
     """
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("l2"))
         jump = step.join(step.select(F.col("node").alias("l2"), F.col("l2").alias("l3")), "l2", "left").select(
@@ -165,7 +165,6 @@ def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -
         labels = jump.select("node", F.col("new_label").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise rounds")
 
 
 def similar_pairs(names: DataFrame, col: str, min_ratio: int) -> DataFrame:

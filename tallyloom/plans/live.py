@@ -8,8 +8,8 @@ from tallyloom.streaming import live as L
 _EV = "WITH ev AS (SELECT event_id, user_id AS product_id, ts, CAST(ts AS DATE) AS day, event_type AS kind, CAST(floor(value) AS BIGINT) AS quantity FROM events)\n"
 
 
-def read_all(s, path):
-    return s.spark.read.option("recursiveFileLookup", True).parquet(path)
+def live_days(s):
+    return L.live_days(L.tally_stream(s.spark, s.path))
 
 
 @plan("st_ingest_validate", "status:s product_id:l rows:l units:l", _EV + """
@@ -23,15 +23,13 @@ def _(s):
 
 @plan("st_daily_units", "product_id:l day:D units:l", _EV + "SELECT product_id, day, sum(quantity) AS units FROM ev GROUP BY ALL")
 def _(s):
-    path = L.write_batches(L.daily_units(L.tally_stream(s.spark, s.path)), "daily")
-    return L.newest(s.spark, path, ["product_id", "day"], ["units"])
+    return L.daily_units(live_days(s))
 
 
 @plan("st_sliding_rate", "product_id:l from_day:D units:l", _EV + """
 SELECT product_id, day - CAST(k AS INT) AS from_day, sum(quantity) AS units FROM ev, (SELECT unnest(range(28)) AS k) GROUP BY ALL""")
 def _(s):
-    path = L.write_batches(L.sliding_units(L.tally_stream(s.spark, s.path)), "sliding")
-    return L.newest(s.spark, path, ["product_id", "from_day"], ["units"])
+    return L.sliding_units(live_days(s))
 
 
 @plan("st_session_runs", "product_id:l run_start:D run_end:D rows:l", _EV + """,
@@ -39,17 +37,13 @@ d AS (SELECT product_id, day, count(*) AS c FROM ev GROUP BY ALL),
 g AS (SELECT *, sum(b) OVER (PARTITION BY product_id ORDER BY day) AS r FROM (SELECT *, CASE WHEN date_diff('day', lag(day) OVER (PARTITION BY product_id ORDER BY day), day) <= 3 THEN 0 ELSE 1 END AS b FROM d))
 SELECT product_id, min(day) AS run_start, max(day) AS run_end, sum(c) AS rows FROM g GROUP BY product_id, r""")
 def _(s):
-    # session windows cannot be emitted in update mode; complete re-emits all
-    path = L.write_batches(L.session_runs(L.tally_stream(s.spark, s.path)), "sessions", "complete")
-    df = read_all(s, path)
-    return df.filter(F.col("batch") == df.agg(F.max("batch")).scalar())
+    return L.session_runs(live_days(s))
 
 
 @plan("st_dedup_latest", "product_id:l kind:s quantity:l event_id:l", _EV + """
 SELECT product_id, kind, arg_max(quantity, (ts, event_id)) AS quantity, arg_max(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY ALL""")
 def _(s):
-    path = L.write_batches(L.latest_per_key(L.tally_stream(s.spark, s.path)), "latest")
-    return L.newest(s.spark, path, ["product_id", "kind"], ["quantity", "event_id"])
+    return L.latest_per_key(L.tally_stream(s.spark, s.path)).select("product_id", "kind", "quantity", "event_id")
 
 
 @plan("st_stock_state", "product_id:l day:D on_hand:l is_censored:l", _EV + """,
@@ -61,7 +55,7 @@ def _(s):
     k = F.col("product_id")
     counts = s.table("events").select(F.col("user_id").alias("product_id"), F.date_format("ts", "yyyy-MM").alias("month")).distinct().filter(k % 5 != 0).select(
         "product_id", "month", (k * 37 % 900 + 100).alias("counted"))
-    return read_all(s, L.stock_state(L.tally_stream(s.spark, s.path), counts))
+    return L.stock_state(live_days(s), counts)
 
 
 @plan("st_pending_since_run", "kind:s pending:l newest_id:l", _EV + """

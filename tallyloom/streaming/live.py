@@ -1,25 +1,28 @@
 """The live tally path as Structured Streaming jobs.
 
 Every job reads files, runs to the end of what is there (``availableNow``) or
-keeps running, and leaves Parquet behind. Updates carry the batch number, so a
-reader keeps the newest row per key and a replayed batch changes nothing.
+keeps running, and leaves Parquet behind. A batch is reduced to one row per key
+and written under its batch number, so a replayed batch replaces itself. There
+is no watermark: a late row only adds to its key, whenever it comes, and readers
+add the batches up. What is kept between batches is the written table, which
+``compact`` folds into one row per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.scale import work_dir
 
-LATE = "2 days"
-COUNT_EVERY = 90
+DAY = ["product_id", "day", "kind"]
 
 
-def tally_stream(spark: SparkSession, path: str, pattern: str = "events.parquet") -> DataFrame:
-    """Tally rows: product_id, ts, kind, quantity, event_id."""
-    schema = spark.read.parquet(f"{path}/{pattern}").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 8).parquet(path)
+def tally_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """Tally rows of the arriving files of ``events.parquet``, which is a file or a folder of files."""
+    schema = spark.read.parquet(f"{path}/events.parquet").schema
+    # a path with a glob may name a file as well as a folder
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}/events.parque[t]")
     return as_tally(raw)
 
 
@@ -28,55 +31,67 @@ def as_tally(events: DataFrame) -> DataFrame:
                          F.col("event_type").alias("kind"), F.floor("value").cast("long").alias("quantity"))
 
 
-def write_batches(stream: DataFrame, name: str, mode: str = "update") -> str:
-    """Run the stream to the end and return the folder it wrote."""
+def write_batches(stream: DataFrame, name: str, reduced) -> str:
+    """Run the stream to the end; returns the folder with ``reduced(batch)`` of every batch."""
     out = work_dir(stream.sparkSession, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id:09d}/")
+        reduced(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id:09d}/")
 
-    run(stream, sink, f"{out}/checkpoint", mode)
+    run(stream, sink, f"{out}/checkpoint")
     return f"{out}/data"
 
 
-def run(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
-    q = (stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+def run(stream: DataFrame, sink, checkpoint: str) -> None:
+    q = stream.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def newest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
-    """Last update per key."""
-    df = spark.read.option("recursiveFileLookup", True).parquet(path)
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
+
+
+def day_totals(rows: DataFrame) -> DataFrame:
+    """Units and rows per product, day and kind; of rows, or of totals of several batches."""
+    if "units" not in rows.columns:
+        rows = rows.select("product_id", F.to_date("ts").alias("day"), "kind", F.col("quantity").alias("units"), F.lit(1).cast("long").alias("rows"))
+    return rows.groupBy(*DAY).agg(F.sum("units").alias("units"), F.sum("rows").alias("rows"))
+
 
+def live_days(stream: DataFrame, name: str = "days") -> DataFrame:
+    """Day totals of everything that has arrived, late rows included."""
+    return day_totals(batches(stream.sparkSession, write_batches(stream, name, day_totals)))
 
-def daily_units(stream: DataFrame) -> DataFrame:
-    """Units per product and day; late rows inside the delay still count."""
-    w = F.window("ts", "1 day")
-    return stream.withWatermark("ts", LATE).groupBy("product_id", w.alias("w")).agg(F.sum("quantity").alias("units")).select(
-        "product_id", F.to_date("w.start").alias("day"), "units")
 
+def compact(spark: SparkSession, path: str, into: str) -> None:
+    """Fold the batches of a table of day totals into one row per key."""
+    day_totals(batches(spark, path)).write.mode("overwrite").parquet(into)
 
-def sliding_units(stream: DataFrame, length: str = "28 days") -> DataFrame:
-    w = F.window("ts", length, "1 day")
-    return stream.withWatermark("ts", LATE).groupBy("product_id", w.alias("w")).agg(F.sum("quantity").alias("units")).select(
-        "product_id", F.to_date("w.start").alias("from_day"), "units")
 
+def daily_units(days: DataFrame) -> DataFrame:
+    return days.groupBy("product_id", "day").agg(F.sum("units").alias("units"))
 
-def session_runs(stream: DataFrame, gap: str = "3 days") -> DataFrame:
+
+def sliding_units(days: DataFrame, length: int = 28) -> DataFrame:
+    """Units of every window of ``length`` days, by first day; works on one row per product and day."""
+    daily = daily_units(days).withColumn("from_day", F.explode(F.sequence(F.date_sub("day", length - 1), "day")))
+    return daily.groupBy("product_id", "from_day").agg(F.sum("units").alias("units"))
+
+
+def session_runs(days: DataFrame, gap: str = "3 days") -> DataFrame:
     """Runs of active days; exactly ``gap`` apart still merges."""
-    days = stream.withWatermark("ts", LATE).select("product_id", F.date_trunc("day", "ts").alias("ts"))
-    w = F.session_window("ts", gap)
-    return days.groupBy("product_id", w.alias("w")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("rows")).select(
-        "product_id", F.to_date("a").alias("run_start"), F.to_date("b").alias("run_end"), "rows")
+    w = F.session_window(F.col("day").cast("timestamp"), gap)
+    d = days.groupBy("product_id", "day").agg(F.sum("rows").alias("rows"))
+    return d.groupBy("product_id", w.alias("w")).agg(F.min("day").alias("run_start"), F.max("day").alias("run_end"), F.sum("rows").alias("rows")).drop("w")
+
 
+def newest_rows(rows: DataFrame) -> DataFrame:
+    """Newest row per (product, kind); of rows, or of the newest rows of several batches."""
+    return rows.groupBy("product_id", "kind").agg(F.max_by(F.struct("quantity", "event_id", "ts"), F.struct("ts", "event_id")).alias("l")).select("product_id", "kind", "l.*")
 
-def latest_per_key(stream: DataFrame) -> DataFrame:
-    """Newest row per (product, kind), as a running aggregate."""
-    return stream.groupBy("product_id", "kind").agg(
-        F.max_by(F.struct("quantity", "event_id"), F.struct("ts", "event_id")).alias("l")).select(
-        "product_id", "kind", F.col("l.quantity").alias("quantity"), F.col("l.event_id").alias("event_id"))
+
+def latest_per_key(stream: DataFrame, name: str = "latest") -> DataFrame:
+    return newest_rows(batches(stream.sparkSession, write_batches(stream, name, newest_rows)))
 
 
 def ingest(stream: DataFrame, known: DataFrame, name: str = "ingest") -> str:
@@ -93,38 +108,17 @@ def ingest(stream: DataFrame, known: DataFrame, name: str = "ingest") -> str:
     return f"{out}/rows"
 
 
-def stock_state(stream: DataFrame, counts: DataFrame, name: str = "stock") -> str:
+def stock_state(days: DataFrame, counts: DataFrame) -> DataFrame:
     """On-hand per product falls with sales and restarts with each month's
     count; a sale with nothing on hand marks the rest of the month unknown.
 
-    State is one small row per (product, month), kept as a table per batch.
-    Arriving rows are summed to product days first, so a hot product costs a
-    window over a month's days, not over its rows.
+    One row per product and day, from the day totals of all batches. A hot
+    product costs a window over a month's days, not over its rows.
     """
-    from pyspark.sql import Window
-
-    spark = stream.sparkSession
-    out = work_dir(spark, name)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        days = batch.filter("kind <> 'error'").groupBy("product_id", F.to_date("ts").alias("day")).agg(F.sum("quantity").alias("units"))
-        days = days.withColumn("month", F.date_format("day", "yyyy-MM"))
-        if batch_id > 0:
-            state = spark.read.parquet(f"{out}/state/{batch_id - 1}")
-        else:
-            state = spark.createDataFrame([], "product_id long, month string, sold long, broken int")
-        s = days.join(state, ["product_id", "month"], "left").fillna(0, ["sold", "broken"]).join(counts, ["product_id", "month"], "left")
-        w = Window.partitionBy("product_id", "month").orderBy("day")
-        before = F.col("sold") + F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        s = s.withColumn("on_hand", F.col("counted") - before)
-        hit = ((F.col("on_hand") <= 0) & (F.col("units") > 0)).cast("int")
-        s = s.withColumn("broken_now", F.greatest(F.col("broken"), F.coalesce(F.max(hit).over(w), F.lit(0))))
-        rows = s.select("product_id", "month", "day", "on_hand", F.when(
-            F.col("counted").isNotNull() & (F.col("broken_now") == 0), (F.col("on_hand") <= 0).cast("int")).alias("is_censored"))
-        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id:09d}/")
-        moved = s.groupBy("product_id", "month").agg((F.first("sold") + F.sum("units")).alias("sold"), F.max("broken_now").alias("broken"))
-        kept = state.join(moved, ["product_id", "month"], "left_anti").select("product_id", "month", "sold", "broken")
-        kept.unionByName(moved).write.mode("overwrite").parquet(f"{out}/state/{batch_id}")
-
-    run(stream, sink, f"{out}/checkpoint")
-    return f"{out}/data"
+    d = days.filter("kind <> 'error'").groupBy("product_id", "day").agg(F.sum("units").alias("units")).withColumn("month", F.date_format("day", "yyyy-MM"))
+    s = d.join(counts, ["product_id", "month"], "left")
+    w = Window.partitionBy("product_id", "month").orderBy("day")
+    s = s.withColumn("on_hand", F.col("counted") - F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    broken = F.coalesce(F.max(((F.col("on_hand") <= 0) & (F.col("units") > 0)).cast("int")).over(w), F.lit(0))
+    s = s.withColumn("broken", broken)
+    return s.select("product_id", "month", "day", "on_hand", F.when(F.col("counted").isNotNull() & (F.col("broken") == 0), (F.col("on_hand") <= 0).cast("int")).alias("is_censored"))
