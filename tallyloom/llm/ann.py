@@ -58,8 +58,8 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(F.size("v") == (size[0].n if size else 0))
 
 
-def build(rows: DataFrame, k: int, posted: int, parts: int = 8) -> tuple[DataFrame, np.ndarray, int]:
-    """The inverted files, the pivots and the number of indexed vectors."""
+def build(rows: DataFrame, k: int, posted: int, kind: str, parts: int = 8) -> tuple[DataFrame, np.ndarray, int]:
+    """The inverted files, the pivots and the number of indexed vectors. ``kind``: numpy type that holds the components exactly."""
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = cut_lineage(rows.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1), "vectors")
     drawn = kept.filter("n = 1").orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(PIVOTS).collect()
@@ -73,7 +73,7 @@ def build(rows: DataFrame, k: int, posted: int, parts: int = 8) -> tuple[DataFra
             own = places(vectors, pivots)
             row, pivot = np.nonzero(own < posted)
             yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), batch.column(0).take(pa.array(row)),
-                                              pa.array([own[r].tobytes() for r in row.tolist()], pa.binary()), pa.array([vectors[r].tobytes() for r in row.tolist()], pa.binary())], ["pivot", "vec_id", "places", "vector"])
+                                              pa.array([own[r].tobytes() for r in row.tolist()], pa.binary()), pa.array([vectors[r].astype(kind).tobytes() for r in row.tolist()], pa.binary())], ["pivot", "vec_id", "places", "vector"])
 
     files = kept.select("vec_id", "v").mapInArrow(post, "pivot int, vec_id long, places binary, vector binary") if len(pivots) else \
         kept.select(F.lit(0).alias("pivot"), "vec_id", F.lit(b"").alias("places"), F.lit(b"").alias("vector")).limit(0)
@@ -85,8 +85,8 @@ def build(rows: DataFrame, k: int, posted: int, parts: int = 8) -> tuple[DataFra
 class Block:
     """Some queries, and how they read a batch of the inverted files."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, posted: int, probed: int):
-        self.ids, self.vectors, self.posted = ids, vectors, posted
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, posted: int, probed: int, kind: str):
+        self.ids, self.vectors, self.posted, self.kind = ids, vectors, posted, kind
         self.places = places(vectors, pivots)
         self.probes = np.argsort(self.places, axis=1)[:, :probed]
         self.readers: list[list[tuple[int, int]]] = [[] for _ in range(len(pivots))]
@@ -135,11 +135,11 @@ def _search(files: DataFrame, block: Block, k: int, reranked: int) -> tuple[Data
             if not len(batch):
                 continue
             ids = batch.column(1).to_numpy()
-            vectors = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(len(ids), -1)
+            vectors = np.frombuffer(b"".join(batch.column(3).to_pylist()), block.kind).reshape(len(ids), -1)
             for q, rows, footrule in block.read(batch):
                 rows = rows[footrule // BIN <= bound[q]]
                 if len(rows):
-                    d = np.sqrt(((vectors[rows] - block.vectors[q]) ** 2).sum(axis=1))
+                    d = np.sqrt(((vectors[rows].astype(np.float64) - block.vectors[q]) ** 2).sum(axis=1))
                     names = ids[rows]
                     if q in best:
                         d, names = np.concatenate([best[q][0], d]), np.concatenate([best[q][1], names])
@@ -152,11 +152,12 @@ def _search(files: DataFrame, block: Block, k: int, reranked: int) -> tuple[Data
     return files.mapInArrow(rerank, FOUND), met.sum(axis=1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, posted: int = 3, probed: int = 12, reranked: int = 1500, block: int = 1024,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, posted: int = 6, probed: int = 24, reranked: int = 1500, block: int = 1024,
             vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found of each query; ``queries`` are rows of the same form."""
     rows = usable(vectors, vec_id, embedding)
-    files, pivots, size = build(rows, k, posted)
+    kind = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
+    files, pivots, size = build(rows, k, posted, kind)
     asked = cut_lineage(usable(queries, vec_id, embedding), "queries")
     total = asked.count()
     out = vectors.sparkSession.createDataFrame([], FOUND)
@@ -166,7 +167,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, posted: int = 3
         some = [x for x in some if len(x[1]) == pivots.shape[1]]
         todo, reach = np.arange(len(some)), probed
         while len(todo):
-            own = Block(np.array([some[i][0] for i in todo]), np.array([some[i][1] for i in todo], np.float64), pivots, posted, reach)
+            own = Block(np.array([some[i][0] for i in todo]), np.array([some[i][1] for i in todo], np.float64), pivots, posted, reach, kind)
             found, met = _search(files, own, k, reranked)
             short = met < min(reranked, size - 1)
             if reach >= len(pivots) or not short.any():

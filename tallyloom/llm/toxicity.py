@@ -254,13 +254,14 @@ def learned_lexicon(column: pa.Array, toxic: np.ndarray, beyond: float) -> tuple
             own.append(h)
             around.append(words.surroundings(h))
             bad.append(toxic[words.row + lo] == 1)
-            where.append(np.stack([np.full(len(h), len(parts)), np.arange(len(h))], 1))
+            where.append(np.stack([np.full(len(h), len(parts), np.int32), np.arange(len(h), dtype=np.int32)], 1))
             parts.append(words)
     if not own:
         return {}, []
     own, around, bad, where = (np.concatenate(x) for x in (own, around, bad, where))
     _, once = np.unique(mix(own * np.uint64(2) + bad) ^ around, return_index=True)  # each surrounding once in a class
     own, bad, where = own[once], bad[once], where[once]
+    del around, once
     share = bad.mean()
     word, sample, code = np.unique(own, return_index=True, return_inverse=True)
     t = np.bincount(code, bad, minlength=len(word))
@@ -323,8 +324,8 @@ def untrained() -> ToxicityModel:
     return ToxicityModel(Lexicon(general_lexicon(), []), weights, -4.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 6000,
-          longest: int = 20_000, beyond: float = 20.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 3000,
+          longest: int = 10_000, beyond: float = 20.0) -> ToxicityModel:
     """Fit on at most twice ``toxic_rows`` and ``clean_rows`` labelled texts, of at most ``longest`` characters, chosen by a hash of the id."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.max(label).alias("__toxic"))
     shares = {r[0]: r[1] for r in known.groupBy("__toxic").agg(F.count("*")).collect()}
