@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators.scale import cut_lineage, spread
+from tallyloom.operators.scale import cut_lineage, discard, spread
 
 MIN_SCORE, STRONG_SCORE, STRONG_MARGIN, RECENT_MONTHS = 0.45, 0.6, 0.15, 2
 
@@ -112,9 +112,12 @@ def one_to_one(scores: DataFrame) -> DataFrame:
         bo = left.groupBy("old").agg(F.max(key).alias("b")).select("old", F.col("b.new").alias("new"))
         taken = cut_lineage(bn.join(bo, ["new", "old"]).join(left, ["new", "old"]).select("supplier", "new", "old", "score"), "taken")
         if taken.isEmpty():
+            discard(left)
             return out if out is not None else taken
         out = taken if out is None else out.unionByName(taken)
-        left = cut_lineage(left.join(taken.select("new"), "new", "left_anti").join(taken.select("old"), "old", "left_anti"), "pairs")
+        rest = cut_lineage(left.join(taken.select("new"), "new", "left_anti").join(taken.select("old"), "old", "left_anti"), "pairs")
+        discard(left)
+        left = rest
 
 
 def suggest(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GROUPS = 64
+from tallyloom.operators import backtest as B
 
 
 def hurdle_rows(series: DataFrame, key: str, rate_windows=(7, 30), cap: int = 60) -> DataFrame:
@@ -58,43 +60,59 @@ def pooled_hurdle(series: DataFrame, key: str, train_end, horizon: int, extra: l
     return model.transform(asm.transform(rows)).select(key, "h", (p * F.col("size")).alias("yhat"))
 
 
-def calendar_regression(series: DataFrame, group: str, flags: list[str], train_end, ridge: float = 1.0) -> DataFrame:
-    """Weekday and calendar-flag model of log units per group, with smearing.
+def solve_ridge(sums: DataFrame, keys: list[str], names: list[str], ridge: float) -> DataFrame:
+    """Ridge regression with a free intercept from sums and cross products, one small system per row."""
+    p = len(names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name in keys) + ", beta array<double>"
+
+    def solve(batches):
+        for pdf in batches:
+            betas = []
+            for r in pdf.to_dict("records"):
+                n = r["n"]
+                x, y = np.array([r[f"s_{i}"] for i in range(p)]), r["s_y"]
+                xx = np.array([[r[f"c_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - np.outer(x, x) / n
+                xy = np.array([r[f"y_{i}"] for i in range(p)]) - x * y / n
+                b = np.linalg.solve(xx + ridge * np.eye(p), xy)
+                betas.append([float((y - b @ x) / n), *map(float, b)])
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame({"beta": betas})], axis=1)
+
+    return sums.mapInPandas(solve, schema)
 
-    Groups are product categories; their number is checked, since each one is
-    a model fit of its own on distributed rows.
-    """
-    from pyspark.ml.regression import LinearRegression
 
-    d = series.withColumn("__end", train_end).withColumn("label", F.log1p("qty"))
+def calendar_regression(series: DataFrame, group: str, flags: list[str], plan: B.FoldPlan, ridge: float = 1.0, forward=F.log1p, back=None) -> DataFrame:
+    """Weekday and calendar-flag model of transformed units per group and fold, with smearing.
+
+    One aggregation gives every group's and fold's sums and cross products; the
+    systems are solved where their rows are. A flag that never varies in a
+    training slice gets the coefficient zero. ``forward`` transforms the units,
+    ``back(value, mean_of)`` undoes it with the mean over the training residuals;
+    the default pair is log1p with its exponential.
+    """
+    names = [*[f"dow_{k}" for k in range(6)], *flags]
+    d = series.withColumn("label", forward(F.col("qty")))
     for k in range(6):
         d = d.withColumn(f"dow_{k}", (F.weekday("day") == k).cast("double"))
-    groups = [r[0] for r in d.select(group).distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError("calendar regression fits one model per category; too many groups")
-    out = None
-    for g in groups:
-        mine = d.filter(F.col(group) == g)
-        stats = mine.filter(F.col("pos") < F.col("__end")).agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd"), *[F.stddev_pop(f).alias(f) for f in flags]).first()
-        used = [f"dow_{k}" for k in range(6)] + [f for f in flags if stats[f]]
-        asm = VectorAssembler(inputCols=used, outputCol="features")
-        rows = asm.transform(mine)
-        train = rows.filter(F.col("pos") < F.col("__end"))
-        lr = LinearRegression(regParam=ridge * (stats["sd"] or 1.0) / stats["n"], elasticNetParam=0.0, standardization=False, solver="normal")
-        fit = lr.fit(train)
-        pred = fit.transform(rows).select(group, "day", "pos", "__end", "label", "prediction")
-        # back-transform by the mean of the inverse over the training residuals
-        resid = pred.filter(F.col("pos") < F.col("__end")).agg(F.avg(F.exp(F.col("label") - F.col("prediction")))).first()[0]
-        part = pred.filter(F.col("pos") >= F.col("__end")).select(
-            group, "day", F.greatest(F.exp("prediction") * float(resid) - 1.0, F.lit(0.0)).alias("yhat"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def pooled_trees(features: DataFrame, key: str, cols: list[str], train_end, horizon: int, trees: int = 10, depth: int = 5, floor: int = 200) -> DataFrame:
+    train = B.training_rows(d, plan)
+    x = [F.col(c) for c in names]
+    sums = train.groupBy(group, "fold").agg(
+        F.count("*").cast("double").alias("n"), F.sum("label").alias("s_y"),
+        *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)], *[F.sum(c * F.col("label")).alias(f"y_{i}") for i, c in enumerate(x)],
+        *[F.sum(x[i] * x[j]).alias(f"c_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))])
+    beta = solve_ridge(sums, [group, "fold"], names, ridge)
+    fitted = F.col("beta")[0]
+    for i, c in enumerate(x):
+        fitted = fitted + F.col("beta")[i + 1] * c
+    smear = train.join(beta, [group, "fold"]).withColumn("fit", fitted).groupBy(group, "fold").agg(F.avg(F.exp(F.col("label") - F.col("fit"))).alias("smear"), F.avg(F.col("label") - F.col("fit")).alias("shift"))
+    ahead = d.withColumn("fold", B.test_fold(plan)).filter("fold IS NOT NULL").join(beta, [group, "fold"]).join(smear, [group, "fold"]).withColumn("fit", fitted)
+    units = F.exp("fit") * F.col("smear") - 1.0 if back is None else back(F.col("fit"), F.col("shift"))
+    return ahead.select(group, "fold", "day", F.greatest(units, F.lit(0.0)).alias("yhat"))
+
+
+def pooled_trees(features: DataFrame, key: str, cols: list[str], train_end, horizon: int, trees: int = 10, depth: int = 5, min_pooled_rows: int = 40) -> DataFrame:
     """One forest on all series' causal features for the next-``horizon`` total.
 
-    Falls back to the 30-day mean when there are too few training rows.
+    ``min_pooled_rows`` is the method's rule for short histories: below it the 30-day mean is the forecast.
     """
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -102,7 +120,7 @@ def pooled_trees(features: DataFrame, key: str, cols: list[str], train_end, hori
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     train = asm.transform(d.filter((F.col("pos") >= 90) & (F.col("pos") + horizon <= F.col("__end"))).na.fill(0.0, cols)).select("features", "target")
     ask = d.filter(F.col("pos") == F.col("__end")).na.fill(0.0, cols)
-    if train.count() < floor:
+    if train.limit(min_pooled_rows).count() < min_pooled_rows:
         return ask.select(key, (F.col("mean_30") * horizon).alias("total"))
     model = RandomForestRegressor(labelCol="target", numTrees=trees, maxDepth=depth, seed=0).fit(train)
     return model.transform(asm.transform(ask)).select(key, F.greatest("prediction", F.lit(0.0)).alias("total"))

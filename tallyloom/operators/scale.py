@@ -68,16 +68,17 @@ def ranked_running(df: DataFrame, value: str, ties: list[str], part: list[str] |
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables.
+    """A fresh folder for written tables, in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Uses the shared folder the cluster names in ``spark.checkpoint.dir``; a
-    local folder is used only in local mode, where there is one machine.
+    Where the setting is missing, a session in local mode, which has one
+    machine, gets a folder of its own for all its tables.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tallyloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -86,7 +87,17 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that no frame still to be run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
