@@ -40,7 +40,7 @@ from tallyloom.llm.arrow_text import raw, slices, span_hashes
 
 CHUNK = 1 << 18  # characters read at once from a long text
 CARRY = 1 << 14  # characters of one piece that may wait for its end
-CACHED = 1_000_000  # pieces remembered by a worker
+CACHED = 250_000  # pieces remembered by a worker
 SHORT = 128  # bytes of a piece up to which many are merged together
 FAR = np.int32(2**31 - 1)  # rank of a pair that doesn't merge
 
@@ -176,8 +176,8 @@ class Merges:
 class Pieces:
     """Ids of pieces by content hash, remembered up to a bound in flat arrays."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = CACHED):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -202,7 +202,7 @@ class Pieces:
         """All ids of the pieces of ``points`` that start at ``first``, and the number of ids of each."""
         if not len(first):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.known) > CACHED:
+        if len(self.known) > self.most:
             self.clear()
         end = np.append(first[1:], len(points))
         code, unique = pd.factorize(span_hashes(points.astype(np.uint64) + np.uint64(1), first, end))
@@ -223,10 +223,10 @@ class Pieces:
 class Transducer:
     """Encoder of texts that arrive in chunks; remembers a bounded number of short pieces."""
 
-    def __init__(self, path: str, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, path: str, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None, most: int = CACHED):
         """``encode`` replaces the own merging of pieces; pieces of any length then go to it whole."""
         self.merges = Merges(path)
-        self.pieces = Pieces(encode or self.merges.merge_many)
+        self.pieces = Pieces(encode or self.merges.merge_many, most)
         self.whole_pieces = encode is not None
         self.carry = ""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.scale import cut_lineage, discard
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -32,9 +32,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("__a"), F.col(b).alias("__b"))
     edges = edges.filter("__a is not null and __b is not null and u <> v").select("u", "v").distinct()
-    mark = None
+    mark = before = None
     while True:
         edges = cut_lineage(_star(_star(edges, True), False), "components")
+        if before is not None:
+            discard(before)
+        before = edges
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

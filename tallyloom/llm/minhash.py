@@ -17,7 +17,7 @@ everything below is about classes, so copies cost nothing.
    all others. A list of near copies so costs a multiple of its length, and no
    link between components is left out.
 4. Pairs must have similar set sizes (lists are dealt by size band), few
-   differing bits in a one-bit sketch of the signature, and T agreeing
+   differing bits in a sketch of the signature (four bits of each coordinate), and T agreeing
    coordinates, before they are confirmed on the full sets.
 
 Words are runs of non-blank ASCII characters, lower-cased in A-Z. A text with
@@ -35,14 +35,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow_text import mix, raw, shingles, words
 from tallyloom.llm.components import components
-from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.scale import cut_lineage, discard
 
-BITS = 64  # of the sketch
+BITS = 64  # coordinates in the sketch
+PLANES = 4  # bits of each
 PIVOTS = 8  # drawn from each list in the second round
 U64 = np.uint64
 
@@ -57,11 +58,20 @@ def collisions_needed(coordinates: int, similarity: float, miss: float) -> int:
     return coordinates
 
 
-def differences_allowed(bits: int, similarity: float, miss: float) -> int:
-    """Smallest number of differing sketch bits that pairs at the bound exceed with a probability below ``miss``."""
-    p, tail = (1 - similarity) / 2, 0.0
-    for d in range(bits, 0, -1):
-        tail += comb(bits, d) * p**d * (1 - p) ** (bits - d)
+def differences_allowed(coordinates: int, similarity: float, miss: float) -> int:
+    """Number of differing sketch bits that pairs at the bound exceed with a probability below ``miss``.
+
+    A coordinate that differs, differs in each of its ``PLANES`` bits with a probability of one half.
+    """
+    q = 1 - similarity
+    chance = [0.0] * (PLANES * coordinates + 1)
+    for m in range(coordinates + 1):
+        weight = comb(coordinates, m) * q**m * (1 - q) ** (coordinates - m) / 2.0 ** (PLANES * m)
+        for d in range(PLANES * m + 1):
+            chance[d] += weight * comb(PLANES * m, d)
+    tail = 0.0
+    for d in range(len(chance) - 1, 0, -1):
+        tail += chance[d]
         if tail >= miss:
             return d
     return 0
@@ -143,6 +153,11 @@ def _whole_sets(text, k: int):
     return gather(text)
 
 
+def _plane(signature: Column, bit: int) -> Column:
+    """One bit of each coordinate."""
+    return F.aggregate(signature, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1) + F.shiftright(x, bit).cast("long").bitwiseAND(1))
+
+
 def _pairs(left: DataFrame, right: DataFrame, percent: int, differences: int) -> DataFrame:
     """Distinct pairs of different classes and components that meet in a list and may be similar enough.
 
@@ -152,19 +167,19 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, differences: int) ->
     near = left.withColumn("band", F.explode(F.sequence(band - 1, band + 1)))
     other = right.select("key", band.alias("band"), F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("sketch").alias("sketch2"))
     met = near.join(other, (near["key"] == other["key"]) & (near["band"] == other["band"]) & (F.col("class") != F.col("other")) & (F.col("component") != F.col("apart"))
-                    & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= differences))
+                    & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (sum((F.bit_count(F.col("sketch")[f"p{i}"].bitwiseXOR(F.col("sketch2")[f"p{i}"])) for i in range(PLANES)), F.lit(0)) <= differences))
     return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, collisions: int, percent: int) -> DataFrame:
-    """Pairs that agree in enough coordinates, and then whose sets are similar enough."""
+def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, collisions: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that agree in enough coordinates, as a written table, and those of them whose sets are similar enough."""
     side = lambda df, c, v: df.select(F.col("class").alias(c), F.col(v).alias(f"{v}_{c}"))
     agree = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     close = pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b").filter(agree >= collisions).select("a", "b")
     close = cut_lineage(close, "close-pairs")
     full = close.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return full.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("n")).filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")
+    return close, full.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("n")).filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,10 +198,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     common = elements.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     prefix = (elements.join(common, "key").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("e"))
               .filter(F.size("e") >= needed).select("class", F.explode(F.slice("e", F.lit(1), F.size("e") - (needed - 1))).alias("e")).select(F.col("e.key").alias("key"), "class"))
-    postings = cut_lineage(prefix, "prefixes")
-    met = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    sketch = F.aggregate(F.slice("signature", 1, BITS), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1) + x.cast("long").bitwiseAND(1))
-    postings = cut_lineage(postings.join(met, "key").join(classes.select("class", "n", sketch.alias("sketch")), "class"), "postings")
+    prefixes = cut_lineage(prefix, "prefixes")
+    met = prefixes.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    sketch = F.struct(*[_plane(F.slice("signature", 1, BITS), i).alias(f"p{i}") for i in range(PLANES)])
+    postings = cut_lineage(prefixes.join(met, "key").join(classes.select("class", "n", sketch.alias("sketch")), "class"), "postings")
+
+    discard(prefixes)
 
     # full sets of the classes that meet another one
     active = cut_lineage(classes.join(postings.select("class").distinct(), "class", "left_semi").select("class", "label", "signature"), "active")
@@ -210,11 +227,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
             right = open_.select(*placed.columns)
             if turn == "drawn":
                 right = open_.filter(F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / PIVOTS)) == 0).select(*placed.columns)
-        found = cut_lineage(_confirmed(_pairs(left, right, percent, differences), active, sets, needed, percent), "links")
+        close, full = _confirmed(_pairs(left, right, percent, differences), active, sets, needed, percent)
+        found = cut_lineage(full, "links")
+        discard(close, *([placed] if roots is not None else []))
         if roots is None or found.head(1):
             links = found if links is None else links.union(found)
             roots = components(links)
 
+    discard(postings, active, sets)
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "label", F.coalesce("root", "class").alias("root"))
     names = named.groupBy("root").agg(F.min("label").alias("component_id"))
     of_class = named.join(names, "root").select("class", "component_id")

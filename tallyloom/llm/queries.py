@@ -22,7 +22,9 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed (else it comes with --py-files)."""
+    """Let Python workers import this package when it isn't installed (else it comes with --py-files), and keep Arrow batches of texts small."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -51,7 +51,7 @@ class Library(Transducer):
             got = [e.ids for e in own.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
             return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
 
-        super().__init__(path, encode)
+        super().__init__(path, encode, 1_000_000)  # asking the library again costs more than remembering
 
 
 _own: dict[str, Library] = {}
