@@ -25,11 +25,11 @@ def _(s):
     return G.pooled_hurdle(rows, "sku", F.col("n") - 30, 30, FLAGS)
 
 
-@plan("fc_calendar_regression", "category:s day:D yhat:d4")
+@plan("fc_calendar_regression", "category:s fold:l day:D yhat:d4")
 def _(s):
     cal = P.day_rows(s).select("day", *[F.col(f).cast("double").alias(f) for f in FLAGS])
     rows = cut_lineage(s.category_series.join(F.broadcast(cal), "day"), "series")
-    return G.calendar_regression(rows, "category", FLAGS, F.col("n") - 30)
+    return G.calendar_regression(rows, "category", FLAGS, PLAN)
 
 
 @plan("fc_trees_pooled", "sku:s total:d3")

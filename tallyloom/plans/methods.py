@@ -142,12 +142,12 @@ def _(s):
     return one_level(s, level=M.ewma(0.3))
 
 
-@plan("fc_croston", "sku:s fold:l level:d6 first_init:d6", TRAIN + f"SELECT sku, fold, z / p AS level, first_init FROM ({CROSTON_SQL})")
+@plan("fc_croston", "sku:s fold:l level:d6 first_init:d6", TRAIN + f"SELECT sku, fold, coalesce(z / p, 0) AS level, coalesce(first_init, 0) AS first_init FROM (SELECT DISTINCT sku, fold FROM train) LEFT JOIN ({CROSTON_SQL}) USING (sku, fold)")
 def _(s):
     return one_level(s, level=M.croston(0.1), first_init=M.croston(0.1, "first"))
 
 
-@plan("fc_sba", "sku:s fold:l level:d6", TRAIN + f"SELECT sku, fold, z / p * 0.95 AS level FROM ({CROSTON_SQL})")
+@plan("fc_sba", "sku:s fold:l level:d6", TRAIN + f"SELECT sku, fold, coalesce(z / p * 0.95, 0) AS level FROM (SELECT DISTINCT sku, fold FROM train) LEFT JOIN ({CROSTON_SQL}) USING (sku, fold)")
 def _(s):
     return one_level(s, level=M.croston(0.1, sba=True))
 
