@@ -57,7 +57,7 @@ def test_damaged_record_is_found(spark, odd):
     data[30] ^= 1
     open(path, "wb").write(data)
     with pytest.raises(ValueError, match="checksum"):
-        list(records._stream(row.path, row.index))
+        list(records._stream(row["path"], row["index"]))
 
 
 def test_record_query(spark):
