@@ -97,6 +97,8 @@ def brute_matches(docs, items):
             k = min(5, len(v))
             if not v:
                 continue
+            if not {tuple(v[j:j + k]) for j in range(len(v) - k + 1)} & {tuple(w[j:j + k]) for j in range(len(w) - k + 1)}:
+                continue  # nothing in common
             for s in range(len(w) - len(v) + 1):
                 a, b = ([tuple(y[j:j + k]) for j in range(len(y) - k + 1)] for y in (w[s:s + len(v)], v))
                 both = sum(min(a.count(z), b.count(z)) for z in set(a))
