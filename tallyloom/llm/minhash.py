@@ -13,8 +13,8 @@ everything below is about classes, so copies cost nothing.
 3. *Skip*: in a posting list, first all members meet one pivot, the least
    class. Links join members into components, and from then on only members of
    different components meet: first a few pivots drawn from the list with all
-   members outside its largest component, then those still outside with
-   all others. A list of near copies so costs a multiple of its length, and no
+   members outside its largest component, then more, then those still outside with
+   all others. As far as members link, a list costs a multiple of its length; no
    link between components is left out.
 4. Pairs must have similar set sizes (lists are dealt by size band), few
    differing bits in a sketch of the signature (four bits of each coordinate), and T agreeing
@@ -44,7 +44,7 @@ from tallyloom.operators.scale import cut_lineage, discard
 
 BITS = 64  # coordinates in the sketch
 PLANES = 4  # bits of each
-PIVOTS = 8  # drawn from each list in the second round
+PIVOTS = (8, 64)  # drawn from each list in the rounds between the first and the last
 U64 = np.uint64
 
 
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
 
     roots = None
     links = None
-    for turn in ("least", "drawn", "all"):
+    for turn, pivots in (("least", 1), *(("drawn", n) for n in PIVOTS), ("all", 0)):
         if roots is None:
             placed = postings.withColumn("component", F.col("class"))
             left = postings.groupBy("key").agg(F.min(F.struct("class", "n", "sketch")).alias("p")).select("key", "p.*").withColumn("component", F.col("class"))
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
             left = open_.filter("component <> main").select(*placed.columns)
             right = open_.select(*placed.columns)
             if turn == "drawn":
-                right = open_.filter(F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / PIVOTS)) == 0).select(*placed.columns)
+                right = open_.filter(F.pmod(F.xxhash64("class", F.lit(pivots)), F.ceil(F.col("size") / pivots)) == 0).select(*placed.columns)
         close, full = _confirmed(_pairs(left, right, percent, differences), active, sets, needed, percent)
         found = cut_lineage(full, "links")
         discard(close, *([placed] if roots is not None else []))
