@@ -8,8 +8,8 @@ table dealt by (pivot, part), so that a pivot with many vectors is split.
 *Search.* Queries are taken in blocks of bounded size. A query reads the files
 of its ``probed`` nearest pivots; a vector that it meets in several is taken in the
 first. Vectors are ranked by footrule distance, the sum of differences of
-pivot places. A first pass counts them by footrule; the place where ``reranked``
-are reached is the query's bound. A second pass takes all within the bound and
+pivot places. A first pass counts them by footrule; the place where ``share`` of the indexed
+vectors, and at least ``reranked``, are reached is the query's bound. A second pass takes all within the bound and
 ranks them by exact Euclidean distance in double precision. Each task keeps the k nearest of
 each query, so nothing larger is shuffled. Queries that meet fewer vectors than
 they should rerank read all files, so small tables are searched whole.
@@ -23,6 +23,7 @@ count once. Fewer candidates than k are all returned. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -153,11 +154,12 @@ def _search(files: DataFrame, block: Block, k: int, reranked: int) -> tuple[Data
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, posted: int = 6, probed: int = 24, reranked: int = 1500, block: int = 1024,
-            vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+            share: float = 0.03, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found of each query; ``queries`` are rows of the same form."""
     rows = usable(vectors, vec_id, embedding)
     kind = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
     files, pivots, size = build(rows, k, posted, kind)
+    reranked = max(reranked, ceil(share * size))
     asked = cut_lineage(usable(queries, vec_id, embedding), "queries")
     total = asked.count()
     out = vectors.sparkSession.createDataFrame([], FOUND)

@@ -173,3 +173,11 @@ def test_recall(spark):
     for r in ann.nearest(spark.read.parquet(f"{path}/embeddings.parquet"), spark.read.parquet(f"{path}/embeddings.parquet").filter("vec_id % 100 = 0")).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_reranked_grow_with_the_table(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v / np.linalg.norm(v)) for i, v in enumerate(rng.normal(size=(4000, 32)))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    few, many = ([tuple(r) for r in ann.nearest(df, df.filter("vec_id % 200 = 0"), reranked=n).orderBy("query_id", "rank").collect()] for n in (10, 120))
+    assert few == many  # 3 % of 4,000
