@@ -133,24 +133,25 @@ class Benchmark:
         total = np.concatenate([[0], np.cumsum(hit)])
         for n, own, index in self.lengths[size]:
             width = n - size + 1
-            if len(s) < width:
+            taken = min(width, len(s))  # a shorter document is one window
+            if taken < ceil(self.similarity * width - 1e-9):
                 continue
-            need = ceil(2 * self.similarity / (1 + self.similarity) * width - 1e-9)
-            at = np.flatnonzero(total[width:] - total[:-width] >= need)
+            need = ceil(self.similarity / (1 + self.similarity) * (taken + width) - 1e-9)
+            at = np.flatnonzero(total[taken:] - total[:-taken] >= need)
             if not len(at):
                 continue
-            lo, hi = int(at[0]), int(at[-1]) + width
+            lo, hi = int(at[0]), int(at[-1]) + taken
             # far apart windows are fingerprinted apart, so a long text needs no long table
-            for some in np.split(at, np.flatnonzero(np.diff(at) > width) + 1):
-                lo, hi = int(some[0]), int(some[-1]) + width
-                who, which, distance = index.within(window_simhashes(s[lo:hi], width, some - lo))
+            for some in np.split(at, np.flatnonzero(np.diff(at) > taken) + 1):
+                lo, hi = int(some[0]), int(some[-1]) + taken
+                who, which, distance = index.within(window_simhashes(s[lo:hi], taken, some - lo))
                 best: dict[int, tuple[float, int, int]] = {}
                 for w, i, d in zip(some[who].tolist(), which.tolist(), distance.tolist()):
-                    same = weighted_similarity(s[w:w + width], own[i][1])
+                    same = weighted_similarity(s[w:w + taken], own[i][1])
                     if same >= self.similarity - 1e-12 and (i not in best or (-same, w) < (-best[i][0], best[i][1])):
                         best[i] = same, w, d
                 for i, (same, w, d) in best.items():
-                    yield own[i][0], w, n, d, same
+                    yield own[i][0], w, taken + size - 1, d, same
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item, first word, words, distance, similarity): each row's best window for each item."""

@@ -130,6 +130,38 @@ def test_passages_equal_brute_force(spark):
     assert {r.doc_id for r in marked.collect()} == {d for d, _ in want}
 
 
+def brute_short_matches(docs, items):
+    """Documents of fewer words than the item, taken whole."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+    out = {}
+    for d, t in docs:
+        for i, x in items:
+            w, v = split(t), split(x)
+            k = min(5, len(v))
+            if len(w) < len(v):
+                a, b = ([tuple(y[j:j + k]) for j in range(len(y) - k + 1)] for y in (w, v))
+                both = sum(min(a.count(z), b.count(z)) for z in set(a))
+                if both and both / (len(a) + len(b) - both) >= 0.8:
+                    out[d, i] = round(both / (len(a) + len(b) - both), 9), 0, len(w)
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices([f"v{j}" for j in range(300)], k=n))) for i, n in enumerate([3, 6, 24, 59, 60])] + [(5, "x " * 40)]
+    docs = []
+    for i, x in items:
+        w = x.split()
+        docs += [(100 * i + cut, " ".join(w[cut // 2:len(w) - cut + cut // 2])) for cut in range(1, min(16, len(w)))]
+    docs += [(900, " ".join(["other", *items[3][1].split()[2:]])), (901, ""), (902, None)]
+    want = brute_short_matches(docs, items)
+    assert want[301, 3] == (round(54 / 55, 9), 0, 58) and 310 in {d for d, _ in want} and 315 not in {d for d, _ in want}
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated_passages(docs_df, items_df, block_items=4).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in rows} == want
+    assert {r.doc_id for r in docs_df.filter(decontaminate.is_contaminated(F.col("text"), items_df)).collect()} == {d for d, _ in want}
+
+
 def test_passages_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated_passages(odd, bench).collect()) == [(0, 1), (1, 1), (1, 1)]
