@@ -99,6 +99,17 @@ def test_trees_add_look_alikes_only(spark):
     assert pii.train(df.limit(0)).trees == []
 
 
+def test_loose_formats_in_personal_context_are_added(spark):
+    good = [f"write to user{i}@mail{i % 7}.example.com or call me on +1 ({100 + i}) 555-{1000 + i}, my host address is 10.0.{i}.7" for i in range(240)]
+    bad = [f"order {10**15 + 7919 * i} of build {i}.{i}.{i}.999 serial {5 * 10**15 + 13 * i}" for i in range(400)]
+    model = pii.train(spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string"))
+    texts = ["call me on (743) 555-3824 tonight", "my host address is 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now", "write to jane.doe (at) example (dot) com today",
+             "order 743-555-3824 is late", "build 2001:0db8:85a3:0000:0000:8a2e:0370:7334 failed", "my host address is 00:11:22:33:44:55:66:77 now"]
+    rows = pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).select("doc_id", F.size("base").alias("b"), pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert all(r.b == 0 for r in rows)
+    assert {r.doc_id: r.t for r in rows} == {0: "call me on [PHONE] tonight", 1: "my host address is [IP] now", 2: "write to [EMAIL] today", 3: texts[3], 4: texts[4], 5: texts[5]}
+
+
 def test_redaction(spark, odd, empty):
     df = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!"), (2, "none"), (3, None), (4, "a@1.2.3.4")], "doc_id long, text string")
     rows = pii.with_spans(df, pii.PiiModel([], {})).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
