@@ -91,27 +91,36 @@ def plan_rows(s):
     return N.season_plan(PP.status(s), windows(s), s.span.select("last_day").scalar())
 
 
-@plan("advisories", "topic:s title:s severity:s n_items:l items:s")
+def event_items(events, items, today):
+    """One row for each coming event and fast item, and the units expected in 30 days."""
+    ahead = events.filter(F.col("event_date") >= today).agg(F.collect_set(F.struct("event_name", "event_date"))).scalar()  # bounded by the calendar
+    return items.withColumn("e", F.explode(ahead)).select(
+        F.lit("event").alias("topic"), F.concat_ws(" ", "e.event_name", F.col("e.event_date").cast("string")).alias("title"),
+        F.lit(1).alias("sev"), "product_id", (F.col("rate") * 30).alias("weight"))
+
+
+@plan("advisories", "topic:s title:s severity:s n_items:l product_id:l weight:d4")
 def _(s):
-    """One advisory per busy window, decision rule and forecast drop, each with
-    the five items it concerns most."""
-    from tallyloom.operators.ranking import top_per_group
+    """One row per advisory and item it concerns. Advisories: busy windows, coming
+    events, decision rules, items to reorder and the forecast of fast items."""
+    from tallyloom.operators.classify import fsn_classify
     from tallyloom.plans.classify import decisions
 
+    today = s.span.select("last_day").scalar()
     items = cut_lineage(PP.status(s), "status")
-    plans = N.season_plan(items, windows(s), s.span.select("last_day").scalar()).filter(F.col("status").isin("rush_now", "rush_by"))
+    plans = N.season_plan(items, windows(s), today).filter(F.col("status").isin("rush_now", "rush_by"))
     a = plans.select(F.lit("season").alias("topic"), F.concat_ws(" ", "kind", F.col("start_day").cast("string")).alias("title"),
                      F.when(F.col("status") == "rush_now", 2).otherwise(1).alias("sev"), "product_id", F.col("rush_order").cast("double").alias("weight"))
     d = decisions(s).filter(F.col("action").isin("review_discontinuation", "clear_out", "promote"))
     b = d.select(F.lit("decision").alias("topic"), F.col("action").alias("title"), F.lit(1).alias("sev"), "product_id", (-F.col("product_id")).cast("double").alias("weight"))
     st = items.filter("needs_reorder = 1")
     c = st.select(F.lit("stock").alias("topic"), F.lit("reorder now").alias("title"), F.lit(2).alias("sev"), "product_id", F.col("order_qty").cast("double").alias("weight"))
-    rows = a.unionByName(b).unionByName(c).withColumn("key", F.concat_ws("~", "topic", "title"))
-    rows = cut_lineage(rows, "advisories")
-    head = rows.groupBy("key", "topic", "title").agg(F.max("sev").alias("sev"), F.count("*").alias("n_items"))
-    top = top_per_group(rows, "key", F.struct("weight", "product_id"), ["product_id"], 5)
-    names = top.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank_no", "product_id"))), lambda x: x["product_id"]), ",").alias("items"))
-    return head.join(names, "key").withColumn("severity", F.when(F.col("sev") == 2, "act").otherwise("watch"))
+    fast = fsn_classify(s.product, s.sale).filter("fsn_class = 'F'").select("product_id").join(items.select("product_id", "rate"), "product_id", "left")
+    e = event_items(s.event_log, fast, today)
+    f = fast.filter("rate IS NOT NULL").select(F.lit("forecast").alias("topic"), F.lit("most expected in 30 days").alias("title"), F.lit(2).alias("sev"), "product_id", (F.col("rate") * 30).alias("weight"))
+    rows = cut_lineage(a.unionByName(b).unionByName(c).unionByName(e).unionByName(f), "advisories")
+    head = rows.groupBy("topic", "title").agg(F.max("sev").alias("sev"), F.count("*").alias("n_items"))
+    return rows.drop("sev").join(head, ["topic", "title"]).withColumn("severity", F.when(F.col("sev") == 2, "act").otherwise("watch"))
 
 
 _GUIDE = PP.PRE + PP.SET_SQL + """,
