@@ -45,7 +45,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
-    Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", base=False),
+    Rule("jwt", 2, r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", base=False),
 )
 
 LEDGER = "blob string, rules array<string>, found array<struct<rule: string, kind: string, start: int, end: int>>"

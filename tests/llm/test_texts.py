@@ -54,6 +54,13 @@ def test_secret_spans_equal_plain_patterns(spark):
     assert rows[4].spans.startswith("pem:0:") and rows[5].spans.startswith("jwt:0:")
 
 
+def test_token_with_a_long_header(spark):
+    text = f"x eyJ{'a' * 5000}.eyJzdWIiOiIx.sig-x, eyJ{'a' * 20}"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = secrets.secrets_of(df, work_dir(spark, "t")).select(written(F.col("spans")).alias("s")).collect()
+    assert f"jwt:2:{text.index(',')}" in rows[0].s
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = work_dir(spark, "t")
     v1 = spark.createDataFrame([(1, "token = abcdef"), (2, "token = abcdef"), (3, "clean")], "doc_id long, text string")
