@@ -12,11 +12,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EDGES = 64
-
 
 def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: str,
                   block_rows: int = 4096) -> DataFrame:
@@ -32,39 +30,39 @@ def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: s
             .withColumn(out, F.coalesce("__in", "__before")).drop("__b", "__in", "__before"))
 
 
-def ranked_running(df: DataFrame, value: str, ties: list[str], part: list[str] | None = None,
-                   weight: str | None = None) -> DataFrame:
-    """Rank by ``value`` descending (then ``ties`` ascending) with running sums.
+def in_order(df: DataFrame, order: list[Column], part: list[str] | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``rank_no`` in ``order`` within ``part``, running sums ``sums`` (new name -> column), ``group_rows``, and the total of each sum as ``<name>_total``.
 
-    Adds ``rank_no``, ``running`` (of ``weight``, by default ``value``),
-    ``group_rows`` and ``group_total``. Values are cut into blocks at
-    approximate quantiles; the cut points only spread the work and do not
-    change the result.
+    The whole order is cut into ranges by sampled bounds. A bound is a row, not a value, so equal
+    leading values are split wherever the later columns of ``order`` differ. Rows that are equal in all of ``order`` keep
+    together. Each range is scanned by one task; one short row for each range and group crosses ranges.
     """
-    part = part or []
-    weight = weight or value
-    # a few dozen cut points on the driver, whatever the size of the data
-    found = df.select(F.percentile_approx(value, [i / EDGES for i in range(1, EDGES)], 1000).alias("e")).first().e or []
-    block = F.lit(0)
-    for e in sorted(set(found)):
-        block = block + (F.col(value) < F.lit(e)).cast("int")
-    df = df.withColumn("__b", block)
-    totals = df.groupBy(*part, "__b").agg(F.count("*").alias("__n"), F.sum(weight).alias("__s"))
-    prior = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
+    part, sums = part or [], sums or {}
+    keys = [F.col(p).asc_nulls_first() for p in part] + order
+    # written, because the bounds are sampled anew each time a plan is run
+    placed = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    # a struct is equal to itself where it holds nulls, as groups are
+    placed = placed.withColumn("__b", F.shiftright("__at", 33)).withColumn("__k", F.struct(*part) if part else F.lit(0))
+    totals = placed.groupBy("__k", "__b").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    whole = Window.partitionBy("__k")
+    prior = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *part, "__b",
-        F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__n0"),
-        F.coalesce(F.sum("__s").over(prior), F.lit(0)).alias("__s0"),
-        F.sum("__n").over(whole).alias("group_rows"),
-        F.sum("__s").over(whole).alias("group_total"))
-    inside = Window.partitionBy(*part, "__b").orderBy(F.desc(value), *ties)
-    return (df.withColumn("__rn", F.row_number().over(inside))
-            .withColumn("__rs", F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-            .join(offsets, [*part, "__b"])
-            .withColumn("rank_no", F.col("__rn") + F.col("__n0"))
-            .withColumn("running", F.col("__rs") + F.col("__s0"))
-            .drop("__b", "__rn", "__rs", "__n0", "__s0"))
+        "__k", "__b", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__n0"), F.sum("__n").over(whole).alias("group_rows"),
+        *[F.coalesce(F.sum(f"__t_{n}").over(prior), F.lit(0)).alias(f"__s_{n}") for n in sums], *[F.sum(f"__t_{n}").over(whole).alias(f"{n}_total") for n in sums])
+    inside = Window.partitionBy("__k", "__b").orderBy("__at")
+    until = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.select("*", F.row_number().over(inside).alias("__rn"), *[F.sum(c).over(until).alias(f"__r_{n}") for n, c in sums.items()]).join(offsets, ["__k", "__b"])
+    done = rows.withColumn("rank_no", F.col("__rn") + F.col("__n0")).withColumns({n: F.coalesce(F.col(f"__r_{n}"), F.lit(0)) + F.col(f"__s_{n}") for n in sums})
+    return done.drop("__at", "__b", "__k", "__rn", "__n0", *[f"__{k}_{n}" for n in sums for k in "rs"])
+
+
+def ranked_running(df: DataFrame, value: str, ties: list[str], part: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Rank by ``value`` descending (then ``ties`` ascending) with running sums, equal values split by ``ties``.
+
+    Adds ``rank_no``, ``running`` (of ``weight``, by default ``value``), ``group_rows`` and ``group_total``.
+    """
+    done = in_order(df, [F.desc(value), *[F.asc(t) for t in ties]], part, {"running": weight or value})
+    return done.withColumnRenamed("running_total", "group_total")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -49,6 +49,29 @@ def test_ranked_running_equals_plain_window(spark):
         assert got[i] == (place, total)
 
 
+def test_in_order_splits_equal_values(spark):
+    # nine tenths are equal; they must not end up in one range
+    rows = [(i, 1.0 if i % 10 else float(i), None if i % 3 else "g") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, v double, g string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        done = scale.in_order(df, [F.desc("v"), F.asc("id")], ["g"], {"s": "v"})
+        got = {r.id: (r.rank_no, r.s, r.group_rows, r.s_total) for r in done.collect()}
+        placed = df.repartitionByRange(F.desc("v"), "id").withColumn("b", F.spark_partition_id())
+        assert placed.filter("v = 1.0").select("b").distinct().count() > 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for g in (None, "g"):
+        mine = sorted((r for r in rows if r[2] == g), key=lambda r: (-r[1], r[0]))
+        total, whole = 0.0, sum(r[1] for r in mine)
+        for place, (i, v, _) in enumerate(mine, 1):
+            total += v
+            assert got[i] == (place, total, len(mine), whole)
+    assert scale.in_order(df.limit(0), [F.asc("id")]).count() == 0
+
+
 def test_carry_forward_crosses_blocks(spark):
     rows = [("a", i, "band%d" % i if i in (0, 7, 30) else None) for i in range(50)]
     out = scale.carry_forward(spark.createDataFrame(rows, "s string, i int, v string"), ["s"], "i", "v", "o", block_rows=4)
