@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe, decontaminate, langid, minhash, pii, records, secrets, toxicity, warc
+from tallyloom.llm import ann, bpe, decontaminate, langid, minhash, mixing, pii, records, secrets, toxicity, warc
 from tallyloom.llm.sampling import id_remainder
 from tallyloom.llm.spans import counted, digest, written
 from tallyloom.operators.scale import work_dir
@@ -164,3 +164,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' weights: 150 % of all words, nothing more than twice."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+n AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS w FROM d GROUP BY source),
+l AS (SELECT *, 2 * source_size AS cap, 2 * source_size / w AS level FROM n),
+r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             >= level * sum(w) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled, sum(source_size) OVER () AS every FROM l),
+g AS (SELECT source, source_size, CASE WHEN filled THEN CAST(cap AS DOUBLE) ELSE (1.5::DOUBLE * every - coalesce(sum(cap) FILTER (filled) OVER (), 0)) * w / (sum(w) FILTER (NOT filled) OVER ()) END AS target,
+             CAST((source_size + 31) // 32 AS BIGINT) AS blocks FROM r),
+q AS (SELECT source, target / (2 * k + 1) AS quotient FROM (SELECT source, target, unnest(range(0, 2 * blocks)) AS k FROM g WHERE target > 0)),
+won AS (SELECT source, count(*) AS seats FROM (SELECT source FROM q ORDER BY quotient DESC, source NULLS LAST LIMIT (SELECT CAST(floor(sum(target) / 32 + 0.5) AS BIGINT) FROM g)) GROUP BY source),
+h AS (SELECT source, seats, shard, least(1024, blocks - 1024 * shard) AS m,
+             CAST('0x' || substr(md5('12:' || coalesce(source, '') || ':' || shard), 1, 15) AS BIGINT) AS draw
+      FROM (SELECT g.source, coalesce(seats, 0) AS seats, blocks, unnest(range(0, (blocks + 1023) // 1024)) AS shard FROM g LEFT JOIN won ON won.source IS NOT DISTINCT FROM g.source)),
+hq AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m / (2 * k + 1) DESC, draw, shard) <= seats AS got FROM (SELECT *, unnest(range(0, 2 * m)) AS k FROM h)),
+quota AS (SELECT source, shard, any_value(m) AS m, count(*) FILTER (got) AS quota FROM hq GROUP BY source, shard),
+b AS (SELECT source, 1024 * shard + j AS block,
+             quota // m + CASE WHEN row_number() OVER (PARTITION BY source, shard ORDER BY CAST('0x' || substr(md5('12:' || coalesce(source, '') || ':' || shard || ':' || j), 1, 15) AS BIGINT), j) <= quota % m THEN 1 ELSE 0 END AS times
+      FROM (SELECT *, unnest(range(0, m)) AS j FROM quota)),
+line AS (SELECT *, until - size AS start FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS until FROM d)),
+t AS (SELECT line.source, line.start, CAST(sum(times * (least(until, 32 * block + 32) - greatest(start, 32 * block))) AS BIGINT) AS taken
+      FROM (SELECT *, unnest(range(start // 32, (until + 31) // 32)) AS block FROM line WHERE size > 0) line JOIN b USING (block) WHERE line.source IS NOT DISTINCT FROM b.source GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN taken ELSE 0 END AS taken
+FROM line JOIN g ON g.source IS NOT DISTINCT FROM line.source LEFT JOIN t ON t.source IS NOT DISTINCT FROM line.source AND t.start = line.start AND line.size > 0"""
