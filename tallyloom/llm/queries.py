@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe, decontaminate, langid, minhash, mixing, pii, records, secrets, toxicity, warc
+from tallyloom.llm import align, ann, bpe, decontaminate, langid, minhash, mixing, pii, records, secrets, toxicity, warc
 from tallyloom.llm.sampling import id_remainder
 from tallyloom.llm.spans import counted, digest, written
 from tallyloom.operators.scale import work_dir
@@ -19,6 +19,7 @@ from tallyloom.operators.scale import work_dir
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -173,7 +174,8 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
                   CAST('0x' || substr(md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
 n AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS w FROM d GROUP BY source),
 l AS (SELECT *, 2 * source_size AS cap, 2 * source_size / w AS level FROM n),
@@ -196,3 +198,10 @@ t AS (SELECT line.source, line.start, CAST(sum(times * (least(until, 32 * block
       FROM (SELECT *, unnest(range(start // 32, (until + 31) // 32)) AS block FROM line WHERE size > 0) line JOIN b USING (block) WHERE line.source IS NOT DISTINCT FROM b.source GROUP BY ALL)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN taken ELSE 0 END AS taken
 FROM line JOIN g ON g.source IS NOT DISTINCT FROM line.source LEFT JOIN t ON t.source IS NOT DISTINCT FROM line.source AND t.start = line.start AND line.size > 0"""
+
+
+@query
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of a byte-level and a piece vocabulary in every document."""
+    rows = align.align(table(spark, sf_dir, "documents"), VOCABULARY, PIECES, written=False)
+    return rows.withColumnRenamed("groups", "groups_sha256")
