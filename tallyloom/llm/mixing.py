@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.scale import cut_lineage, in_order
+from tallyloom.operators.scale import cut_lineage, in_order, spread
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 32  # words
@@ -105,10 +105,12 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, slices: int = 64)
 
 def _planned(shards: DataFrame, seed: int) -> DataFrame:
     """Adds ``times``: how often each block of a shard is taken."""
-    draws = F.transform(F.sequence(F.lit(0), F.col("m").cast("int") - 1), lambda j: F.struct(drawn(str(seed), F.col("source"), F.col("shard"), j).alias("draw"), j.alias("j")))
     each, once_more = F.floor(F.col("quota") / F.col("m")).cast("int"), (F.col("quota") % F.col("m")).cast("int")
-    last = F.when(once_more > 0, F.get(F.array_sort("draws"), once_more - 1))
-    return shards.withColumn("draws", draws).withColumn("last", last).withColumn("times", F.transform("draws", lambda d: each + F.coalesce(d <= F.col("last"), F.lit(False)).cast("int"))).drop("draws", "last")
+    draws = F.transform(F.sequence(F.lit(0), F.col("m").cast("int") - 1), lambda j: F.struct(drawn(str(seed), F.col("source"), F.col("shard"), j).alias("draw"), j.alias("j")))
+    # variables of lambdas are computed once, columns wherever they are used
+    last = F.transform(F.array(draws), lambda d: F.struct(d.alias("draws"), F.when(once_more > 0, F.get(F.array_sort(d), once_more - 1)).alias("last")))
+    times = F.transform(last, lambda x: F.transform(x["draws"], lambda d: each + F.coalesce(d <= x["last"], F.lit(False)).cast("int")))
+    return spread(shards, "source", "shard").withColumn("times", F.get(times, F.lit(0)))
 
 
 def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, seed: int = 12, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
