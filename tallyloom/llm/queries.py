@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import align, ann, bpe, decontaminate, langid, minhash, mixing, pii, records, secrets, toxicity, warc
+from tallyloom.llm import align, ann, bpe, decontaminate, langid, minhash, mixing, pii, records, secrets, toxicity, trie, warc
 from tallyloom.llm.sampling import id_remainder
 from tallyloom.llm.spans import counted, digest, written
 from tallyloom.operators.scale import work_dir
@@ -167,6 +167,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct beginnings of the rebuilt conversations, with sums over what continues them."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# crc32 bit by bit: each byte is followed by eight shifts
+ORACLES["op11_prefix_trie"] = r"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER w - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM (SELECT *, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sha FROM conversations WHERE conv_id IS NOT NULL)
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                 lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i, 0 AS own, role, text FROM c JOIN t ON t.conv_id = base AND i < h UNION ALL SELECT c.conv_id, i, 1, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth, [role, text] AS said, text FROM r),
+l AS (SELECT conv_id, coalesce(max(depth), 0) AS len FROM c LEFT JOIN n USING (conv_id) GROUP BY conv_id),
+k AS (SELECT conv_id, depth, text, list(said) OVER (PARTITION BY conv_id ORDER BY depth) AS seq FROM n UNION ALL SELECT conv_id, 0, '', [] FROM c),
+m AS (SELECT conv_id, depth, text, min(conv_id) OVER (PARTITION BY depth, seq) AS node FROM k),
+v AS (SELECT node, depth, count(*) AS n, any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words, count(*) FILTER (depth = len) AS ends,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len), '') AS who FROM m JOIN l USING (conv_id) GROUP BY node, depth),
+p AS (SELECT DISTINCT a.node, a.depth, b.node AS parent FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1),
+s AS (SELECT node, depth, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (
+        SELECT DISTINCT a.node, a.depth, b.node AS below, b.depth AS at, CASE WHEN v.n = v.ends THEN 1 ELSE 0 END AS leaf, (v.n - 1) * v.words AS saved
+        FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth JOIN v ON v.node = b.node AND v.depth = b.depth) GROUP BY node, depth)
+SELECT v.node AS conv_id, CAST(v.depth AS BIGINT) AS depth, p.parent AS parent_conv_id, n AS n_convs, (SELECT count(*) FROM p q WHERE q.parent = v.node AND q.depth = v.depth + 1) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(who) AS ends_sha256
+FROM v LEFT JOIN p ON p.node = v.node AND p.depth = v.depth JOIN s ON s.node = v.node AND s.depth = v.depth"""
+
+
 @query
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' weights: 150 % of all words, nothing more than twice."""
