@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.numbers import half_even
 
 from tallyloom.operators.aggregates import fsn_base, product_stats
+from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.operators.scale import cut_lineage
 
 THRESHOLDS = (0.75, 0.80, 0.85)
 STALE_DAYS = 90
@@ -22,10 +24,9 @@ def fsn_classify(products: DataFrame, sale: DataFrame, stale_days: int = STALE_D
     item at or above the 80th is fast unless its last sale is ``stale_days``
     old when anything was last sold.
     """
-    base = fsn_base(sale).withColumn("adus", F.when(
-        F.col("active_tally_dates") > 0, F.col("weighted_units") / F.col("active_tally_dates")).otherwise(0.0))
-    on_sheet = base.filter("active_tally_dates > 0")
-    cut = on_sheet.agg(F.percentile("adus", list(THRESHOLDS)).alias("c")).scalar()
+    base = cut_lineage(fsn_base(sale).withColumn("adus", F.when(
+        F.col("active_tally_dates") > 0, F.col("weighted_units") / F.col("active_tally_dates")).otherwise(0.0)), "speed")
+    cut = exact_quantiles(base.filter("active_tally_dates > 0"), "adus", list(THRESHOLDS)).select("q").scalar()
     ref = base.agg(F.max("last_sold")).scalar()
     df = products.join(base, "product_id", "left").withColumn("__c", cut)
     gap = F.datediff(ref, "last_sold")
@@ -47,9 +48,8 @@ def fsn_classify(products: DataFrame, sale: DataFrame, stale_days: int = STALE_D
 
 def fsn_sensitivity(products: DataFrame, stats: DataFrame, thresholds=(75, 80, 85)) -> DataFrame:
     """Class counts per cutoff; no recency rule here, N means no active date."""
-    moving = stats.filter("active_tally_dates > 0")
-    cuts = moving.agg(F.percentile("adus", [t / 100 for t in thresholds]).alias("c"),
-                      F.count("*").alias("n_moving"))
+    moving = cut_lineage(stats.filter("active_tally_dates > 0").select("product_id", "adus"), "moving")
+    cuts = exact_quantiles(moving, "adus", [t / 100 for t in thresholds]).select(F.col("q").alias("c"), F.col("n").alias("n_moving"))
     labelled = cuts.select("n_moving", F.posexplode("c").alias("i", "cutoff"))
     n_products = products.agg(F.count("*")).scalar()
     cut_array = cuts.select("c").scalar()
@@ -80,10 +80,9 @@ def fsn_as_of(sale: DataFrame, origins: DataFrame, rules: dict[str, int], horizo
         F.countDistinct(F.when(kept, F.col("day"))).alias("days"),
         F.max(F.when(hist & (F.col("quantity_sold") > 0), F.col("day"))).alias("last_sold"),
         F.sum(F.when(~hist, F.col("quantity_sold")).otherwise(0)).alias("ahead"))
-    g = g.withColumn("adus", F.when(F.col("days") > 0, F.coalesce("wu", F.lit(0.0)) / F.col("days")))
-    per_origin = g.groupBy("origin").agg(
-        F.percentile(F.when(F.col("days") > 0, F.col("adus")), 0.8).alias("cut"),
-        F.max("last_sold").alias("ref"), F.sum("ahead").alias("total_ahead"))
+    g = cut_lineage(g.withColumn("adus", F.when(F.col("days") > 0, F.coalesce("wu", F.lit(0.0)) / F.col("days"))), "as-of")
+    cuts = exact_quantiles(g, "adus", [0.8], ["origin"]).select("origin", F.col("q")[0].alias("cut"))
+    per_origin = g.groupBy("origin").agg(F.max("last_sold").alias("ref"), F.sum("ahead").alias("total_ahead")).join(cuts, "origin", "left")
     rule_rows = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("stale")) for k, v in rules.items()]))
     j = g.join(F.broadcast(per_origin), "origin").withColumn("r", rule_rows)
     fast = (F.col("units") > 0) & (F.col("adus") >= F.col("cut")) & (F.datediff("ref", "last_sold") < F.col("r.stale"))
@@ -98,10 +97,10 @@ def fold_speed(series: DataFrame, fold_rows: DataFrame, threshold: float = 0.8)
 
     ``fold_rows`` has sku, fold, units, sale_days before the origin.
     """
-    adus = fold_rows.withColumn("adus", F.when(F.col("sale_days") > 0, F.col("units") / F.col("sale_days")))
-    cut = adus.groupBy("fold").agg(
-        F.percentile(F.coalesce("adus", F.lit(0.0)), threshold).alias("cut_all"),
-        F.percentile("adus", threshold).alias("cut_moving"))
+    adus = fold_rows.withColumn("adus", F.when(F.col("sale_days") > 0, F.col("units") / F.col("sale_days"))).withColumn("__all", F.coalesce("adus", F.lit(0.0)))
+    adus = cut_lineage(adus.select("sku", "fold", "adus", "__all"), "fold-speed")
+    cut = exact_quantiles(adus, "__all", [threshold], ["fold"]).select("fold", F.col("q")[0].alias("cut_all")).join(
+        exact_quantiles(adus, "adus", [threshold], ["fold"]).select("fold", F.col("q")[0].alias("cut_moving")), "fold", "left")
     j = adus.join(F.broadcast(cut), "fold")
     return j.select(
         "sku", "fold", "adus",

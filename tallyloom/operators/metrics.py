@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.operators.scale import cut_lineage
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
@@ -42,13 +45,14 @@ def summary(rows: DataFrame) -> DataFrame:
     """Per series first, then over series; NULL MASE ranks last."""
     per = core(rows, ["method", "sku"])
     naive = per.filter("method = 'naive'").select("sku", F.col("mae").alias("naive_mae"))
-    j = per.join(naive, "sku", "left")
+    j = cut_lineage(per.join(naive, "sku", "left"), "per-series")
+    medians = exact_quantiles(j, "mase", [0.5], ["method"]).select("method", F.col("q")[0].alias("mase_median"))
     pooled = rows.groupBy("method").agg((100 * F.sum("abs_error") / F.sum("actual")).alias("wmape"))
     g = j.groupBy("method").agg(
         F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mase").alias("mase"),
-        F.percentile("mase", 0.5).alias("mase_median"), F.count("mase").alias("mase_n"), F.count("*").alias("n_skus"),
+        F.count("mase").alias("mase_n"), F.count("*").alias("n_skus"),
         F.sum("n").alias("n_folds"), F.avg((F.col("mae") < F.col("naive_mae")).cast("double")).alias("beats_naive"))
-    return g.join(pooled, "method")
+    return g.join(medians, "method", "left").join(pooled, "method")
 
 
 def rank(summary_rows: DataFrame) -> DataFrame:
@@ -64,7 +68,9 @@ def robust(rows: DataFrame) -> DataFrame:
         F.avg("naive_scale").alias("a"), F.avg("sq_scale").alias("sq")).filter("a > 0")
     per = per.withColumn("mase", F.col("mae") / F.col("a")).withColumn(
         "rmsse", F.when(F.col("sq") > 0, F.sqrt(F.col("mse") / F.col("sq"))))
-    b = per.groupBy("method").agg(F.percentile("mase", [0.05, 0.95]).alias("b"))
+    per = cut_lineage(per, "per-series")
+    b = exact_quantiles(per, "mase", [0.05, 0.95, 0.5], ["method"]).select("method", F.col("q").alias("b"))
+    squared = exact_quantiles(per, "rmsse", [0.5], ["method"]).select("method", F.col("q")[0].alias("rmsse_median"))
     # the ten worst per method, kept exactly by a salted top-k
     from tallyloom.operators.ranking import top_per_group
 
@@ -72,12 +78,12 @@ def robust(rows: DataFrame) -> DataFrame:
     w = worst.groupBy("method").agg(F.sum("mase").alias("worst10"))
     j = per.join(F.broadcast(b), "method")
     return j.groupBy("method").agg(
-        F.avg("mase").alias("mase_mean"), F.percentile("mase", 0.5).alias("mase_median"),
+        F.avg("mase").alias("mase_mean"), F.first(F.col("b")[2]).alias("mase_median"),
         F.avg(F.when(F.col("mase").between(F.col("b")[0], F.col("b")[1]), F.col("mase"))).alias("mase_trimmed"),
         (F.sum(F.col("mase") * F.col("demand")) / F.sum("demand")).alias("mase_weighted"),
         (F.sum("mae") / F.sum("a")).alias("mase_global"), F.avg("rmsse").alias("rmsse_mean"),
-        F.percentile("rmsse", 0.5).alias("rmsse_median"), F.sum("mase").alias("total"), F.count("*").alias("n_skus")
-    ).join(w, "method").withColumn("worst10_pct", 100 * F.col("worst10") / F.col("total"))
+        F.sum("mase").alias("total"), F.count("*").alias("n_skus")
+    ).join(w, "method").join(squared, "method", "left").withColumn("worst10_pct", 100 * F.col("worst10") / F.col("total"))
 
 
 def scopes(rows: DataFrame, fold_break: DataFrame, threshold: float) -> DataFrame:

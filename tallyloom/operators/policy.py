@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import eoq, half_even, total_cost
+from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.operators.scale import cut_lineage
 
 WINDOW, MIN_SALE_DAYS, MAX_FOLDS, MIN_FOLDS, MIN_TRAIN = 365, 10, 12, 3, 60
 TIER_QUANTILES = (0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.98, 0.99)
@@ -186,7 +188,8 @@ def prescribe(policy: DataFrame, sigma: DataFrame) -> DataFrame:
     """
     j = policy.join(sigma, "product_id", "left")
     usable = (F.col("sale_days_all") >= MIN_SALE_DAYS) & (F.col("sigma_obs") > 0) & F.col("rate").isNotNull()
-    cv = j.filter(usable).groupBy("fsn_class").agg(F.percentile(F.col("sigma_obs") / F.col("rate"), 0.5).alias("cv_median"))
+    j = cut_lineage(j, "spread-of-demand")
+    cv = exact_quantiles(j.filter(usable).withColumn("__cv", F.col("sigma_obs") / F.col("rate")), "__cv", [0.5], ["fsn_class"]).select("fsn_class", F.col("q")[0].alias("cv_median"))
     j = j.join(F.broadcast(cv), "fsn_class", "left")
     s = F.when(usable, F.col("sigma_obs")).otherwise(F.col("rate") * F.coalesce("cv_median", F.lit(1.0)))
     z = F.when(F.col("fsn_class") == "F", Z_BY_CLASS["F"]).otherwise(Z_BY_CLASS["S"])

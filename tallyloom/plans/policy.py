@@ -8,6 +8,7 @@ from tallyloom.operators import joins as J
 from tallyloom.operators import policy as P
 from tallyloom.operators import series as S
 from tallyloom.operators.classify import fsn_classify
+from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans.aggregates import DAYS_SQL
 from tallyloom.plans.classify import FSN_SQL
@@ -264,14 +265,15 @@ def _(s):
     c = Ctx(s)
     split = F.lit(400)
     r = c.rates(split)
-    edges = r.agg(F.percentile("unit_price_php", [0.25, 0.5, 0.75])).scalar()
+    r = cut_lineage(r, "rates")
+    edges = exact_quantiles(r, "unit_price_php", [0.25, 0.5, 0.75]).select("q").scalar()
     price = F.col("unit_price_php")
     r = r.withColumn("edges", edges).withColumn("band", F.when(price.isNull(), "unpriced").otherwise(
         F.concat(F.lit("band"), F.size(F.filter("edges", lambda e: price > e)))))
     labels = F.array(F.struct(F.lit("all").alias("rule"), F.lit("all").alias("grp")), F.struct(F.lit("category").alias("rule"), F.col("category").alias("grp")),
                      F.struct(F.lit("price_band").alias("rule"), F.col("band").alias("grp")))
     lab = r.select("product_id", "lead_time_days", "rate", F.inline(labels))
-    donors = lab.filter("rate IS NOT NULL").groupBy("rule", "grp").agg(F.percentile("rate", 0.5).alias("r"))
+    donors = exact_quantiles(lab, "rate", [0.5], ["rule", "grp"]).select("rule", "grp", F.col("q")[0].alias("r"))
     sold = c.days.filter((F.col("pos") < split) & (F.col("qty") > 0)).select("product_id").distinct()
     cold = lab.join(sold, "product_id", "left_anti").join(F.broadcast(donors), ["rule", "grp"])
     com = cold.select("product_id", "lead_time_days", "rule", (F.col("r") * F.col("lead_time_days")).alias("committed"))

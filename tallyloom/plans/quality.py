@@ -7,6 +7,7 @@ from tallyloom.functions import text as T
 from tallyloom.operators import aggregates as A
 from tallyloom.operators import entity as E
 from tallyloom.operators import methods as M
+from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans import policy as PP
 from tallyloom.plans.classify import FSN_SQL
@@ -80,7 +81,7 @@ def features(s):
     d = s.sale.groupBy("product_id", "day").agg(F.sum("quantity_sold").alias("q"))
     n = d.agg(F.datediff(F.max(F.when(F.col("q") > 0, F.col("day"))), F.min("day")) + 1).scalar()
     nz = F.when(F.col("q") > 0, F.col("q"))
-    med = s.product.agg(F.percentile("unit_price_php", 0.5)).scalar()
+    med = exact_quantiles(s.product, "unit_price_php", [0.5]).select(F.col("q")[0]).scalar()
     g = d.groupBy("product_id").agg(F.count(nz).alias("k"), F.avg(nz).alias("m"), F.stddev_pop(nz).alias("sd"), F.sum("q").alias("total"))
     return g.join(s.product, "product_id").select(
         "product_id", (F.col("k") / n).alias("density"), F.coalesce("m", F.lit(0.0)).alias("mean_nz"),

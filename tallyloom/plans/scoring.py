@@ -8,6 +8,7 @@ from tallyloom.operators import calendar as CAL
 from tallyloom.operators import classify as C
 from tallyloom.operators import methods as M
 from tallyloom.operators import metrics as X
+from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans import methods as P
 from tallyloom.plans.methods import PLAN, TDTSB, TRAIN, tsb_sql
 from tallyloom.plans.registry import plan
@@ -83,6 +84,7 @@ def _(s):
         F.sum("qty").alias("units"), F.count(F.when(F.col("qty") > 0, 1)).alias("sale_days"),
         F.count(F.when((F.col("age") < 30) & (F.col("qty") > 0), 1)).alias("sold30"), F.count(F.when(F.col("age") < 30, 1)).alias("days30"),
         F.coalesce(F.avg(F.when((F.col("age") < 90) & (F.col("qty") > 0), F.col("qty"))), F.lit(0.0)).alias("size"))
+    g = cut_lineage(g, "fold-totals")
     lab = g.join(C.fold_speed(None, g), ["sku", "fold"])
     pooled = lab.groupBy("speed", "fold").agg((F.sum("sold30") / F.sum("days30")).alias("p"))
     return lab.join(F.broadcast(pooled), ["speed", "fold"]).withColumn("pred", 30 * F.col("p") * F.col("size"))
