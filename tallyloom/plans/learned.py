@@ -9,6 +9,7 @@ from tallyloom.operators import methods as M
 from tallyloom.operators import metrics as X
 from tallyloom.operators import registry as R
 from tallyloom.operators import windows as W
+from tallyloom.operators.hurdle import pooled_hurdle
 from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans import methods as P
 from tallyloom.plans.methods import PLAN, TRAIN
@@ -18,11 +19,10 @@ from tallyloom.plans.scoring import SC
 FLAGS = ["is_enrollment_period", "is_exam_week", "is_event_day", "is_sem_break", "closed"]
 
 
-@plan("fc_hurdle_logistic", "sku:s h:l yhat:d4")
+@plan("fc_hurdle_logistic", "sku:s fold:l h:l yhat:d4")
 def _(s):
     cal = P.day_rows(s).select("day", *[F.col(f).cast("double").alias(f) for f in FLAGS])
-    rows = cut_lineage(s.series.join(F.broadcast(cal), "day"), "series")
-    return G.pooled_hurdle(rows, "sku", F.col("n") - 30, 30, FLAGS)
+    return pooled_hurdle(s.series.join(F.broadcast(cal), "day"), "sku", "category", PLAN, FLAGS)
 
 
 @plan("fc_calendar_regression", "category:s fold:l day:D yhat:d4")
