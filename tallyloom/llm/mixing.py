@@ -109,7 +109,7 @@ def _planned(shards: DataFrame, seed: int) -> DataFrame:
     draws = F.transform(F.sequence(F.lit(0), F.col("m").cast("int") - 1), lambda j: F.struct(drawn(str(seed), F.col("source"), F.col("shard"), j).alias("draw"), j.alias("j")))
     # variables of lambdas are computed once, columns wherever they are used
     last = F.transform(F.array(draws), lambda d: F.struct(d.alias("draws"), F.when(once_more > 0, F.get(F.array_sort(d), once_more - 1)).alias("last")))
-    times = F.transform(last, lambda x: F.transform(x["draws"], lambda d: each + F.coalesce(d <= x["last"], F.lit(False)).cast("int")))
+    times = F.transform(last, lambda x: F.transform(x["draws"], lambda d: each + F.coalesce(d <= x["last"], F.lit(False)).cast("int")).cast("array<tinyint>"))
     return spread(shards, "source", "shard").withColumn("times", F.get(times, F.lit(0)))
 
 
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, seed: int = 12,
 
     span = BLOCK * BLOCKS
     first, last = F.floor(F.col("start") / span), F.floor((F.col("end") - 1) / span)
-    held = lines.filter("size > 0").withColumn("shard", F.explode(F.sequence(first, last))).withColumn("alone", first == last).join(plan, ["s", "shard"])
+    held = lines.filter("size > 0").withColumn("shard", F.explode(F.sequence(first, last))).withColumn("alone", first == last).join(plan.hint("merge"), ["s", "shard"])
     lo, hi = F.greatest("start", F.col("shard") * span) - F.col("shard") * span, F.least("end", (F.col("shard") + 1) * span) - F.col("shard") * span
     held = held.withColumn("lo", lo).withColumn("hi", hi)
     blocks = F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor((F.col("hi") - 1) / BLOCK).cast("int"))
