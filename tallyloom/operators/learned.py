@@ -1,10 +1,9 @@
-"""Learned forecasts with Spark ML."""
+"""Calendar regressions of all groups and folds from one aggregation."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +57,3 @@ def calendar_regression(series: DataFrame, group: str, flags: list[str], plan: B
     ahead = d.withColumn("fold", B.test_fold(plan)).filter("fold IS NOT NULL").join(beta, [group, "fold"]).join(smear, [group, "fold"]).withColumn("fit", fitted)
     units = F.exp("fit") * F.col("smear") - 1.0 if back is None else back(F.col("fit"), F.col("shift"))
     return ahead.select(group, "fold", "day", F.greatest(units, F.lit(0.0)).alias("yhat"))
-
-
-def pooled_trees(features: DataFrame, key: str, cols: list[str], train_end, horizon: int, trees: int = 10, depth: int = 5, min_pooled_rows: int = 40) -> DataFrame:
-    """One forest on all series' causal features for the next-``horizon`` total.
-
-    ``min_pooled_rows`` is the method's rule for short histories: below it the 30-day mean is the forecast.
-    """
-    from pyspark.ml.regression import RandomForestRegressor
-
-    d = features.withColumn("__end", train_end)
-    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
-    train = asm.transform(d.filter((F.col("pos") >= 90) & (F.col("pos") + horizon <= F.col("__end"))).na.fill(0.0, cols)).select("features", "target")
-    ask = d.filter(F.col("pos") == F.col("__end")).na.fill(0.0, cols)
-    if train.limit(min_pooled_rows).count() < min_pooled_rows:
-        return ask.select(key, (F.col("mean_30") * horizon).alias("total"))
-    model = RandomForestRegressor(labelCol="target", numTrees=trees, maxDepth=depth, seed=0).fit(train)
-    return model.transform(asm.transform(ask)).select(key, F.greatest("prediction", F.lit(0.0)).alias("total"))

@@ -11,6 +11,7 @@ from tallyloom.operators import registry as R
 from tallyloom.operators import windows as W
 from tallyloom.operators.hurdle import pooled_hurdle
 from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.trees import pooled_trees
 from tallyloom.plans import methods as P
 from tallyloom.plans.methods import PLAN, TRAIN
 from tallyloom.plans.registry import plan
@@ -32,13 +33,13 @@ def _(s):
     return G.calendar_regression(rows, "category", FLAGS, PLAN)
 
 
-@plan("fc_trees_pooled", "sku:s total:d3")
+@plan("fc_trees_pooled", "sku:s fold:l total:d3")
 def _(s):
     f = W.causal_features(s.series)
     ahead = Window.partitionBy("sku").orderBy("pos").rowsBetween(0, 29)
     f = cut_lineage(f.withColumn("target", F.sum("qty").over(ahead)), "features")
     cols = [c for c in f.columns if c.split("_")[0] in ("lag", "mean", "std", "max", "share", "sum", "days", "trend", "ratio", "weekday")]
-    return G.pooled_trees(f, "sku", cols, F.col("n") - 30, 30)
+    return pooled_trees(f, "sku", cols, PLAN)
 
 
 FEATS = ["days_since_last", "days_since_first", "units_30", "units_90", "units_365", "days_sold_30", "days_sold_90", "days_sold_365"]
