@@ -50,14 +50,16 @@ def _(s):
 
 BATCH_SQL = OWN_SQL + """,
 tot AS (SELECT product_id, sum(quantity_sold) AS units, sum(CASE WHEN own_price IS NOT NULL THEN quantity_sold ELSE 0 END) AS entry_units, sum(coalesce(quantity_sold * own_price, 0)) AS entry_php, count(DISTINCT own_price) AS entry_prices
- FROM own WHERE strftime(day, '%Y-%m') = '2001-07' GROUP BY 1),
+ FROM own WHERE date_trunc('month', day) = (SELECT newest FROM marks) GROUP BY 1),
 ln AS (SELECT coalesce(supplier_name, 'Unattributed') AS supplier, t.*, p.item_name, p.unit_price_php, CASE WHEN unit_price_php IS NOT NULL THEN (units - entry_units) * unit_price_php + entry_php WHEN entry_units > 0 THEN entry_php END AS line_total,
  CASE WHEN unit_price_php IS NOT NULL THEN units ELSE entry_units END AS priced_units FROM tot t JOIN product_full p USING (product_id) WHERE units > 0)
 """
 
 
-def batch_lines(s, month="2001-07"):
-    p = item_pesos(s, s.sale.filter(month_key("day") == month)).filter("units > 0")
+def batch_lines(s, month=None):
+    """Lines of one month, given by its first day; the newest one by default."""
+    month = s.mark("newest") if month is None else F.lit(month).cast("date")
+    p = item_pesos(s, s.sale.filter(F.trunc("day", "month") == month)).filter("units > 0")
     return p.select(
         F.coalesce("supplier_name", F.lit("Unattributed")).alias("supplier"), "product_id", "item_name", "units",
         "entry_units", "entry_prices", "unit_price_php", F.col("php").alias("line_total"),

@@ -249,10 +249,12 @@ def _(s):
 
 @plan("full_outer_month_delta", "month:s old_units:l new_units:l delta:l", """
 SELECT coalesce(a.month, b.month) AS month, a.u AS old_units, b.u AS new_units, coalesce(b.u, 0) - coalesce(a.u, 0) AS delta
-FROM (SELECT strftime(day, '%Y-%m') AS month, sum(quantity_sold) AS u FROM fact WHERE day < DATE '2001-08-01' GROUP BY 1) a
-FULL JOIN (SELECT strftime(day, '%Y-%m') AS month, sum(quantity_sold) AS u FROM sale WHERE day >= DATE '1995-03-01' GROUP BY 1) b ON a.month = b.month WHERE coalesce(b.u, 0) <> coalesce(a.u, 0)""")
+FROM (SELECT strftime(day, '%Y-%m') AS month, sum(quantity_sold) AS u FROM fact WHERE day < (SELECT newest FROM marks) GROUP BY 1) a
+FULL JOIN (SELECT strftime(day, '%Y-%m') AS month, sum(quantity_sold) AS u FROM sale WHERE day >= (SELECT date_trunc('month', first_day) + INTERVAL 2 MONTH FROM marks) GROUP BY 1) b ON a.month = b.month WHERE coalesce(b.u, 0) <> coalesce(a.u, 0)""")
 def _(s):
-    return J.month_delta(s.fact.filter(F.col("day") < "2001-08-01"), s.sale.filter(F.col("day") >= "1995-03-01"))
+    """An older load without the newest month against a newer one without the first two."""
+    start = F.add_months(F.trunc(s.mark("first_day"), "month"), 2)
+    return J.month_delta(s.fact.filter(F.col("day") < s.mark("newest")), s.sale.filter(F.col("day") >= start))
 
 
 @plan("cross_densify", "sku:s category:s day:D pos:l qty:d0", "SELECT sku, category, day, pos, qty FROM series")

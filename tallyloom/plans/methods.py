@@ -95,14 +95,15 @@ def _(s):
 
 
 @plan("series_extend_synthetic", "category:s day:D pos:l qty:d0 is_synthetic:l is_gap:l", """
-WITH x AS (SELECT category, CAST(day - INTERVAL 1 YEAR AS DATE) AS day, sum(qty) AS qty FROM category_series WHERE day < DATE '1995-11-01' GROUP BY ALL),
+WITH x AS (SELECT category, CAST(day - INTERVAL 1 YEAR AS DATE) AS day, sum(qty) AS qty FROM category_series, marks WHERE day < date_trunc('month', first_day) + INTERVAL 10 MONTH GROUP BY ALL),
 d AS (SELECT category, day, qty FROM x WHERE day < (SELECT d0 FROM hist) UNION ALL SELECT category, day, qty FROM category_series),
 b AS (SELECT min(day) AS a, max(CASE WHEN qty > 0 THEN day END) AS z FROM d), g AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day, a FROM b)
 SELECT k.category, g.day, date_diff('day', g.a, g.day) AS pos, coalesce(d.qty, 0) AS qty, CASE WHEN g.day < (SELECT d0 FROM hist) THEN 1 ELSE 0 END AS is_synthetic,
 CASE WHEN g.day < (SELECT d0 FROM hist) AND g.day > (SELECT max(day) FROM x) THEN 1 ELSE 0 END AS is_gap FROM (SELECT DISTINCT category FROM product) k CROSS JOIN g LEFT JOIN d ON d.category = k.category AND d.day = g.day""")
 def _(s):
     daily = s.sku_day.groupBy("category", "day").agg(F.sum("qty").alias("qty"))
-    extra = daily.filter(F.col("day") < "1995-11-01").groupBy("category", F.add_months("day", -12).alias("day")).agg(F.sum("qty").alias("qty"))
+    # the first ten months stand for those of the year before
+    extra = daily.filter(F.col("day") < F.add_months(F.trunc(s.mark("first_day"), "month"), 10)).groupBy("category", F.add_months("day", -12).alias("day")).agg(F.sum("qty").alias("qty"))
     return S.extend_history(daily, extra, ["category"])
 
 

@@ -33,6 +33,7 @@ product_supplier AS (
   FROM (SELECT product_id, supplier_id, count(*) AS c FROM fact GROUP BY 1, 2)) m JOIN supplier ON s_suppkey = supplier_id WHERE rn = 1),
 product_full AS (SELECT p.*, supplier_id, supplier_name FROM product p LEFT JOIN product_supplier USING (product_id)),
 span AS (SELECT min(day) AS first_day, max(day) AS last_day FROM fact),
+marks AS (SELECT first_day, CAST(date_trunc('month', first_day + CAST(date_diff('day', first_day, last_day) // 2 AS INT)) AS DATE) AS middle, CAST(date_trunc('month', last_day) AS DATE) AS newest FROM span),
 days AS (SELECT CAST(unnest(generate_series(date_trunc('year', first_day), date_trunc('year', last_day) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
 days_md AS (SELECT day, month(day) * 100 + day(day) AS md, year(day) AS y FROM days),
 days_term AS (SELECT *, CASE WHEN md >= 805 THEN make_date(y, 8, 5) WHEN md < 105 THEN make_date(y - 1, 8, 5)

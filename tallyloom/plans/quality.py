@@ -18,11 +18,12 @@ from tallyloom.sources.star import month_key
 
 
 def named_items(s):
-    """Items sold before 1998 under their old name, after that under a new
-    spelling: two name lists to match, with months and prices."""
+    """Items sold in the first half of the recorded span under their old name, after that
+    under a new spelling: two name lists to match, with months and prices."""
     per = s.sale.groupBy("product_id", month_key("day").alias("month")).agg(F.count("*").alias("rows")).join(s.product_full, "product_id")
-    old = per.filter(F.col("month") < "1998-01")
-    new = per.filter(F.col("month") >= "1998-01").withColumn("item_name", F.concat(F.upper("base_name"), F.lit(" w/ print #"), F.col("product_id")))
+    split = F.date_format(s.mark("middle"), "yyyy-MM")
+    old = per.filter(F.col("month") < split)
+    new = per.filter(F.col("month") >= split).withColumn("item_name", F.concat(F.upper("base_name"), F.lit(" w/ print #"), F.col("product_id")))
 
     def fold(df):
         return df.groupBy(F.col("item_name").alias("name"), F.col("supplier_name").alias("supplier")).agg(

@@ -114,15 +114,16 @@ def _(s):
 
 
 @plan("rep_batch_daily", "product_id:l column:s mark:s units:l", """
-SELECT product_id, CAST(day AS VARCHAR) AS column, sheet_mark AS mark, sum(quantity_sold) AS units FROM sale JOIN kinds USING (day) WHERE strftime(day, '%Y-%m') = '2001-07' GROUP BY ALL HAVING sum(quantity_sold) > 0
-UNION ALL SELECT product_id, strftime(day, '%Y-%m'), NULL, sum(q) FROM (SELECT product_id, day, sum(quantity_sold) AS q FROM sale WHERE year(day) = 2000 GROUP BY ALL HAVING sum(quantity_sold) > 0) GROUP BY 1, 2""")
+SELECT product_id, CAST(day AS VARCHAR) AS column, sheet_mark AS mark, sum(quantity_sold) AS units FROM sale JOIN kinds USING (day) WHERE date_trunc('month', day) = (SELECT newest FROM marks) GROUP BY ALL HAVING sum(quantity_sold) > 0
+UNION ALL SELECT product_id, strftime(day, '%Y-%m'), NULL, sum(q) FROM (SELECT product_id, day, sum(quantity_sold) AS q FROM sale WHERE year(day) = (SELECT year(newest) - 1 FROM marks) GROUP BY ALL HAVING sum(quantity_sold) > 0) GROUP BY 1, 2""")
 def _(s):
     from tallyloom.functions.calendar import sheet_mark
 
     d = W.day_totals(s.sale).filter("day_units > 0")
     marks = F.broadcast(s.calendar.select("day", sheet_mark().alias("mark")))
-    month = d.filter(month_key("day") == "2001-07").join(marks, "day").select("product_id", F.col("day").cast("string").alias("column"), "mark", F.col("day_units").alias("units"))
-    year = d.filter(F.year("day") == 2000).groupBy("product_id", month_key("day").alias("column")).agg(F.sum("day_units").alias("units"))
+    newest = s.mark("newest")
+    month = d.filter(F.trunc("day", "month") == newest).join(marks, "day").select("product_id", F.col("day").cast("string").alias("column"), "mark", F.col("day_units").alias("units"))
+    year = d.filter(F.year("day") == F.year(newest) - 1).groupBy("product_id", month_key("day").alias("column")).agg(F.sum("day_units").alias("units"))
     return month.unionByName(year.select("product_id", "column", F.lit(None).cast("string").alias("mark"), "units"))
 
 

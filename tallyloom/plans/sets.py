@@ -56,17 +56,19 @@ def _(s):
 
 
 @plan("intersect_months", "base_name:s shared_months:l clean_handover:l", """
-WITH m AS (SELECT base_name, CASE WHEN p.product_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, strftime(day, '%Y-%m') AS month FROM sale JOIN product p USING (product_id)
- WHERE (p.product_id % 2 = 0 AND day < DATE '1998-01-01') OR (p.product_id % 2 = 1 AND day >= CASE WHEN base_name LIKE 'r%' THEN DATE '1997-11-01' ELSE DATE '1998-01-01' END) GROUP BY ALL),
+WITH m AS (SELECT base_name, CASE WHEN p.product_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, strftime(day, '%Y-%m') AS month FROM sale JOIN product p USING (product_id), marks
+ WHERE (p.product_id % 2 = 0 AND day < middle) OR (p.product_id % 2 = 1 AND day >= CASE WHEN base_name LIKE 'r%' THEN CAST(middle - INTERVAL 2 MONTH AS DATE) ELSE middle END) GROUP BY ALL),
 g AS (SELECT base_name, list(DISTINCT month) FILTER (side = 'old') AS o, list(DISTINCT month) FILTER (side = 'new') AS n FROM m GROUP BY 1)
 SELECT base_name, len(list_intersect(o, n)) AS shared_months, CASE WHEN len(list_intersect(o, n)) = 0 AND date_diff('month', CAST(list_max(o) || '-01' AS DATE), CAST(list_min(n) || '-01' AS DATE)) BETWEEN 1 AND 2 THEN 1 ELSE 0 END AS clean_handover FROM g WHERE o IS NOT NULL AND n IS NOT NULL""")
 def _(s):
     from tallyloom.operators.entity import handover
 
     k = F.col("product_id") % 2
-    start = F.when(F.col("base_name").startswith("r"), F.lit("1997-11-01")).otherwise("1998-01-01").cast("date")
+    # the range of an item changes hands in the middle of the recorded span
+    middle = s.mark("middle")
+    start = F.when(F.col("base_name").startswith("r"), F.add_months(middle, -2)).otherwise(middle)
     rows = s.sale.groupBy("product_id", month_key("day").alias("month"), "day").agg(F.count("*").alias("c")).join(s.product, "product_id").filter(
-        ((k == 0) & (F.col("day") < "1998-01-01")) | ((k == 1) & (F.col("day") >= start)))
+        ((k == 0) & (F.col("day") < middle)) | ((k == 1) & (F.col("day") >= start)))
     g = rows.groupBy("base_name").agg(F.collect_set(F.when(k == 0, F.col("month"))).alias("o"), F.collect_set(F.when(k == 1, F.col("month"))).alias("n"))
     return g.filter((F.size("o") > 0) & (F.size("n") > 0)).select(
         "base_name", F.size(F.array_intersect("o", "n")).alias("shared_months"), handover(F.col("o"), F.col("n")).cast("int").alias("clean_handover"))

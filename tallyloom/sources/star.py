@@ -117,6 +117,12 @@ class Star:
     def span(self) -> DataFrame:
         return self.fact.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
+    def mark(self, name: str) -> Column:
+        """A day that follows from the recorded span: first of the ``middle`` or of the ``newest`` month, or the ``first_day``."""
+        half = F.floor(F.datediff("last_day", "first_day") / 2).cast("int")
+        at = {"middle": F.trunc(F.date_add("first_day", half), "month"), "newest": F.trunc("last_day", "month"), "first_day": F.col("first_day")}[name]
+        return self.span.select(at).scalar()
+
     @cached_property
     def calendar(self) -> DataFrame:
         days = self.span.select(
