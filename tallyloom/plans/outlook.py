@@ -86,9 +86,13 @@ def _(s):
     return N.event_effects(ev, C.day_table(s.calendar, s.sale), F.date_sub(s.span.select("last_day").scalar(), 365))
 
 
-@plan("season_plan", "product_id:l kind:s start_day:D order_by:D window_need:d1 stock_at_start:d1 lowest:d1 rush_order:l next_reorder:D reorder_qty:l status:s")
+@plan("season_plan", "product_id:l kind:s start_day:D order_by:D window_need:d1 rush_extra:d1 stock_at_start:d1 to_order:l status:s", PP.PRE + PP.SET_SQL + "," + _WIN[5:].rstrip() + """,
+nd AS (SELECT ro.*, wn.kind, a, t, coalesce(lift, 1) AS lf, date_diff('day', greatest(a, t), b) + 1 AS ds, st - rate * greatest(date_diff('day', t, a), 0) AS at0 FROM ro JOIN wn ON rate > 0 AND rop IS NOT NULL LEFT JOIN lf USING (kind), td),
+sh AS (SELECT *, greatest(ceil(rate * lf * ds + ss2 - at0), 0) AS short FROM nd)
+SELECT product_id, kind, a AS start_day, greatest(a - CAST(L2 AS INT), t) AS order_by, round_even(rate * lf * ds + ss2, 1) AS window_need, round_even(rate * (lf - 1) * ds, 1) AS rush_extra, round_even(at0, 1) AS stock_at_start,
+CASE WHEN st IS NOT NULL THEN short END AS to_order, CASE WHEN st IS NULL THEN 'uncounted' WHEN short <= 0 THEN 'covered' WHEN a - CAST(L2 AS INT) <= t THEN 'order_now' ELSE 'order_by' END AS status FROM sh""")
 def plan_rows(s):
-    return N.season_plan(PP.status(s), windows(s), s.span.select("last_day").scalar())
+    return N.season_needs(PP.status(s), windows(s), s.span.select("last_day").scalar())
 
 
 def event_items(events, items, today):
@@ -108,9 +112,9 @@ def _(s):
 
     today = s.span.select("last_day").scalar()
     items = cut_lineage(PP.status(s), "status")
-    plans = N.season_plan(items, windows(s), today).filter(F.col("status").isin("rush_now", "rush_by"))
+    plans = N.season_needs(items, windows(s), today).filter(F.col("status").isin("order_now", "order_by"))
     a = plans.select(F.lit("season").alias("topic"), F.concat_ws(" ", "kind", F.col("start_day").cast("string")).alias("title"),
-                     F.when(F.col("status") == "rush_now", 2).otherwise(1).alias("sev"), "product_id", F.col("rush_order").cast("double").alias("weight"))
+                     F.when(F.col("status") == "order_now", 2).otherwise(1).alias("sev"), "product_id", F.col("to_order").cast("double").alias("weight"))
     d = decisions(s).filter(F.col("action").isin("review_discontinuation", "clear_out", "promote"))
     b = d.select(F.lit("decision").alias("topic"), F.col("action").alias("title"), F.lit(1).alias("sev"), "product_id", (-F.col("product_id")).cast("double").alias("weight"))
     st = items.filter("needs_reorder = 1")

@@ -292,28 +292,19 @@ def test_c_index_equals_pairs(spark):
 
 
 # ------------------------------------------------------------------ season
-def test_season_plan_equals_daily_walk(spark):
-    today = D0
-    items = [(i, 0.5 + i * 0.3, (7, 14, 21)[i % 3], 3.0 + i, 5.0 + 8 * i, float(20 + 13 * i)) for i in range(9)]
-    win = ("enrollment", today + dt.timedelta(days=40), today + dt.timedelta(days=53), 1.8)
+def test_season_needs(spark):
+    day = lambda k: D0 + dt.timedelta(days=k)
+    items = [(1, 2.0, 7, 10.0, 24.0, 200.0), (2, 2.0, 60, 10.0, 130.0, 5.0), (3, 2.0, 7, 10.0, 24.0, None), (4, 1.0, 7, 0.0, 7.0, 60.0), (5, None, 7, 0.0, None, 3.0)]
     cols = "product_id int, rate double, lead_time_days int, safety_stock double, reorder_point double, current_stock double"
-    out = season.season_plan(spark.createDataFrame(items, cols), spark.createDataFrame([win], "kind string, start_day date, end_day date, lift double"), F.lit(today))
-    got = {r.product_id: r for r in out.collect()}
-    for pid, rate, lt, ss, rop, stock in items:
-        level, coming, first, low, start_level = stock, {}, None, math.inf, None
-        for d in range(54):
-            level += coming.pop(d, 0)
-            if d >= 40 and start_level is None:
-                start_level = level
-            level -= rate * (1.8 if d >= 40 else 1.0)
-            low = min(low, level) if d >= 40 else low
-            if not coming and level <= rop and math.ceil(rop + 30 * rate - level) > 0:
-                coming[d + lt] = math.ceil(rop + 30 * rate - level)
-                first = first or (today + dt.timedelta(days=d), coming[d + lt])
-        r = got[pid]
-        assert r.lowest == pytest.approx(round(low, 1)) and r.stock_at_start == pytest.approx(round(start_level, 1))
-        assert r.rush_order == max(0, math.ceil(ss - low))
-        assert (r.next_reorder, r.reorder_qty) == (first if first else (None, None))
+    wins = [("exam", day(40), day(49), 1.5), ("running", day(-3), day(2), 2.0)]
+    out = season.season_needs(spark.createDataFrame(items, cols), spark.createDataFrame(wins, "kind string, start_day date, end_day date, lift double"), F.lit(D0))
+    got = {(r.product_id, r.kind): (r.order_by, r.window_need, r.rush_extra, r.stock_at_start, r.to_order, r.status) for r in out.collect()}
+    assert got[1, "exam"] == (day(33), 40.0, 10.0, 120.0, 0, "covered")
+    assert got[2, "exam"] == (day(0), 40.0, 10.0, -75.0, 115, "order_now")
+    assert got[3, "exam"] == (day(33), 40.0, 10.0, None, None, "uncounted")
+    assert got[4, "exam"] == (day(33), 15.0, 5.0, 20.0, 0, "covered")
+    assert got[2, "running"] == (day(0), 22.0, 6.0, 5.0, 17, "order_now")
+    assert len(got) == 8
 
 
 # ------------------------------------------------------------------ entity
