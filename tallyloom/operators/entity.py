@@ -9,6 +9,7 @@ from tallyloom.functions import text as T
 from tallyloom.operators.scale import cut_lineage, discard, spread
 
 MIN_SCORE, STRONG_SCORE, STRONG_MARGIN, RECENT_MONTHS = 0.45, 0.6, 0.15, 2
+TEXT, PRICED, HANDED = 0.75, 0.15, 0.1  # shares of words, equal price and hand-over in a score
 
 
 def _month_no(m: Column) -> Column:
@@ -39,17 +40,14 @@ def _stem(word: Column) -> Column:
     return F.substring(word, 1, 4)
 
 
-def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Scores of all (new, old) pairs of one supplier that can reach the minimum.
-
-    ``new`` / ``old``: name, supplier, price, months. A pair below the minimum
-    word coverage on both sides cannot be suggested, so a name only looks for
-    partners through its rarer words: the most frequent ones are left out as
-    long as they could not reach that coverage together. Matching words start
-    with the same four letters, so pairs meet by equality on that stem. No
-    candidate is lost, and frequent words create no pairs.
+ANYONE = "*"  # the pool of names without a supplier
+
+
+def worded_names(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lists with their words, the words' weights, and the rare words through which a name looks for partners.
+
+    ``keep`` is for partners at another price, ``keep_priced`` for those at the same one.
     """
-    need = (MIN_SCORE - 0.25) / 0.75
     n_docs = new.select("name").unionByName(old.select("name")).agg(F.count("*")).scalar()
 
     def worded(df, side):
@@ -67,33 +65,65 @@ def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
     def weighed(df, side):
         flat = df.select(side, F.posexplode("words").alias("i", "word")).join(weights, "word")
         g = flat.groupBy(side).agg(F.sort_array(F.collect_list(F.struct("i", "word", "weight"))).alias("w"))
+        g = g.withColumn("total", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["weight"]))
+
         # words from the most frequent on, with the weight gathered so far
-        run = F.aggregate(F.array_sort("w", lambda x, y: F.when(x["weight"] < y["weight"], -1).when(x["weight"] > y["weight"], 1).otherwise(x["i"] - y["i"])),
-                          F.struct(F.lit(0.0).alias("t"), F.array().cast("array<string>").alias("keep")),
-                          lambda s, x: F.struct((s["t"] + x["weight"]).alias("t"), F.when(
-                              s["t"] + x["weight"] >= need * F.col("total") - 1e-9, F.concat(s["keep"], F.array(x["word"]))).otherwise(s["keep"]).alias("keep")))
-        g = g.withColumn("total", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["weight"])).withColumn("keep", run["keep"])
+        def rare(need):
+            run = F.aggregate(F.array_sort("w", lambda x, y: F.when(x["weight"] < y["weight"], -1).when(x["weight"] > y["weight"], 1).otherwise(x["i"] - y["i"])),
+                              F.struct(F.lit(0.0).alias("t"), F.array().cast("array<string>").alias("keep")),
+                              lambda s, x: F.struct((s["t"] + x["weight"]).alias("t"), F.when(
+                                  s["t"] + x["weight"] >= need * F.col("total") - 1e-9, F.concat(s["keep"], F.array(x["word"]))).otherwise(s["keep"]).alias("keep")))
+            return run["keep"]
+
+        g = g.withColumns({"keep": rare((MIN_SCORE - HANDED) / TEXT), "keep_priced": rare((MIN_SCORE - HANDED - PRICED) / TEXT)})
         return df.join(g.drop("total"), side).withColumn("joined", joined(F.col("words")))
 
-    wn, wo = cut_lineage(weighed(wn, "new"), "new"), cut_lineage(weighed(wo, "old"), "old")
+    return cut_lineage(weighed(wn, "new"), "new"), cut_lineage(weighed(wo, "old"), "old")
+
+
+def candidates(wn: DataFrame, wo: DataFrame) -> DataFrame:
+    """Distinct (new, old) pairs that can reach the minimum score.
+
+    A pair below the needed word coverage on both sides can't be suggested, so a name only looks for partners through its
+    rarer words: the most frequent ones are left out as long as they could not reach that coverage together. What is needed depends on the
+    price, whose bonus is known when two names meet, so names at one price meet by their price too. Matching words start with
+    the same four letters, so pairs meet by equality on that stem. No candidate is lost, and frequent words create no pairs.
+    """
+    def stems(df, side, column):
+        source = F.col(column) if column else F.concat("words", "joined")
+        cents = F.floor(F.col(side + "_price") * 100 + 0.5)
+        # an old name stands in its supplier's pool and in that of the names without one
+        pool = F.array_compact(F.array(F.col("supplier"), F.lit(ANYONE))) if side == "old" else F.array(F.coalesce("supplier", F.lit(ANYONE)))
+        return df.select(side, cents.alias("cents"), F.explode(pool).alias("pool"), F.array_distinct(F.transform(source, _stem)).alias("s")).select(side, "cents", "pool", F.explode("s").alias("stem"))
+
+    met = []
+    for column, priced in (("keep", False), ("keep_priced", True)):
+        for left, right in ((column, None), (None, column)):
+            a, b, on = stems(wn, "new", left), stems(wo, "old", right), ["pool", "stem"]
+            if priced:  # prices that differ by less than half a cent may be rounded apart
+                a, on = a.withColumn("cents", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1))), [*on, "cents"]
+            met.append(a.join(b, on).select("new", "old"))
+    every = met[0]
+    for m in met[1:]:
+        every = every.unionByName(m)
+    return every.filter("new <> old").distinct()
+
 
-    def stems(df, side, rare):
-        source = F.col("keep") if rare else F.concat("words", "joined")
-        return df.select(side, "supplier", F.explode(F.array_distinct(F.transform(source, _stem))).alias("stem"))
+def pair_scores(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Scores of the (new, old) pairs of one supplier that reach the minimum; a new name without supplier is compared with all old ones.
 
-    meet = ["supplier", "stem"]
-    a = stems(wn, "new", True).join(stems(wo, "old", False), meet).select("new", "old")
-    b = stems(wn, "new", False).join(stems(wo, "old", True), meet).select("new", "old")
-    pairs = a.unionByName(b).filter("new <> old").distinct()
+    ``new`` / ``old``: name, supplier, price, months.
+    """
+    wn, wo = worded_names(new, old)
     n = wn.select("new", "supplier", "new_price", "new_months", F.col("w").alias("nw"), F.col("words").alias("nt"), F.col("joined").alias("nj"))
     o = wo.select("old", "old_price", "old_months", F.col("w").alias("ow"), F.col("words").alias("ot"), F.col("joined").alias("oj"))
-    s = spread(pairs.join(n, "new").join(o, "old"), "new", "old")
-    text = 0.75 * (0.7 * _covered(F.col("ow"), F.col("nt"), F.col("nj")) + 0.3 * _covered(F.col("nw"), F.col("ot"), F.col("oj")))
+    s = spread(candidates(wn, wo).join(n, "new").join(o, "old"), "new", "old")
+    text = TEXT * (0.7 * _covered(F.col("ow"), F.col("nt"), F.col("nj")) + 0.3 * _covered(F.col("nw"), F.col("ot"), F.col("oj")))
     same = F.coalesce(F.abs(F.col("new_price") - F.col("old_price")) < 0.005, F.lit(False))
     hand = handover(F.col("old_months"), F.col("new_months"))
-    score = text + F.when(same, 0.15).otherwise(0.0) + F.when(hand, 0.1).otherwise(0.0)
-    return s.select("supplier", "new", "old", score.alias("score"), same.cast("int").alias("same_price"), hand.cast("int").alias("handover")).filter(
-        F.col("score") >= MIN_SCORE)
+    score = text + F.when(same, PRICED).otherwise(0.0) + F.when(hand, HANDED).otherwise(0.0)
+    return s.select("supplier", "new", "old", score.alias("score"), same.cast("int").alias("same_price"), hand.cast("int").alias("handover"),
+                    F.coalesce(F.arrays_overlap("old_months", "new_months"), F.lit(False)).cast("int").alias("together"), "new_price", "old_price").filter(F.col("score") >= MIN_SCORE)
 
 
 def one_to_one(scores: DataFrame) -> DataFrame:
@@ -120,34 +150,46 @@ def one_to_one(scores: DataFrame) -> DataFrame:
         left = rest
 
 
+def _short(x: Column) -> Column:
+    """A number without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(x.cast("decimal(18,4)").cast("string"), "0+$", ""), r"\.$", "")
+
+
 def suggest(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Suggested old name per new name, strong or weak."""
+    """One row for each new name: the suggested old name, strong or weak, or none, and why.
+
+    A strong suggestion has a supplier, a clear score, a clean hand-over and no conflict of prices, on the sheet or in
+    the names; an unknown price is no conflict. Clear means ahead of every other pair that either name could still form:
+    names that are paired with somebody else don't count. Pairs below the minimum score are no rivals.
+    """
     scores = cut_lineage(pair_scores(new, old), "scores")
-    match = one_to_one(scores)
-    # the best other score on either side tells how clear the choice is
-    key = F.col("score")
-
-    def runner_up(side):
-        top = scores.groupBy(side).agg(F.max(F.struct("score", "new", "old")).alias("a"))
-        rest = scores.join(top, side).filter(~((F.col("a.new") == F.col("new")) & (F.col("a.old") == F.col("old"))))
-        return rest.groupBy(side).agg(F.max(key).alias("second")).join(top, side, "right").select(
-            side, F.coalesce("second", F.lit(0.0)).alias(f"second_{side}"))
-
-    j = (match.join(runner_up("new"), "new").join(runner_up("old"), "old")
-         .join(scores.select("new", "old", "same_price", "handover"), ["new", "old"]))
-    clear = F.col("score") - F.greatest("second_new", "second_old") >= STRONG_MARGIN
-    strong = (F.col("score") >= STRONG_SCORE) & clear & (F.col("handover") == 1) & (F.col("same_price") == 1)
-    picked = j.select("supplier", "new", "old", F.round("score", 3).alias("score"), F.when(strong, "strong").otherwise("weak").alias("strength"),
-                    F.concat_ws("; ", F.lit("same supplier"), F.when(F.col("same_price") == 1, "same price").otherwise("price differs"),
-                                F.when(F.col("handover") == 1, "old name stopped when this one started").otherwise("no clean hand-over"),
-                                F.when(~clear, "another item is almost as close")).alias("why"))
+    match = cut_lineage(one_to_one(scores), "matches")
+    open_old = scores.join(match.select("old"), "old", "left_anti").groupBy("new").agg(F.max("score").alias("second_new"))
+    open_new = scores.join(match.select("new"), "new", "left_anti").groupBy("old").agg(F.max("score").alias("second_old"))
+    j = match.drop("score").join(scores.drop("supplier"), ["new", "old"]).join(open_old, "new", "left").join(open_new, "old", "left")
+    clear = F.col("score") - F.greatest(F.coalesce("second_new", F.lit(0.0)), F.coalesce("second_old", F.lit(0.0))) >= STRONG_MARGIN
+    differs = F.coalesce(F.abs(F.col("new_price") - F.col("old_price")) >= 0.005, F.lit(False))
+    np, op = T.price_suffix(F.col("new")), T.price_suffix(F.col("old"))
+    suffixes = F.coalesce(np != op, F.lit(False))
+    known = F.col("supplier").isNotNull()
+    strong = known & (F.col("score") >= STRONG_SCORE) & clear & (F.col("handover") == 1) & ~differs & ~suffixes
+    why = F.concat_ws("; ", F.when(known, "same supplier").otherwise("supplier unknown"),
+                      F.when(differs, F.concat(F.lit("price differs ("), _short(F.col("old_price")), F.lit(" -> "), _short(F.col("new_price")), F.lit(")")))
+                      .when(F.col("new_price").isNotNull() & F.col("old_price").isNotNull(), "same price"),
+                      F.when(suffixes, F.concat(F.lit("different price in the name (@"), _short(op), F.lit(" -> @"), _short(np), F.lit(")"))),
+                      F.when(F.col("handover") == 1, "old name stopped when this one started").when(F.col("together") == 1, "old name still on the sheet").otherwise("no clean hand-over"),
+                      F.when(~clear, "another item is almost as close"))
+    picked = j.select("supplier", "new", "old", F.round("score", 3).alias("score"), F.when(strong, "strong").otherwise("weak").alias("strength"), why.alias("why"))
     # a name that lost its best partner still shows it, and to whom it went
     lost = scores.join(match.select("new"), "new", "left_anti").groupBy("supplier", "new").agg(F.max(F.struct("score", "old")).alias("b"))
     rival = match.select(F.col("old").alias("o"), F.col("new").alias("rival"))
     rest = lost.join(rival, F.col("b.old") == F.col("o"), "left").select(
         "supplier", "new", F.col("b.old").alias("old"), F.round("b.score", 3).alias("score"), F.lit("weak").alias("strength"),
         F.concat(F.lit("'"), F.coalesce("rival", F.lit("another name")), F.lit("' matches '"), F.col("b.old"), F.lit("' better")).alias("why"))
-    return picked.unionByName(rest)
+    alone = new.select("supplier", F.col("name").alias("new")).join(scores.select("new").distinct(), "new", "left_anti").select(
+        "supplier", "new", F.lit(None).cast("string").alias("old"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("strength"),
+        F.when(F.col("supplier").isNotNull(), "no similar item from the same supplier").otherwise("no similar item").alias("why"))
+    return picked.unionByName(rest).unionByName(alone)
 
 
 def min_label_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def named_items(s):
     """Items sold in the first half of the recorded span under their old name, after that
     under a new spelling: two name lists to match, with months and prices."""
     per = s.sale.groupBy("product_id", month_key("day").alias("month")).agg(F.count("*").alias("rows")).join(s.product_full, "product_id")
+    per = cut_lineage(per.select("product_id", "month", "rows", "item_name", "base_name", "supplier_name", "unit_price_php"), "named")
     split = F.date_format(s.mark("middle"), "yyyy-MM")
     old = per.filter(F.col("month") < split)
     new = per.filter(F.col("month") >= split).withColumn("item_name", F.concat(F.upper("base_name"), F.lit(" w/ print #"), F.col("product_id")))
@@ -29,7 +30,7 @@ def named_items(s):
         return df.groupBy(F.col("item_name").alias("name"), F.col("supplier_name").alias("supplier")).agg(
             F.first("unit_price_php").alias("price"), F.collect_set("month").alias("months"), F.sum("rows").alias("rows"))
 
-    return fold(new), fold(old)
+    return cut_lineage(fold(new), "names"), cut_lineage(fold(old), "names")
 
 
 @plan("er_name_suggest", "supplier:s new:s old:s score:d3 strength:s why:s")

@@ -397,6 +397,35 @@ def test_pair_scores_against_all_pairs(spark):
     assert {r.new: r.old for r in E.one_to_one(scores).collect()} == pairs
 
 
+NAMES = "name string, supplier string, price double, months array<string>"
+
+
+def suggested(spark, new, old):
+    month = lambda m: [m] if isinstance(m, str) else list(m)
+    df = lambda rows, at: spark.createDataFrame([(n, s, p, month(m)) for n, s, p, m in ((*r, *("MADE", None, at)[len(r) - 1:]) for r in rows)], NAMES)
+    return {r.new: (r.old, r.strength, r.why) for r in E.suggest(df(new, "2026-07"), df(old, "2026-06")).collect()}
+
+
+def test_suggestions(spark):
+    """Renames, prices, suppliers, rivals and names without a partner."""
+    got = suggested(spark, [("TIGER HEADBAND (2 DESIGNS) W/ PRINT", "RUZ", 150.0), ("VL LANYARD W/ PRINT", "VARSITY"), ("Keychain @180", "STORE", 50.0), ("TIGER CLAW GLOVES W/ PRINT", "RUZ", 1200.0),
+                            ("OAT MUG (Y,W,B) W/ PRINT", "JUC"), ("Pillow Round", None, None, ())],
+                    [("Tiger Headband (2 Designs)", "RUZ", 150.0), ("Lanyard", "JUC"), ("Keychain @160", "STORE", 50.0), ("Tiger Claw Gloves", "RUZ", 800.0),
+                     ("OAT MUG (Y,W,B)", "JUC", None, ("2026-06", "2026-07")), ("Pillow (Round)", "SOFT")])
+    assert got["TIGER HEADBAND (2 DESIGNS) W/ PRINT"] == ("Tiger Headband (2 Designs)", "strong", "same supplier; same price; old name stopped when this one started")
+    assert got["VL LANYARD W/ PRINT"] == (None, None, "no similar item from the same supplier")
+    assert got["Keychain @180"][:2] == ("Keychain @160", "weak") and "different price in the name (@160 -> @180)" in got["Keychain @180"][2]
+    assert got["TIGER CLAW GLOVES W/ PRINT"][:2] == ("Tiger Claw Gloves", "weak") and "price differs (800 -> 1200)" in got["TIGER CLAW GLOVES W/ PRINT"][2]
+    assert got["OAT MUG (Y,W,B) W/ PRINT"][:2] == ("OAT MUG (Y,W,B)", "weak") and "still on the sheet" in got["OAT MUG (Y,W,B) W/ PRINT"][2]
+    assert got["Pillow Round"][:2] == ("Pillow (Round)", "weak") and got["Pillow Round"][2].startswith("supplier unknown")
+
+
+def test_taken_names_are_no_rivals(spark):
+    """Two clean renames in one family: each is clear, because the other's partner is taken."""
+    got = suggested(spark, [("Crew Jacket Alpha W/ PRINT", "S"), ("Crew Jacket Beta W/ PRINT", "S")], [("Crew Jacket Alpha", "S"), ("Crew Jacket Beta", "S")])
+    assert {k: v[:2] for k, v in got.items()} == {"Crew Jacket Alpha W/ PRINT": ("Crew Jacket Alpha", "strong"), "Crew Jacket Beta W/ PRINT": ("Crew Jacket Beta", "strong")}
+
+
 # ------------------------------------------------------------------- joins
 def test_price_in_force(spark):
     rows = spark.createDataFrame([(7, dt.date(2026, 10, 31)), (7, dt.date(2026, 11, 1)), (8, dt.date(2026, 11, 1))], "product_id int, day date")
