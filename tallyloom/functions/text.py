@@ -201,3 +201,30 @@ def parse_int(text: Column) -> Column:
     """``9,980 pcs.`` -> 9980, ``5.0`` -> 5; a fraction is NULL."""
     num = F.regexp_extract(F.regexp_replace(text, ",", ""), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
     return F.when(num == F.floor(num), num.cast("long"))
+
+
+# Words that tell products apart.
+COLOUR_WORDS = ("black", "white", "blue", "red", "yellow", "green", "gray", "grey", "maroon", "pink", "orange", "purple", "navy", "gold", "golden",
+                "silver", "brown", "beige", "tiger", "camo")
+SIZE_WORDS = ("xs", "s", "m", "l", "xl", "xxl", "xxxl", "small", "medium", "large", "kids", "adult", "junior")
+PRODUCT_CODE = r"\(([A-Za-z]{2,5}-?[A-Za-z0-9]{2,6})\)"
+NUMBER = r"\d+\.?\d*"
+
+
+def spelling_key(name: Column) -> Column:
+    """Lower case, single blanks, none around a slash."""
+    s = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"\s+", " ")
+    return F.regexp_replace(s, r"\s*/\s*", "/")
+
+
+def product_marks(name: Column) -> Column:
+    """struct(colours, sizes, code, numbers): what makes equal-sounding names different products."""
+    low = F.lower(name)
+    words = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
+
+    def among(vocabulary):
+        return F.array_join(F.array_sort(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))), " ")
+
+    code = F.upper(F.regexp_extract(name, PRODUCT_CODE, 1))
+    numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(name, F.lit(NUMBER), F.lit(0)))), " ")
+    return F.struct(among(COLOUR_WORDS).alias("colours"), among(SIZE_WORDS).alias("sizes"), F.when(code != "", code).alias("code"), numbers.alias("numbers"))

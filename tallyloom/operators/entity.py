@@ -244,26 +244,34 @@ def similar_pairs(names: DataFrame, col: str, min_ratio: int) -> DataFrame:
     return met.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def name_clusters(names: DataFrame, min_ratio: int = 80) -> DataFrame:
-    """Groups of spellings of one item, with attribute conflicts.
-
-    ``names``: name, rows. Spellings with the same sorted words are one node.
-    Nodes are joined when their edit-distance ratio reaches ``min_ratio``.
+def name_clusters(names: DataFrame, min_ratio: int = 80, medium: int = 90) -> DataFrame:
+    """One row for each name: its cluster, the suggested spelling, how sure that is and whether a person should look.
+
+    ``names``: name, rows. Names that differ in case and blanks only are one spelling. Spellings whose sorted words are alike to
+    ``min_ratio`` per cent are joined into clusters, each named by its least sorted spelling. A cluster of one spelling is sure. In a
+    cluster whose spellings differ in colour, size, product code or numbers, every spelling stays on its own and is to be looked at;
+    comparing each kind of mark as a set tells that without forming pairs. Else all take the most frequent name, with a confidence
+    that follows from the weakest link. Names without a word are left out.
     """
-    toks = F.array_sort(F.array_distinct(T.name_tokens(F.col("name"))))
-    n = names.withColumn("toks", toks).withColumn("norm", F.array_join("toks", " "))
-    nodes = n.groupBy("norm").agg(F.first("toks").alias("toks"), F.sum("rows").alias("rows"),
-                                  F.max_by("name", F.struct("rows", "name")).alias("best"), F.count("*").alias("spellings"))
-    nodes = cut_lineage(nodes.filter("norm <> ''"), "nodes")
-    edges = similar_pairs(nodes.select("norm"), "norm", min_ratio)
+    key = T.spelling_key(F.col("name"))
+    n = names.withColumn("key", key).filter("key <> ''").withColumn("norm", F.array_join(F.array_sort(F.split("key", " ")), " "))
+    n = cut_lineage(n, "spellings")
+    nodes = n.select("norm").distinct()
+    edges = cut_lineage(similar_pairs(nodes, "norm", min_ratio), "similar")
     labels = min_label_components(edges, nodes.select(F.col("norm").alias("node")))
-    j = nodes.join(labels, nodes["norm"] == labels["node"])
-    numbers = F.array_sort(F.filter("toks", lambda t: t.rlike("[0-9]")))
-    j = j.withColumn("numbers", F.array_join(numbers, " "))
-    return j.groupBy(F.col("label").alias("cluster")).agg(
-        F.count("*").alias("names"), F.sum("spellings").alias("spellings"), F.sum("rows").alias("rows"),
-        F.max_by("best", F.struct("rows", "best")).alias("suggested"),
-        (F.countDistinct("numbers") > 1).cast("int").alias("conflict"))
+    score = 100 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))
+    weakest = edges.withColumn("score", score).join(labels, edges["a"] == labels["node"]).groupBy("label").agg(F.min("score").alias("weakest"))
+    best = F.max_by("name", F.struct("rows", "name"))
+    spelled = n.groupBy("norm", "key").agg(best.alias("own"), F.max("rows").alias("top")).withColumn("m", T.product_marks(F.col("key")))
+    spelled = spelled.join(labels, spelled["norm"] == labels["node"]).drop("node", "norm")
+    differ = [F.countDistinct(F.col("m")[c]) > 1 for c in ("colours", "sizes", "code", "numbers")]
+    whole = spelled.groupBy("label").agg(F.count("*").alias("spellings"), F.max_by("own", F.struct("top", "own")).alias("all"), (differ[0] | differ[1] | differ[2] | differ[3]).alias("conflict"))
+    whole = whole.join(weakest, "label", "left").withColumn("weakest", F.coalesce("weakest", F.lit(100.0)))
+    alone = F.col("spellings") == 1
+    j = n.join(spelled.select("key", "own", "label"), "key").join(whole, "label")
+    clean = F.regexp_replace(F.trim(F.when(alone | F.col("conflict"), F.col("own")).otherwise(F.col("all"))), r"\s+", " ")
+    sure = F.when(alone | F.col("conflict"), "high").when(F.col("weakest") >= medium, "medium").otherwise("low")
+    return j.select("name", F.col("label").alias("cluster"), "rows", clean.alias("suggested"), sure.alias("confidence"), (~alone).cast("int").alias("needs_review"), (~alone & F.col("conflict")).cast("int").alias("conflict"))
 
 
 def stable_ids(names: DataFrame, old_ids: DataFrame) -> DataFrame:

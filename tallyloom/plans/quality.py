@@ -38,7 +38,30 @@ def _(s):
     return E.suggest(*named_items(s))
 
 
-@plan("er_name_cluster", "cluster:s names:l spellings:l rows:l suggested:s conflict:l")
+def _any(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@plan("er_name_cluster", "name:s cluster:s rows:l suggested:s confidence:s needs_review:l conflict:l", _RAWN.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + rf""",
+c0 AS (SELECT raw_item AS name, count(*) AS rows FROM rawn GROUP BY 1),
+c1 AS (SELECT CASE WHEN length(name) % 5 = 0 THEN name || 's' ELSE name END AS name, sum(rows) AS rows FROM c0 GROUP BY 1),
+c2 AS (SELECT *, regexp_replace(regexp_replace(lower(trim(name)), '\s+', ' ', 'g'), '\s*/\s*', '/', 'g') AS key FROM c1),
+c3 AS (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS norm FROM c2 WHERE key <> ''),
+nd AS (SELECT DISTINCT norm FROM c3),
+ed AS (SELECT a.norm AS a, b.norm AS b, 100 * (1 - levenshtein(a.norm, b.norm) / greatest(length(a.norm), length(b.norm))) AS score FROM nd a JOIN nd b ON a.norm < b.norm AND abs(length(a.norm) - length(b.norm)) <= 0.2 * greatest(length(a.norm), length(b.norm)) + 1e-9
+ WHERE levenshtein(a.norm, b.norm) <= floor(greatest(length(a.norm), length(b.norm)) * 0.2 + 1e-9)),
+e2 AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
+rc(norm, other) AS (SELECT norm, norm FROM nd UNION SELECT rc.norm, e2.b FROM rc JOIN e2 ON e2.a = rc.other),
+lb AS (SELECT norm, min(other) AS label FROM rc GROUP BY 1),
+wk AS (SELECT label, min(score) AS weakest FROM ed JOIN lb ON lb.norm = ed.a GROUP BY 1),
+sp AS (SELECT key, any_value(label) AS label, arg_max(name, (rows, name)) AS own, max(rows) AS top,
+ array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(key, '[a-z]+'), lambda x: list_contains({_any(T.COLOUR_WORDS)}, x)))), ' ') AS colours,
+ array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(key, '[a-z]+'), lambda x: list_contains({_any(T.SIZE_WORDS)}, x)))), ' ') AS sizes,
+ nullif(upper(regexp_extract(key, '{T.PRODUCT_CODE}', 1)), '') AS code, array_to_string(list_sort(list_distinct(regexp_extract_all(key, '{T.NUMBER}'))), ' ') AS numbers FROM c3 JOIN lb USING (norm) GROUP BY key),
+wh AS (SELECT label, count(*) AS spellings, arg_max(own, (top, own)) AS everyone, count(DISTINCT colours) > 1 OR count(DISTINCT sizes) > 1 OR count(DISTINCT code) > 1 OR count(DISTINCT numbers) > 1 AS conflict FROM sp GROUP BY 1)
+SELECT name, label AS cluster, rows, regexp_replace(trim(CASE WHEN spellings = 1 OR conflict THEN own ELSE everyone END), '\s+', ' ', 'g') AS suggested,
+CASE WHEN spellings = 1 OR conflict THEN 'high' WHEN coalesce(weakest, 100) >= 90 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN spellings > 1 THEN 1 ELSE 0 END AS needs_review, CASE WHEN spellings > 1 AND conflict THEN 1 ELSE 0 END AS conflict
+FROM c3 JOIN sp USING (key) JOIN wh USING (label) LEFT JOIN wk USING (label)""")
 def _(s):
     rows = raw_named(s).groupBy(F.col("raw_item").alias("name")).agg(F.count("*").alias("rows"))
     typo = rows.withColumn("name", F.when(F.length("name") % 5 == 0, F.concat("name", F.lit("s"))).otherwise(F.col("name")))

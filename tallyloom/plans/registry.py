@@ -59,7 +59,8 @@ def conform_sql(body: str, spec: str) -> str:
     body = body.strip().rstrip(";")
     # a body that starts with WITH contributes its own CTEs after the prelude
     if body[:5].upper() == "WITH ":
-        ctes = PRELUDE + ",\n" + body[5:]
+        loops = body.startswith("WITH RECURSIVE ")
+        ctes = (PRELUDE.replace("WITH ", "WITH RECURSIVE ", 1) if loops else PRELUDE) + ",\n" + body[15 if loops else 5:]
         cut = ctes.rfind("\nSELECT")
         ctes, final = ctes[:cut], ctes[cut:]
         return f"{ctes},\n__q AS ({final})\nSELECT {', '.join(out)} FROM __q"

@@ -420,6 +420,18 @@ def test_suggestions(spark):
     assert got["Pillow Round"][:2] == ("Pillow (Round)", "weak") and got["Pillow Round"][2].startswith("supplier unknown")
 
 
+def test_name_clusters(spark):
+    """Cases and blanks, typos, and every kind of mark that keeps spellings apart."""
+    rows = [("Crew  Jacket", 5), ("crew jacket", 9), ("Hoodie Classic", 4), ("Hoodie Clasic", 7), ("Umbrella Large Blue", 2), ("Umbrella Large Blues", 1),
+            ("Mug Stanford Red", 3), ("Mug Stanford Rad", 3), ("Cap Corduroy V1", 1), ("Cap Corduroy V2", 1), ("Tote canvas (MCX-A501)", 1), ("Tote canvas (MCX-A502)", 2), (None, 1), ("  ", 1)]
+    got = {r.name: (r.cluster, r.suggested, r.confidence, r.needs_review, r.conflict) for r in E.name_clusters(spark.createDataFrame(rows, "name string, rows long")).collect()}
+    assert got["Crew  Jacket"] == got["crew jacket"] == ("crew jacket", "crew jacket", "high", 0, 0)
+    assert got["Hoodie Classic"] == got["Hoodie Clasic"] == ("clasic hoodie", "Hoodie Clasic", "medium", 1, 0)
+    for a, b in (("Umbrella Large Blue", "Umbrella Large Blues"), ("Mug Stanford Red", "Mug Stanford Rad"), ("Cap Corduroy V1", "Cap Corduroy V2"), ("Tote canvas (MCX-A501)", "Tote canvas (MCX-A502)")):
+        assert got[a][0] == got[b][0] and got[a][1:] == (a, "high", 1, 1) and got[b][1:] == (b, "high", 1, 1)
+    assert len(got) == 12
+
+
 def test_taken_names_are_no_rivals(spark):
     """Two clean renames in one family: each is clear, because the other's partner is taken."""
     got = suggested(spark, [("Crew Jacket Alpha W/ PRINT", "S"), ("Crew Jacket Beta W/ PRINT", "S")], [("Crew Jacket Alpha", "S"), ("Crew Jacket Beta", "S")])
