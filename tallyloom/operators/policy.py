@@ -23,11 +23,6 @@ ORDERING = {"low_admin_cost": 1250.0, "high_goods_value": 200_000.0}
 REVIEW_DAYS = 30
 
 
-def item_days(sale: DataFrame, first_day: Column) -> DataFrame:
-    return sale.groupBy("product_id", "day").agg(F.sum("quantity_sold").cast("double").alias("qty")).withColumn(
-        "pos", F.datediff("day", first_day))
-
-
 def rates(days: DataFrame, n: Column, observed: Column, labels: DataFrame | None = None, window: int = WINDOW) -> DataFrame:
     """Trailing rate per observed day and where it comes from.
 

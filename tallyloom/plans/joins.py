@@ -33,9 +33,14 @@ def _(s):
 # raw spellings of item names: every third item is written upper-case with
 # doubled spaces, every seventh has no entry in the vocabulary
 def raw_named(s):
+    return raw_spelled(s.fact, s)
+
+
+def raw_spelled(rows, s):
+    """Adds the raw spelling to rows with product_id."""
     k = F.col("product_id")
     name = F.when(k % 3 == 0, F.concat(F.lit("  "), F.upper(F.regexp_replace("item_name", " ", "  ")), F.lit(" "))).otherwise(F.col("item_name"))
-    return s.fact.join(s.product, "product_id").withColumn("raw_item", name)
+    return rows.join(s.product, "product_id").withColumn("raw_item", name)
 
 
 def vocabulary(s):
@@ -52,7 +57,8 @@ vocab AS (SELECT item_name AS raw_name, 'C:' || item_name AS canonical FROM prod
 SELECT raw_item, coalesce(e.canonical, k.canonical) AS canonical, count(*) AS rows, sum(quantity_sold) AS units FROM rawn
 LEFT JOIN vocab e ON e.raw_name = trim(raw_item) LEFT JOIN vocab k ON lower(k.raw_name) = regexp_replace(lower(trim(raw_item)), '\\s+', ' ', 'g') GROUP BY ALL""")
 def _(s):
-    names = raw_named(s).groupBy("raw_item").agg(F.count("*").alias("rows"), F.sum("quantity_sold").alias("units"))
+    own = s.fact.groupBy("product_id").agg(F.count("*").alias("rows"), F.sum("quantity_sold").alias("units"))
+    names = raw_spelled(own, s).groupBy("raw_item").agg(F.sum("rows").alias("rows"), F.sum("units").alias("units"))
     return J.map_names(names, "raw_item", vocabulary(s))
 
 

@@ -161,7 +161,8 @@ def _(s):
 WITH t AS (SELECT DISTINCT day FROM sale), m AS (SELECT category, day, sum(quantity_sold) AS u FROM sale JOIN product USING (product_id) GROUP BY ALL), f AS (SELECT category, min(day) AS first FROM m WHERE u > 0 GROUP BY 1)
 SELECT f.category, strftime(t.day, '%Y-%m') AS month, sum(coalesce(u, 0)) AS units, count(*) AS tally_days FROM f JOIN t ON t.day >= f.first LEFT JOIN m ON m.category = f.category AND m.day = t.day GROUP BY ALL""")
 def _(s):
-    m = s.sale.join(s.product, "product_id").groupBy("category", "day").agg(F.sum("quantity_sold").alias("u"))
+    own = s.sale.groupBy("product_id", "day").agg(F.sum("quantity_sold").alias("u"))
+    m = own.join(s.product, "product_id").groupBy("category", "day").agg(F.sum("u").alias("u"))
     first = m.filter("u > 0").groupBy("category").agg(F.min("day").alias("first"))
     tally = s.sale.agg(F.collect_set("day")).scalar()  # bounded by the calendar
     grid = first.withColumn("day", F.explode(tally)).filter("day >= first")

@@ -52,11 +52,14 @@ class Ctx:
     """The inputs of the policy at one position of the history."""
 
     def __init__(self, s):
+        # item days are written once: the span, rates, errors and deviations all read them
+        per = s.sale.groupBy("product_id", "day").agg(F.sum("quantity_sold").cast("double").alias("qty"), F.max(F.col("quantity_sold") > 0).alias("sold"))
+        per = cut_lineage(per, "item-days")
         # one row with two dates: literals let Spark prune and fold the plan
-        b = s.sale.agg(F.min("day").alias("d0"), F.max(F.when(F.col("quantity_sold") > 0, F.col("day"))).alias("d1")).first()
+        b = per.agg(F.min("day").alias("d0"), F.max(F.when(F.col("sold"), F.col("day"))).alias("d1")).first()
         self.d0, self.d1 = F.lit(b.d0), F.lit(b.d1)
         self.n = F.lit((b.d1 - b.d0).days + 1)
-        self.days = P.item_days(s.sale, self.d0)
+        self.days = per.select("product_id", "day", "qty", F.datediff("day", self.d0).alias("pos"))
         cls = fsn_classify(s.product, s.sale).filter(F.col("fsn_class").isin("F", "S"))
         # read by every later step: classified once, then read back
         self.items = cut_lineage(cls.select("product_id", "fsn_class", "lead_time_days", "unit_price_php", "category", "item_name"), "items")
@@ -253,6 +256,21 @@ def _(s):
     return P.allocate_budget(curve, base).groupBy("q").agg(F.count("*").alias("items"))
 
 
+def donor_rates(c, split):
+    """Items with their groups, and the median rate of each group from sales before ``split``."""
+    r = c.rates(split)
+    r = cut_lineage(r, "rates")
+    edges = exact_quantiles(r, "unit_price_php", [0.25, 0.5, 0.75]).select("q").scalar()
+    price = F.col("unit_price_php")
+    r = r.withColumn("edges", edges).withColumn("band", F.when(price.isNull(), "unpriced").otherwise(
+        F.concat(F.lit("band"), F.size(F.filter("edges", lambda e: price > e)))))
+    labels = F.array(F.struct(F.lit("all").alias("rule"), F.lit("all").alias("grp")), F.struct(F.lit("category").alias("rule"), F.col("category").alias("grp")),
+                     F.struct(F.lit("price_band").alias("rule"), F.col("band").alias("grp")))
+    lab = r.select("product_id", "lead_time_days", "rate", F.inline(labels))
+    donors = exact_quantiles(lab, "rate", [0.5], ["rule", "grp"]).select("rule", "grp", F.col("q")[0].alias("r"))
+    return lab, donors
+
+
 @plan("cold_start_donor", "rule:s n_skus:l n_blocks:l demand:d1 fill_rate:d6 held:d4", HEAD + base_sql("400", "h") + """,
 ed AS (SELECT quantile_cont(unit_price_php, [0.25, 0.5, 0.75]) AS e FROM it WHERE unit_price_php IS NOT NULL),
 lab AS (SELECT it.product_id, lead_time_days AS L, rate, unnest(['all', 'category', 'price_band']) AS rule, unnest(['all', category, CASE WHEN unit_price_php IS NULL THEN 'unpriced' ELSE 'band' || (CASE WHEN unit_price_php > ed.e[1] THEN 1 ELSE 0 END + CASE WHEN unit_price_php > ed.e[2] THEN 1 ELSE 0 END + CASE WHEN unit_price_php > ed.e[3] THEN 1 ELSE 0 END) END]) AS grp FROM it JOIN rateh USING (product_id), ed),
@@ -264,16 +282,7 @@ SELECT rule, count(DISTINCT product_id) AS n_skus, count(*) AS n_blocks, sum(act
 def _(s):
     c = Ctx(s)
     split = F.lit(400)
-    r = c.rates(split)
-    r = cut_lineage(r, "rates")
-    edges = exact_quantiles(r, "unit_price_php", [0.25, 0.5, 0.75]).select("q").scalar()
-    price = F.col("unit_price_php")
-    r = r.withColumn("edges", edges).withColumn("band", F.when(price.isNull(), "unpriced").otherwise(
-        F.concat(F.lit("band"), F.size(F.filter("edges", lambda e: price > e)))))
-    labels = F.array(F.struct(F.lit("all").alias("rule"), F.lit("all").alias("grp")), F.struct(F.lit("category").alias("rule"), F.col("category").alias("grp")),
-                     F.struct(F.lit("price_band").alias("rule"), F.col("band").alias("grp")))
-    lab = r.select("product_id", "lead_time_days", "rate", F.inline(labels))
-    donors = exact_quantiles(lab, "rate", [0.5], ["rule", "grp"]).select("rule", "grp", F.col("q")[0].alias("r"))
+    lab, donors = donor_rates(c, split)
     sold = c.days.filter((F.col("pos") < split) & (F.col("qty") > 0)).select("product_id").distinct()
     cold = lab.join(sold, "product_id", "left_anti").join(F.broadcast(donors), ["rule", "grp"])
     com = cold.select("product_id", "lead_time_days", "rule", (F.col("r") * F.col("lead_time_days")).alias("committed"))

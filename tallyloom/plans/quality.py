@@ -11,7 +11,7 @@ from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.operators.scale import cut_lineage
 from tallyloom.plans import policy as PP
 from tallyloom.plans.classify import FSN_SQL
-from tallyloom.plans.joins import _RAWN, raw_named, vocabulary
+from tallyloom.plans.joins import _RAWN, raw_named, raw_spelled, vocabulary
 from tallyloom.plans.registry import plan
 from tallyloom.plans.sources import _RAW, judged_rows
 from tallyloom.sources.star import month_key
@@ -63,7 +63,8 @@ SELECT name, label AS cluster, rows, regexp_replace(trim(CASE WHEN spellings = 1
 CASE WHEN spellings = 1 OR conflict THEN 'high' WHEN coalesce(weakest, 100) >= 90 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN spellings > 1 THEN 1 ELSE 0 END AS needs_review, CASE WHEN spellings > 1 AND conflict THEN 1 ELSE 0 END AS conflict
 FROM c3 JOIN sp USING (key) JOIN wh USING (label) LEFT JOIN wk USING (label)""")
 def _(s):
-    rows = raw_named(s).groupBy(F.col("raw_item").alias("name")).agg(F.count("*").alias("rows"))
+    own = s.fact.groupBy("product_id").agg(F.count("*").alias("rows"))
+    rows = raw_spelled(own, s).groupBy(F.col("raw_item").alias("name")).agg(F.sum("rows").alias("rows"))
     typo = rows.withColumn("name", F.when(F.length("name") % 5 == 0, F.concat("name", F.lit("s"))).otherwise(F.col("name")))
     return E.name_clusters(typo.groupBy("name").agg(F.sum("rows").alias("rows")))
 

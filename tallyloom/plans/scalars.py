@@ -205,8 +205,9 @@ def _(s):
     from tallyloom.operators.filters import is_sale
 
     m = F.date_format("day", "yyyy-MM")
-    g = s.fact.join(s.product, "product_id").groupBy("base_name").agg(
-        F.collect_set(F.when(is_sale(), m)).alias("a"), F.collect_set(F.when(F.col("transaction_type") == "Damaged", m)).alias("b"))
+    own = s.fact.select("product_id", m.alias("month"), is_sale().alias("sold"), (F.col("transaction_type") == "Damaged").alias("damaged")).distinct()
+    g = own.join(s.product, "product_id").groupBy("base_name").agg(
+        F.collect_set(F.when(F.col("sold"), F.col("month"))).alias("a"), F.collect_set(F.when(F.col("damaged"), F.col("month"))).alias("b"))
     return g.select("base_name", F.size("a").alias("months"), F.array_min("a").alias("first_month"), F.array_max("a").alias("last_month"),
                     F.size(F.array_intersect("a", "b")).alias("shared_with_damaged"))
 

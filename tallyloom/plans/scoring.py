@@ -335,24 +335,29 @@ def _(s):
     return front.join(per, "method").select(F.concat(F.lit("base:"), "method").alias("tag"), "fill", "short", "held", (F.col("held") / F.col("served")).alias("held_per_unit"), "skus_per_fold")
 
 
-@plan("check_no_leakage", "check:s differing_rows:l")
+@plan("check_no_leakage", "check:s fold:l rows:l differing_rows:l")
 def _(s):
-    """Forecasts must not change when everything after the origin is blanked."""
-    cut = F.col("n") - 360
-    full = s.series
-    blank = full.withColumn("qty", F.when(F.col("pos") < cut, F.col("qty")).otherwise(0.0))
-    menu = {k: v for k, v in M.level_methods().items() if k in ("rolling_mean_90", "tsb", "croston", "ewma_03")}
-
-    def first_fold(series):
-        t = B.training_rows(B.with_sale_ranks(series, "sku"), PLAN).filter("fold = 0")
-        return M.levels(t, ["sku"], menu).select("sku", *[F.round(m, 6).alias(m) for m in menu])
-
-    a, b = first_fold(full), first_fold(blank)
-    j = a.join(b.withColumnsRenamed({m: m + "_b" for m in menu}), "sku", "full")
-    diff = F.lit(False)
-    for m in menu:
-        diff = diff | ~F.col(m).eqNullSafe(F.col(m + "_b"))
-    return j.agg(F.sum(diff.cast("int")).alias("differing_rows")).withColumn("check", F.lit("levels_at_first_origin"))
+    """Nothing may change when all that lies behind an origin does: every registered method on every fold, the policy's
+    errors up to every fold's end, and the rates of donors at three splits."""
+    from copy import copy
+
+    from tallyloom.operators import leakage as K
+    from tallyloom.operators import registry as R
+    from tallyloom.plans import policy as PP
+
+    series = cut_lineage(s.series, "series")
+    levels = K.fold_leaks(series, "sku", PLAN, lambda d, plan: R.run(d, "sku", plan, R.names()))
+    out = levels.select(F.concat(F.lit("method:"), "method").alias("check"), "fold", "rows", "differing_rows")
+    c = PP.Ctx(s)
+    errors = K.error_leaks(c.days, c.items.select("product_id", "lead_time_days"), c.n, c.observed)
+    out = out.unionByName(errors.select(F.lit("policy_errors").alias("check"), "fold", "rows", "differing_rows"))
+    for i, split in enumerate((200, 400, 800)):
+        other = copy(c)
+        other.days = c.days.withColumn("qty", F.when(F.col("pos") < split, F.col("qty")).otherwise(F.col("qty") * 3 + 17))
+        a, b = (PP.donor_rates(x, F.lit(split))[1] for x in (c, other))
+        same = K.differing(a.withColumn("fold", F.lit(i)), b.withColumn("fold", F.lit(i)), ["fold", "rule", "grp"], "r", ["fold"])
+        out = out.unionByName(same.select(F.lit("donor_rates").alias("check"), "fold", "rows", "differing_rows"))
+    return out
 
 
 @plan("bootstrap_paired", "low:d6 median:d6 high:d6 replicates:l")

@@ -126,7 +126,8 @@ SELECT brand, month, col_no, coalesce(d, CAST(date_trunc('month', first) AS DATE
 def impute_missing_date(s):
     from pyspark.sql import Window
 
-    cols = s.walkin.join(s.product, "product_id").select(
+    # a recorded item day is one row before it meets its brand
+    cols = s.walkin.select("product_id", "day").distinct().join(s.product, "product_id").select(
         "brand", F.date_format("day", "yyyy-MM").alias("month"), "day").distinct()
     # a month sheet has at most 31 columns
     cols = cols.withColumn("col_no", F.row_number().over(Window.partitionBy("brand", "month").orderBy("day")))
@@ -173,10 +174,8 @@ def judged_rows(s):
       _RAW + """SELECT coalesce(reason, 'loaded') AS reason, raw_item, raw_qty, raw_date, count(*) AS rows_held FROM judged GROUP BY ALL""")
 def quarantine_sink(s):
     path = work_dir(s.spark, "tally-load")
-    R.write_with_quarantine(judged_rows(s).select("raw_item", "raw_qty", "raw_date", "reason"), f"{path}/good", f"{path}/bad")
-    good, bad = s.spark.read.parquet(f"{path}/good"), s.spark.read.parquet(f"{path}/bad")
-    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).groupBy(F.coalesce("reason", F.lit("loaded")).alias("reason"), "raw_item", "raw_qty",
-                                  "raw_date").agg(F.count("*").alias("rows_held"))
+    R.write_with_quarantine(judged_rows(s).select("raw_item", "raw_qty", "raw_date", "reason"), path)
+    return s.spark.read.parquet(path).groupBy(F.coalesce("reason", "sink").alias("reason"), "raw_item", "raw_qty", "raw_date").agg(F.count("*").alias("rows_held"))
 
 
 @plan("held_rows", "raw_item:s released:l rows_held:l",

@@ -133,7 +133,8 @@ def _(s):
 WITH m AS (SELECT category, CAST(date_trunc('month', day) AS DATE) AS m, sum(quantity_sold) AS u FROM sale JOIN product USING (product_id) GROUP BY ALL)
 SELECT a.category, strftime(a.m, '%Y-%m') AS month, a.u AS units, b.u AS previous_units, c.u AS last_year_units FROM m a LEFT JOIN m b ON b.category = a.category AND b.m = a.m - INTERVAL 1 MONTH LEFT JOIN m c ON c.category = a.category AND c.m = a.m - INTERVAL 1 YEAR""")
 def _(s):
-    m = s.sale.join(s.product, "product_id").groupBy("category", F.trunc("day", "month").alias("m")).agg(F.sum("quantity_sold").alias("units"))
+    own = s.sale.groupBy("product_id", F.trunc("day", "month").alias("m")).agg(F.sum("quantity_sold").alias("units"))
+    m = own.join(s.product, "product_id").groupBy("category", "m").agg(F.sum("units").alias("units"))
     prev = m.select("category", F.add_months("m", 1).alias("m"), F.col("units").alias("previous_units"))
     ly = m.select("category", F.add_months("m", 12).alias("m"), F.col("units").alias("last_year_units"))
     return m.join(prev, ["category", "m"], "left").join(ly, ["category", "m"], "left").withColumn("month", month_key("m"))

@@ -120,10 +120,10 @@ def load_reason(qty: Column, name: Column, is_supplier: Column, product_id: Colu
             .when(day.isNull(), "date_no_match_in_dim_date"))
 
 
-def write_with_quarantine(judged: DataFrame, good_path: str, bad_path: str) -> None:
-    """Write loadable and rejected rows; every input row lands in one of them."""
-    judged.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(good_path)
-    judged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(bad_path)
+def write_with_quarantine(judged: DataFrame, path: str) -> None:
+    """Write loadable and rejected rows in one pass, to ``sink=loaded`` and ``sink=held`` under ``path``; every row lands in one of them."""
+    sink = F.when(F.col("reason").isNull(), "loaded").otherwise("held")
+    judged.withColumn("sink", sink).write.mode("overwrite").partitionBy("sink").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -17,9 +17,9 @@ def test_csv_strict_and_quarantine(spark, tmp_path):
 
     pid = F.when(F.col("Item") == "a", 1)
     judged = df.withColumn("reason", R.load_reason(F.col("Quantity").try_cast("long"), F.col("Item"), F.lit(False), pid, strict_date(F.col("Date"))))
-    R.write_with_quarantine(judged, str(tmp_path / "good"), str(tmp_path / "bad"))
-    assert spark.read.parquet(str(tmp_path / "good")).count() == 1
-    assert sorted(r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [
+    R.write_with_quarantine(judged, str(tmp_path / "sinks"))
+    assert spark.read.parquet(str(tmp_path / "sinks" / "sink=loaded")).count() == 1
+    assert sorted(r.reason for r in spark.read.parquet(str(tmp_path / "sinks" / "sink=held")).collect()) == [
         "date_no_match_in_dim_date", "invalid_or_missing_quantity", "item_no_match_in_dim_product"]
 
 
