@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +49,15 @@ def quantile_of(sorted_values: Column, q: Column | float) -> Column:
     a = F.get(sorted_values, lo)
     b = F.coalesce(F.get(sorted_values, lo + 1), a)
     return a + (b - a) * (at - lo)
+
+
+POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676])  # steps of Poisson(1)
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64 well-spread bits of each number and a salt, for draws that don't depend on partitioning."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64) + np.uint64(salt & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))

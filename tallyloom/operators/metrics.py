@@ -6,9 +6,12 @@ undefined ratio is NULL, never NaN.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import POISSON, mixed as _mixed
 from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.operators.scale import cut_lineage
 
@@ -120,14 +123,23 @@ def c_index(rows: DataFrame) -> DataFrame:
 def cluster_bootstrap(diffs: DataFrame, key: str, value: str, weight: str, replicates: int, seed: int = 7) -> DataFrame:
     """Bootstrap over series of a ratio difference, with a 95 % interval.
 
-    Each (series, replicate) draws a Poisson(1) weight from a hash, so the
-    result does not depend on partitioning and needs no resampled copies.
+    Each (series, replicate) draws a Poisson(1) weight from a hash, so the result does not depend on partitioning. A task adds the
+    weighted sums of all replicates into two arrays and gives them once; no series is repeated.
     """
-    reps = diffs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    draw = F.lit(0)
-    for edge in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676):  # Poisson(1) steps
-        draw = draw + (u > edge).cast("int")
-    g = reps.withColumn("w", draw).groupBy("rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum(F.col("w") * F.col(weight))).alias("d"))
-    return g.agg(F.percentile("d", [0.025, 0.5, 0.975]).alias("q"), F.count("d").alias("replicates")).select(
+    rows = diffs.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+
+    def add(batches):
+        salts = _mixed(np.arange(1, replicates + 1), 0)
+        sums = np.zeros((2, replicates))
+        for pdf in batches:
+            h, both = pdf["h"].to_numpy(), pdf[["v", "w"]].to_numpy()
+            for i in range(0, len(h), 256):
+                u = (_mixed(h[i:i + 256, None].astype(np.uint64) ^ salts, 1) >> np.uint64(11)) / float(1 << 53)
+                sums += both[i:i + 256].T @ np.searchsorted(POISSON, u, "right")
+        yield pd.DataFrame({"v": [sums[0].tolist()], "w": [sums[1].tolist()]})
+
+    parts = rows.mapInPandas(add, "v array<double>, w array<double>")
+    each = parts.select(F.posexplode(F.arrays_zip("v", "w")).alias("rep", "s")).groupBy("rep").agg((F.sum("s.v") / F.sum("s.w")).alias("d"))
+    # one number for each replicate
+    return each.agg(F.percentile("d", [0.025, 0.5, 0.975]).alias("q"), F.count("d").alias("replicates")).select(
         F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "replicates")

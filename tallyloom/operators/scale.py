@@ -80,6 +80,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def package_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package where it isn't installed (else it comes with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write and read back, so later steps survive lost executors cheaply."""
     spark = df.sparkSession

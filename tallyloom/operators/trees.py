@@ -15,11 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import POISSON, mixed as _mixed
 from tallyloom.operators import backtest as B
 from tallyloom.operators.scale import cut_lineage
 
-POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676])  # steps of Poisson(1)
-
 
 @dataclass(frozen=True)
 class Shape:
@@ -31,14 +30,6 @@ class Shape:
     drawn: bool = True  # weights drawn by tree; else every row counts once
 
 
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = x.astype(np.uint64) + np.uint64(salt & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 class Forest:
     """Splits and leaf values of every fold and tree; node i has the children 2 i + 1 and 2 i + 2."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import half_even
+from tallyloom.operators.scale import in_order
 
 GAP_CAP_DAYS = 30
 SUPPLY_WINDOW = 28
@@ -20,14 +21,12 @@ def day_totals(rows: DataFrame) -> DataFrame:
 
 
 def month_running(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Running units per item, reset each month, in (day, order) order."""
-    month = F.trunc("day", "month")
-    days = day_totals(rows).withColumn("before", F.coalesce(F.sum("day_units").over(
-        Window.partitionBy("product_id", month).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.sum("quantity_sold").over(
-        Window.partitionBy("product_id", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__in", inside).join(days.select("product_id", "day", "before"), ["product_id", "day"]).withColumn(
-        "cumulative_monthly_units", F.col("before") + F.col("__in")).drop("__in", "before")
+    """Running units per item, reset each month, in (day, order) order.
+
+    The rows of one item, even those of one day, are cut into ranges, so a hot item is summed by several tasks.
+    """
+    done = in_order(rows.withColumn("__month", F.trunc("day", "month")), [F.asc("day"), *[F.asc(c) for c in order]], ["product_id", "__month"], {"cumulative_monthly_units": "quantity_sold"})
+    return done.select(*rows.columns, "cumulative_monthly_units")
 
 
 def depletion_rate(days: DataFrame) -> DataFrame:

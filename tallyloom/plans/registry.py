@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators.scale import package_on_workers
 from tallyloom.plans.prelude import PRELUDE
 from tallyloom.sources.star import Star
 
@@ -72,6 +73,7 @@ def plan(name: str, spec: str, sql: str | None = None):
 
     def wrap(fn: Callable[[Star], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            package_on_workers(spark)
             return conform(fn(Star(spark, sf_dir)), spec)
 
         if name in QUERIES:

@@ -291,6 +291,23 @@ def test_c_index_equals_pairs(spark):
     assert (r.pairs, r.concordant) == (len(pairs), conc)
 
 
+def test_bootstrap_equals_plain_sums(spark):
+    """Every replicate's ratio as one weighted sum over all series, with draws that depend on the key alone."""
+    rng = random.Random(4)
+    rows = [(f"k{i}", rng.uniform(-3, 5), rng.uniform(1, 9)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    got = X.cluster_bootstrap(df.repartition(5), "k", "v", "w", 200).first()
+    h = np.array([r.h for r in df.select(F.xxhash64(F.col("k"), F.lit(7)).alias("h")).collect()])
+    v, w = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    ratios = []
+    for rep in range(1, 201):
+        u = (N.mixed(h.astype(np.uint64) ^ N.mixed(np.array([rep]), 0)[0], 1) >> np.uint64(11)) / float(1 << 53)
+        draw = np.searchsorted(N.POISSON, u, "right")
+        ratios.append((draw @ v) / (draw @ w))
+    assert [got.low, got.median, got.high] == pytest.approx(np.quantile(ratios, [0.025, 0.5, 0.975]).tolist(), abs=1e-9) and got.replicates == 200
+    assert abs(got.median - v.sum() / w.sum()) < 0.05
+
+
 # ------------------------------------------------------------------ season
 def test_season_needs(spark):
     day = lambda k: D0 + dt.timedelta(days=k)
