@@ -2,10 +2,9 @@
 
 Every job reads files, runs to the end of what is there (``availableNow``) or
 keeps running, and leaves Parquet behind. A batch is reduced to one row per key
-and written under its batch number, so a replayed batch replaces itself. There
-is no watermark: a late row only adds to its key, whenever it comes, and readers
-add the batches up. What is kept between batches is the written table, which
-``compact`` folds into one row per key.
+and added to a leveled table, in which a replayed batch counts once. There
+is no watermark: a late row only adds to its key, whenever it comes. What is kept
+between batches is that table, which folds its batches by itself.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.scale import work_dir
+from tallyloom.streaming.leveled import Leveled
 
 DAY = ["product_id", "day", "kind"]
 
@@ -31,15 +31,12 @@ def as_tally(events: DataFrame) -> DataFrame:
                          F.col("event_type").alias("kind"), F.floor("value").cast("long").alias("quantity"))
 
 
-def write_batches(stream: DataFrame, name: str, reduced) -> str:
-    """Run the stream to the end; returns the folder with ``reduced(batch)`` of every batch."""
+def write_batches(stream: DataFrame, name: str, reduced) -> Leveled:
+    """Run the stream to the end; returns the table of ``reduced(batch)`` of every batch."""
     out = work_dir(stream.sparkSession, name)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        reduced(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id:09d}/")
-
-    run(stream, sink, f"{out}/checkpoint")
-    return f"{out}/data"
+    table = Leveled(stream.sparkSession, f"{out}/data", reduced)
+    run(stream, table.append, f"{out}/checkpoint")
+    return table
 
 
 def run(stream: DataFrame, sink, checkpoint: str) -> None:
@@ -47,10 +44,6 @@ def run(stream: DataFrame, sink, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).parquet(path)
-
-
 def day_totals(rows: DataFrame) -> DataFrame:
     """Units and rows per product, day and kind; of rows, or of totals of several batches."""
     if "units" not in rows.columns:
@@ -60,12 +53,7 @@ def day_totals(rows: DataFrame) -> DataFrame:
 
 def live_days(stream: DataFrame, name: str = "days") -> DataFrame:
     """Day totals of everything that has arrived, late rows included."""
-    return day_totals(batches(stream.sparkSession, write_batches(stream, name, day_totals)))
-
-
-def compact(spark: SparkSession, path: str, into: str) -> None:
-    """Fold the batches of a table of day totals into one row per key."""
-    day_totals(batches(spark, path)).write.mode("overwrite").parquet(into)
+    return write_batches(stream, name, day_totals).rows()
 
 
 def daily_units(days: DataFrame) -> DataFrame:
@@ -91,7 +79,7 @@ def newest_rows(rows: DataFrame) -> DataFrame:
 
 
 def latest_per_key(stream: DataFrame, name: str = "latest") -> DataFrame:
-    return newest_rows(batches(stream.sparkSession, write_batches(stream, name, newest_rows)))
+    return write_batches(stream, name, newest_rows).rows()
 
 
 def ingest(stream: DataFrame, known: DataFrame, name: str = "ingest") -> str:

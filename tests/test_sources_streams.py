@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.sources import readers as R
 from tallyloom.streaming import live as L
+from tallyloom.streaming.leveled import Leveled
 
 
 def test_csv_strict_and_quarantine(spark, tmp_path):
@@ -50,9 +51,10 @@ def arriving(spark, tmp_path_factory):
 
 def test_tally_stream_reads_a_folder_of_files(spark, arriving):
     stream, batch = arriving
-    path = L.write_batches(stream, "t", lambda b: b)
-    assert rows(L.batches(spark, path).drop("batch")) == rows(batch)
-    assert L.batches(spark, path).select("batch").distinct().count() == 5
+    table = L.write_batches(stream, "t", lambda b: b)
+    assert rows(table.rows()) == rows(batch)
+    # five batches: four folded into one folder, and the last
+    assert table.manifest().last == 4 and [level for level, _ in table.manifest().folders] == [1, 0]
 
 
 def test_live_tables_equal_the_batch_result(spark, arriving):
@@ -71,11 +73,43 @@ def test_latest_per_key_equals_batch(spark, arriving):
     assert rows(L.latest_per_key(stream, "t")) == rows(L.newest_rows(batch))
 
 
-def test_compaction_keeps_the_totals(spark, arriving, tmp_path):
-    stream, batch = arriving
-    path = L.write_batches(stream, "t", L.day_totals)
-    L.compact(spark, path, str(tmp_path / "c"))
-    assert rows(spark.read.parquet(str(tmp_path / "c"))) == rows(L.day_totals(batch))
+def sums(rows):
+    return rows.groupBy("k").agg(F.sum("v").alias("v"))
+
+
+def test_leveled_table(spark, tmp_path):
+    """Many batches are read from few folders, a batch counts once, and only committed batches count."""
+    table = Leveled(spark, str(tmp_path / "t"), sums)
+    with pytest.raises(FileNotFoundError):
+        table.rows()
+    want = {}
+    for b in range(23):
+        own = {k: b * 10 + k for k in range(b % 3, 6)}
+        table.append(spark.createDataFrame(list(own.items()), "k int, v long"), b)
+        want = {k: want.get(k, 0) + own.get(k, 0) for k in range(6)}
+        if b % 7 == 0:  # given again after the commit
+            table.append(spark.createDataFrame([(1, 999)], "k int, v long"), b)
+        assert len(table.manifest().folders) <= 3 * 3
+    assert {r.k: r.v for r in table.rows().collect()} == want
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) <= 9 + 4  # and what the last commit replaced
+
+
+def test_crash_before_the_commit(spark, tmp_path, monkeypatch):
+    table = Leveled(spark, str(tmp_path / "t"), sums)
+    for b in range(3):
+        table.append(spark.createDataFrame([(1, 1)], "k int, v long"), b)
+
+    def dies(m):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(table, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            table.append(spark.createDataFrame([(1, 5)], "k int, v long"), 3)
+    again = Leveled(spark, str(tmp_path / "t"), sums)
+    assert again.rows().first().v == 3
+    again.append(spark.createDataFrame([(1, 5)], "k int, v long"), 3)
+    assert again.rows().first().v == 8 and [level for level, _ in again.manifest().folders] == [1]
 
 
 def test_stock_state_by_hand(spark):
