@@ -16,8 +16,7 @@ pair of an A and a B token that end together; links cut the tokens into groups.
 
 A null or empty text has no tokens, nor has one whose tokens don't write " " + text (such as one with
 U+2581, which B writes as a blank): its numbers are 0 and its groups empty. Repeated rows are
-documents of their own and all count. Long texts are encoded in pieces, cut before a blank behind a
-non-blank, where no token of B crosses. An empty table gives no rows. Other columns are ignored.
+documents of their own and all count. A text of any length is aligned whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,26 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow_text import raw, slices
-from tallyloom.llm.bpe import Transducer
+from tallyloom.llm.bpe import Pieces, Transducer
 from tallyloom.operators.scale import cut_lineage
 
 SPAN = 512  # bytes of a lane
 WINDOW = 1 << 20  # bytes aligned at once; a longer text is aligned alone
-PIECE = 1 << 16  # characters of a long text that B encodes at once
-
-
-def _pieces(text: str) -> Iterator[str]:
-    """Parts that B can encode one by one: B puts a blank before each, which stands for the one that is cut away."""
-    start = 0
-    while len(text) - start > PIECE:
-        cut = text.find(" ", start + PIECE)
-        while cut > 0 and text[cut - 1] == " ":  # not inside a run of blanks
-            cut = text.find(" ", cut + 1)
-        if cut < 0 or cut + 1 >= len(text):
-            break
-        yield text[start:cut]
-        start = cut + 1
-    yield text[start:]
+REMEMBERED = 1 << 22  # ids of words of B that a worker remembers
 
 
 def lockstep(a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +75,8 @@ class Aligner:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
+        self.blank = self.b.piece_to_id("▁")
+        self.words = Pieces(self._merged)
         self.whole_words = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in b_bytes)
         self.bytes = [[table.get(i, b"") for i in range(max(table) + 1)] for table in (a_bytes, b_bytes)]
         self.sizes = [np.array([len(t) for t in table], np.int64) for table in self.bytes]
@@ -108,14 +95,31 @@ class Aligner:
         found |= {i * self.n_b + j for t, ids in by_bytes[1].items() for k in range(1, len(t)) for i in by_bytes[0].get(t[k:], ()) for j in ids}
         return np.array(sorted(found), np.int64)
 
-    def _encode_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if max(map(len, texts)) <= PIECE or not self.whole_words:
-            lists = self.b.encode(texts, num_threads=1)
-        else:
-            lists = [list(chain.from_iterable(self.b.encode(list(_pieces(t)), num_threads=1))) for t in texts]
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of B for words that start with a blank, which B puts there itself."""
+        lists = [ids or [self.blank] for ids in self.b.encode([w[1:].decode() for w in words], num_threads=1)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes
 
+    def _encode_b(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of B of texts that start with a blank; no token crosses from a non-blank to a blank, so words are encoded once."""
+        if not self.whole_words:
+            lists = self.b.encode([t[1:] for t in texts.to_pylist()], num_threads=1)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes
+        body, at = raw(texts)
+        data = body[at[0]:at[-1]]
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at - at[0]]
+        start = points == 32
+        start[1:] &= points[:-1] != 32
+        start[ends[:-1]] = True
+        first = np.flatnonzero(start)
+        if self.words.used > REMEMBERED:
+            self.words.clear()
+        ids, n = self.words.ids(points, first)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.searchsorted(first, ends, "left")])
+
     def align(self, texts: pa.Array) -> Iterator[tuple]:
         """For slices of rows: rows with tokens, and of these the ids of A and B, their numbers, links' places, and numbers of links.
 
@@ -129,7 +133,7 @@ class Aligner:
             if len(some):
                 chosen = texts.slice(lo, hi - lo).take(pa.array(some))
                 a, n_a = self.a.encode(chosen)
-                b, n_b = self._encode_b([t[1:] for t in chosen.to_pylist()])
+                b, n_b = self._encode_b(chosen)
                 data = [body[own[r]:own[r + 1]].tobytes() for r in some.tolist()]
                 keep = self._writes(0, a, n_a, data) & self._writes(1, b, n_b, data)
                 a, n_a, b, n_b, some = a[np.repeat(keep, n_a)], n_a[keep], b[np.repeat(keep, n_b)], n_b[keep], some[keep]
