@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
@@ -98,8 +99,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(found, ("assign", "access", "hex"))
 
 
+def _either_case(pattern: str) -> str:
+    """Letters of a case-blind group as ASCII classes; the engine's own folding also takes a long s and the Kelvin sign."""
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+
+
 def _spans_sql(kind: str, no: int, pattern: str, base: bool, where: str = "true") -> str:
-    quoted = pattern.replace("'", "''")
+    quoted = _either_case(pattern).replace("'", "''")
     return f"""
 SELECT doc_id, '{kind}' AS kind, {no} AS no, {base} AS base, hit, CAST(sum(gap + before) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS start, length(hit) AS n
 FROM (SELECT doc_id, i, hits[i] AS hit, length(gaps[i]) AS gap, CASE WHEN i > 1 THEN length(hits[i - 1]) ELSE 0 END AS before
@@ -110,7 +116,7 @@ QUALIFY {where}"""
 
 ORACLES["op5_secrets"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-f AS ({" UNION ALL ".join(_spans_sql(r.name, i, r.pattern, r.base, f"length(regexp_extract(hit, '{r.pattern.replace(chr(39), chr(39) * 2)}', 1)) >= {r.value_at_least}" if r.value_at_least else "true") for i, r in enumerate(secrets.RULES))}),
+f AS ({" UNION ALL ".join(_spans_sql(r.name, i, r.pattern, r.base, f"length(regexp_extract(hit, '{_either_case(r.pattern).replace(chr(39), chr(39) * 2)}', 1)) >= {r.value_at_least}" if r.value_at_least else "true") for i, r in enumerate(secrets.RULES))}),
 s AS (SELECT *, kind || ':' || start || ':' || (start + n) AS w FROM f)
 SELECT d.doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
        sha256(coalesce(string_agg(w, ',' ORDER BY start, no) FILTER (base), '')) AS base_sha256, coalesce(string_agg(w, ',' ORDER BY start, no), '') AS spans
