@@ -17,7 +17,7 @@ pass over the documents and no shuffle. Words are runs of characters other
 than ASCII blanks and punctuation, in lower case. An item of fewer than five words is one shingle;
 an item without words matches nothing, as does an empty or null text. Rows that
 repeat an item id with another text are items of their own; equal rows count once. Repeated documents are
-reported for each row. Extra columns are ignored.
+reported for each row. Documents of any length are read whole. An empty table on either side gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ Words are runs of non-blank ASCII characters, lower-cased in A-Z. A text with
 fewer words than a shingle is one shingle; an empty or null text has none and
 is linked with nothing. Shingles and sets are held as 64-bit hashes. Rows with
 the same id and different texts are separate; a null id never names a
-component that has another id. Extra columns are ignored.
+component that has another id. Texts of any length are read whole. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

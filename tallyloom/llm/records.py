@@ -8,7 +8,7 @@ index of (offset, payload length) pairs for reads in any order.
 
 Records are in ascending ``doc_id`` order over all files (null first): texts are
 dealt by ranges of the id and sorted within their range. Rows with the same id
-keep the order of the input table. Null texts are empty; extra columns are
+keep the order of the input table. Null texts are empty; a text of any length is one record; extra columns are
 ignored. An empty table gives no files.
 """
 

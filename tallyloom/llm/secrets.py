@@ -12,7 +12,7 @@ digits), ``hex`` (24 or more hexadecimal digits). Added rules: ``pem`` (head of
 a private key) and ``jwt`` (three-part token).
 
 Only DataFrame and SQL functions are used. A null text is an empty blob; a text
-without secrets has empty spans. Repeated rows share a blob and each get its
+without secrets has empty spans. Texts of any length are scanned whole; an empty table gives no rows. Repeated rows share a blob and each get its
 findings. Extra columns are ignored.
 """
 

@@ -27,7 +27,8 @@ fixed values for readings that the sample doesn't have.
 
 A null or empty text has no matches and gets the score of clean texts, a
 number as any other. Without labels of both classes only the general lexicon
-speaks, with fixed weights. Equal texts get equal scores. Other columns pass through.
+speaks, with fixed weights. Equal texts get equal scores, repeated rows each one. Texts of any length are read whole. An empty
+table gives no rows. Other columns pass through; the result columns replace columns of the same name.
 """
 
 from __future__ import annotations

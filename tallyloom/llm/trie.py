@@ -20,7 +20,7 @@ centroid's depth plus one.
 
 A null role or text is empty. Turns are in order of ``turn``, null first; turns with equal numbers are ordered by the SHA-256 of
 role and text; repeated rows are repeated turns. Rows without conv_id belong to no conversation. An empty table has no nodes. Texts
-may be of any length, as may conversations. Other columns are ignored.
+may be of any length, as may conversations. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ required headers, content length, end mark, block and payload digests, declared
 
 Defined cases: a null html is an empty payload; a null ``page_id`` sorts behind all others,
 so it is a response only if no page of that payload has an id; of repeated rows
-of one page and payload, one is the response; line breaks in a URL are escaped, a null URL is empty. Extra columns are
-ignored.
+of one page and payload, one is the response; line breaks in a URL are escaped, a null URL is empty. A payload of any length is one record. An empty table gives an
+archive without records. Extra columns are ignored.
 """
 
 from __future__ import annotations
