@@ -9,6 +9,9 @@ columns of ``documents``, but for the last one, which returns token ids.
 3. ``decontaminate`` drops documents that hold a passage of ``benchmark``.
 4. ``redact`` replaces personal data by its kind, such as [EMAIL], and updates ``n_chars``.
 5. ``tokenize`` encodes the texts and decodes them again.
+
+A null or empty text has no language, so the first stage drops it; later stages keep it. Texts of any length are worked on whole. A null id is
+an id of its own. Extra columns pass through all stages but the last. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
