@@ -14,7 +14,7 @@ PROBS = [0.0, 0.05, 0.25, 0.5, 0.8, 0.95, 1.0]
 def test_small_groups_equal_numpy(spark):
     """Refined down to single rows: many rounds, ties, one value, extreme ranges, null keys and null values."""
     rng = random.Random(9)
-    kinds = {"ties": lambda: float(rng.choice([1, 1, 1, 2, 7])), "one": lambda: 3.5, "wide": lambda: rng.choice([-1, 1]) * 10 ** rng.choice([-9, 0, 5, 307]), None: rng.random, "ints": lambda: float(rng.randint(0, 90))}
+    kinds = {"ties": lambda: float(rng.choice([1, 1, 1, 2, 7])), "one": lambda: 3.5, "wide": lambda: rng.choice([-1, 1]) * 10.0 ** rng.choice([-9, 0, 5, 307]), None: rng.random, "ints": lambda: float(rng.randint(0, 90))}
     data = {k: [f() for _ in range(rng.choice([1, 2, 311, 400]))] for k, f in kinds.items()}
     rows = [(k, v) for k, vs in data.items() for v in vs] + [("ties", None), ("nothing", None)]
     df = spark.createDataFrame(rows, "g string, v double")
