@@ -17,8 +17,12 @@ everything below is about classes, so copies cost nothing.
    all others. As far as members link, a list costs a multiple of its length; no
    link between components is left out.
 4. Pairs must have similar set sizes (lists are dealt by size band), few
-   differing bits in a sketch of the signature (four bits of each coordinate), and T agreeing
-   coordinates, before they are confirmed on the full sets.
+   differing bits in a sketch, and T agreeing coordinates, before they are
+   confirmed on the full sets. The sketch of a small set holds, for each of 512
+   buckets of shingle hashes, whether their number is odd: two sets differ in at
+   least as many shingles as their sketches in bits, so this bound loses nothing
+   and is nearly tight. A large set would fill the buckets; its sketch holds
+   four bits of each coordinate of the signature. Sets near the limit have both.
 
 Words are runs of non-blank ASCII characters, lower-cased in A-Z. A text with
 fewer words than a shingle is one shingle; an empty or null text has none and
@@ -42,8 +46,10 @@ from tallyloom.llm.arrow_text import mix, raw, shingles, words
 from tallyloom.llm.components import components
 from tallyloom.operators.scale import cut_lineage, discard
 
-BITS = 64  # coordinates in the sketch
+BITS = 64  # coordinates in the sketch of a large set
 PLANES = 4  # bits of each
+WORDS = 8  # 64-bit words of a sketch
+BUCKETS = 64 * WORDS  # bits in the sketch of a small set
 PIVOTS = (8, 64)  # drawn from each list in the rounds between the first and the last
 U64 = np.uint64
 
@@ -105,20 +111,33 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.concatenate(parts) if parts else s, np.cumsum([0, *map(len, parts)]), n
 
 
+def odd_buckets(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per run of distinct shingles, as ``WORDS`` words: in which of ``BUCKETS`` buckets their number is odd."""
+    n = len(at) - 1
+    bucket = (mix(values) >> U64(40)).astype(np.int64) % BUCKETS
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(at)) * BUCKETS + bucket, minlength=n * BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def odd_limit(percent: int) -> int:
+    """Largest set whose sketch of odd buckets is used: pairs at the bound differ in about a quarter as many shingles as there are buckets."""
+    return max(1, BUCKETS * (100 + percent) // (8 * max(1, 100 - percent)))
+
+
 def _class_of(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _signed(text, k: int, coordinates: int):
-    """Class, set size and signature of a text column."""
+    """Class, set size, signature and sketch of odd buckets of a text column."""
     with np.errstate(over="ignore"):
         factors = multipliers(coordinates)
 
-    @F.arrow_udf("n int, class long, signature array<int>")
+    @F.arrow_udf("n int, class long, signature array<int>, odd array<long>")
     def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with np.errstate(over="ignore"):
             for column in columns:
-                sizes, names, minima = [], [], []
+                sizes, names, minima, odd = [], [], [], []
                 for values, at, n in shingle_sets(column, k):
                     size = np.diff(at)
                     own = np.zeros((n, len(factors)), np.uint32)
@@ -128,11 +147,14 @@ def _signed(text, k: int, coordinates: int):
                             own[some, j] = np.minimum.reduceat(values * f, at[some]) >> U64(32)
                     sizes.append(size)
                     minima.append(own)
+                    odd.append(odd_buckets(values, at))
                     names += [_class_of(values[i:j]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
                 flat = np.concatenate(minima).view(np.int32).ravel() if minima else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(factors)), pa.array(flat))
-                yield pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), pa.array(names, pa.int64()), lists], ["n", "class", "signature"])
+                places = np.arange(len(size) + 1, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(places * len(factors)), pa.array(flat))
+                sketches = pa.ListArray.from_arrays(pa.array(places * WORDS), pa.array(np.concatenate(odd) if odd else np.zeros(0, np.int64)))
+                yield pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), pa.array(names, pa.int64()), lists, sketches], ["n", "class", "signature", "odd"])
     return sign(text)
 
 
@@ -158,16 +180,40 @@ def _plane(signature: Column, bit: int) -> Column:
     return F.aggregate(signature, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1) + F.shiftright(x, bit).cast("long").bitwiseAND(1))
 
 
+def _band(n: str, percent: int) -> Column:
+    """Sets that differ by more than one band in size are not similar enough."""
+    return F.floor(F.log(F.col(n).cast("double")) / -np.log(percent / 100)).cast("int")
+
+
+def _sketched(classes: DataFrame, percent: int) -> DataFrame:
+    """class, n, band, sketch and, where a neighbouring band compares the other kind of sketch, that one as ``spare``."""
+    words = lambda columns: F.struct(*[c.alias(f"p{i}") for i, c in enumerate(columns)])
+    odd = words([F.col("odd")[i] for i in range(WORDS)])
+    planes = words([_plane(F.slice("signature", 1, BITS), i) for i in range(PLANES)] + [F.lit(0).cast("long")] * (WORDS - PLANES))
+    last = _last_odd(percent)
+    sized = classes.withColumn("band", _band("n", percent))
+    return sized.select("class", "n", "band", F.when(F.col("band") <= last, odd).otherwise(planes).alias("sketch"),
+                        F.when(F.col("band") == last, planes).when(F.col("band") == last + 1, odd).alias("spare"))
+
+
+def _last_odd(percent: int) -> int:
+    """Last band whose members are compared by odd buckets."""
+    return int(np.log(odd_limit(percent)) / -np.log(percent / 100))
+
+
 def _pairs(left: DataFrame, right: DataFrame, percent: int, differences: int) -> DataFrame:
     """Distinct pairs of different classes and components that meet in a list and may be similar enough.
 
-    Both have the columns key, class, component, n and sketch.
+    Both have the columns key, class, component, n, band, sketch and spare. The band of the right side decides which sketches are compared.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
-    near = left.withColumn("band", F.explode(F.sequence(band - 1, band + 1)))
-    other = right.select("key", band.alias("band"), F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("sketch").alias("sketch2"))
-    met = near.join(other, (near["key"] == other["key"]) & (near["band"] == other["band"]) & (F.col("class") != F.col("other")) & (F.col("component") != F.col("apart"))
-                    & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (sum((F.bit_count(F.col("sketch")[f"p{i}"].bitwiseXOR(F.col("sketch2")[f"p{i}"])) for i in range(PLANES)), F.lit(0)) <= differences))
+    last = _last_odd(percent)
+    near = left.withColumn("meets", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    near = near.select("key", "class", "component", "n", "meets", F.when((F.col("meets") <= last) == (F.col("band") <= last), F.col("sketch")).otherwise(F.col("spare")).alias("sketch"))
+    other = right.select("key", F.col("band").alias("meets"), F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("sketch").alias("sketch2"))
+    differ = sum((F.bit_count(F.col("sketch")[f"p{i}"].bitwiseXOR(F.col("sketch2")[f"p{i}"])) for i in range(WORDS)), F.lit(0))
+    few = F.when(other["meets"] <= last, differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)).otherwise(differ <= differences)
+    met = near.join(other, (near["key"] == other["key"]) & (near["meets"] == other["meets"]) & (F.col("class") != F.col("other")) & (F.col("component") != F.col("apart"))
+                    & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & few)
     return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
@@ -192,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     differences = differences_allowed(min(BITS, coordinates), percent / 100, miss)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = cut_lineage(base.select("doc_id", _signed(F.col("text"), k, coordinates).alias("s")).select("doc_id", "s.*"), "signatures")
-    classes = cut_lineage(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = cut_lineage(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("odd").alias("odd")), "classes")
 
     elements = classes.select("class", F.posexplode("signature")).select("class", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col")).alias("key"))
     common = elements.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
@@ -200,8 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
               .filter(F.size("e") >= needed).select("class", F.explode(F.slice("e", F.lit(1), F.size("e") - (needed - 1))).alias("e")).select(F.col("e.key").alias("key"), "class"))
     prefixes = cut_lineage(prefix, "prefixes")
     met = prefixes.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    sketch = F.struct(*[_plane(F.slice("signature", 1, BITS), i).alias(f"p{i}") for i in range(PLANES)])
-    postings = cut_lineage(prefixes.join(met, "key").join(classes.select("class", "n", sketch.alias("sketch")), "class"), "postings")
+    postings = cut_lineage(prefixes.join(met, "key").join(_sketched(classes, percent), "class"), "postings")
 
     discard(prefixes)
 
@@ -216,10 +261,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     for turn, pivots in (("least", 1), *(("drawn", n) for n in PIVOTS), ("all", 0)):
         if roots is None:
             placed = postings.withColumn("component", F.col("class"))
-            left = postings.groupBy("key").agg(F.min(F.struct("class", "n", "sketch")).alias("p")).select("key", "p.*").withColumn("component", F.col("class"))
+            left = postings.groupBy("key").agg(F.min(F.struct("class", "n", "band", "sketch", "spare")).alias("p")).select("key", "p.*").withColumn("component", F.col("class"))
             right = placed
         else:
-            placed = cut_lineage(postings.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "sketch", F.coalesce("root", "class").alias("component")), "placed")
+            placed = cut_lineage(postings.join(roots.withColumnRenamed("node", "class"), "class", "left").select(*postings.columns, F.coalesce("root", "class").alias("component")), "placed")
             largest = (placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
                        .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("most < size"))
             open_ = placed.join(largest, "key")

@@ -213,3 +213,38 @@ def test_reranked_grow_with_the_table(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
     few, many = ([tuple(r) for r in ann.nearest(df, df.filter("vec_id % 200 = 0"), reranked=n).orderBy("query_id", "rank").collect()] for n in (10, 120))
     assert few == many  # 3 % of 4,000
+
+
+def test_sketches_of_odd_buckets_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 900, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (0, 1, 5, 60, 60, 400, 400, 5000)]
+    at = np.cumsum([0, *map(len, sets)])
+    sketches = minhash.odd_buckets(np.concatenate(sets), at)
+    sketches = sketches.view(np.uint64).reshape(len(sets), minhash.WORDS)
+    assert not sketches[0].any() and np.bitwise_count(sketches[1]).sum() == 1
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = int(np.bitwise_count(sketches[i] ^ sketches[j]).sum())
+            apart = len(np.setxor1d(a, b))
+            assert bits <= apart and bits % 2 == apart % 2
+
+
+@pytest.mark.parametrize("k, percent", [(3, 85), (1, 80)])
+def test_near_duplicates_about_the_limit_of_small_sets(spark, k, percent):
+    """Copies of two texts, whose sets lie on both sides of the size up to which odd buckets are compared."""
+    rng = random.Random(percent)
+    limit = minhash.odd_limit(percent)
+    docs = []
+    for size in (limit * 97 // 100, limit * 115 // 100):
+        base = [f"v{size}x{j}" for j in range(size + k - 1)]
+        for i in range(25):
+            w = list(base[rng.choice([0, 0, size // 12]):len(base) - rng.choice([0, size // 20])])
+            for p in rng.sample(range(len(w)), len(w) * rng.choice([0, 1, 3, 5, 7]) // (100 * k)):
+                w[p] = f"e{len(docs)}x{p}"
+            docs.append((len(docs), " ".join(w)))
+    sets = {i: sets_of(t, k) for i, t in docs}
+    assert min(map(len, sets.values())) < limit < max(map(len, sets.values()))
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    root = grouped(sets, links)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=k, percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == root
