@@ -257,7 +257,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     sets = cut_lineage(held.dropDuplicates(["class"]), "shingle-sets")
 
     roots = None
-    links = None
     for turn, pivots in (("least", 1), *(("drawn", n) for n in PIVOTS), ("all", 0)):
         if roots is None:
             placed = postings.withColumn("component", F.col("class"))
@@ -276,8 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
         found = cut_lineage(full, "links")
         discard(close, *([placed] if roots is not None else []))
         if roots is None or found.head(1):
-            links = found if links is None else links.union(found)
-            roots = components(links)
+            roots = components(found if roots is None else found.union(roots))  # each node's link to its root stands for all earlier links
 
     discard(postings, active, sets)
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "label", F.coalesce("root", "class").alias("root"))
