@@ -16,6 +16,8 @@ an id of its own. Extra columns pass through all stages but the last. An empty t
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,25 @@ from tallyloom.llm.sampling import id_remainder
 from tallyloom.operators.scale import work_dir
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def begin(spark: SparkSession) -> None:
+    """Prepare the workers, and free what the stages before hold.
+
+    Spark deletes shuffle files, broadcasts and compiled plans once the driver's
+    garbage is collected, and plans live as long as Python refers to them.
+    """
     on_workers(spark)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark)
     model = langid.train(docs.filter(id_remainder(F.col("doc_id"), 5) != 0))
     return docs.filter(langid.identified(F.col("text"), model)["accepted"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    on_workers(spark)
+    begin(spark)
     near = minhash.near_duplicates(docs)
     kept = near.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")))
@@ -43,18 +56,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    on_workers(spark)
+    begin(spark)
     return docs.filter(~decontaminate.is_contaminated(F.col("text"), table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark)
     found = pii.with_spans(docs, pii.train(docs), spans="__spans", base="__base")
     clean = found.withColumn("text", pii.redacted(F.col("text"), F.col("__spans")))
     return clean.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    on_workers(spark)
+    begin(spark)
     rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"), "ids")
 
