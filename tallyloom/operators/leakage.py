@@ -49,7 +49,8 @@ def error_leaks(days: DataFrame, items: DataFrame, n: Column, observed: DataFram
     """fold, rows and differing_rows of the policy's errors up to ``folds`` ends, ``step`` days apart, with another future behind each end."""
     ends = F.explode(F.sequence(F.lit(1), F.lit(folds)))
     copy = (F.col("product_id") * 100 + F.col("k")).alias("product_id")
-    asked = items.withColumn("k", ends).select(copy, "lead_time_days", (n - step * F.col("k")).alias("cut"))
+    # Spark sizes the copies as if they were the items alone: unhinted, all of them can go through the driver in a broadcast
+    asked = items.withColumn("k", ends).select(copy, "lead_time_days", (n - step * F.col("k")).alias("cut")).hint("merge")
     each = days.withColumn("k", ends).withColumn("cut", n - step * F.col("k"))
     known = each.select(copy, "pos", "qty")
     other = each.select(copy, "pos", F.when(F.col("pos") < F.col("cut"), F.col("qty")).otherwise(F.col("qty") * 3 + 17).alias("qty"))

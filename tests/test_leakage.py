@@ -40,3 +40,14 @@ def test_query(spark):
     rows = load_all().QUERIES["check_no_leakage"](spark, "/root/testdata/sf0.001").collect()
     assert {r.check.split(":")[0] for r in rows} == {"method", "policy_errors", "donor_rates"}
     assert all(r.differing_rows == 0 and r.rows > 0 for r in rows)
+
+
+def test_copies_of_items_are_not_broadcast(spark):
+    days = spark.createDataFrame([(i, p, float((i * p) % 3)) for i in range(1, 6) for p in range(500)], "product_id long, pos int, qty double")
+    items = spark.createDataFrame([(i, 14) for i in range(1, 6)], "product_id long, lead_time_days int")
+    seen = spark.createDataFrame([(p, p) for p in range(501)], "pos int, seen int")
+    found = K.error_leaks(days, items, F.lit(500), seen)
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    assert joins and not any("product_id" in x for x in joins)  # the calendar's rows are broadcast, the items' are not
+    got = found.collect()
+    assert len(got) == 12 and all(r.differing_rows == 0 and r.rows > 0 for r in got)
