@@ -106,6 +106,13 @@ def test_trees_add_look_alikes_only(spark):
     assert pii.train(df.limit(0)).trees == []
 
 
+def test_spans_of_long_texts_are_learned_from(spark):
+    good = [f"write to user{i}@mail{i % 7}.example.com now" for i in range(40)]
+    bad = ["calm words all day long " * 1000 + " ".join(f"build {i}.{j}.7.999 done," for j in range(50)) for i in range(12)]
+    model = pii.train(spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string"))
+    assert model.trees  # the only counterexamples stand in texts of 24,000 characters
+
+
 def test_loose_formats_in_personal_context_are_added(spark):
     good = [f"write to user{i}@mail{i % 7}.example.com or call me on +1 ({100 + i}) 555-{1000 + i}, my host address is 10.0.{i}.7" for i in range(240)]
     bad = [f"order {10**15 + 7919 * i} of build {i}.{i}.{i}.999 serial {5 * 10**15 + 13 * i}" for i in range(400)]
