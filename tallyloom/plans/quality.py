@@ -8,7 +8,7 @@ from tallyloom.operators import aggregates as A
 from tallyloom.operators import entity as E
 from tallyloom.operators import methods as M
 from tallyloom.operators.quantiles import exact_quantiles
-from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.scale import cut_lineage, spread
 from tallyloom.plans import policy as PP
 from tallyloom.plans.classify import FSN_SQL
 from tallyloom.plans.joins import _RAWN, raw_named, raw_spelled, vocabulary
@@ -299,7 +299,8 @@ f AS (SELECT *, floor(raw) AS fl, q - sum(floor(raw)) OVER (PARTITION BY product
 SELECT product_id, day, variant, fl + CASE WHEN row_number() OVER (PARTITION BY product_id, day ORDER BY raw - fl DESC, variant) <= l THEN 1 ELSE 0 END AS allocated FROM f""")
 def _(s):
     g = s.sale.groupBy("product_id", "day").agg(F.sum("quantity_sold").alias("q"))
-    v = g.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("w", (F.col("product_id") * F.col("variant") + F.dayofmonth("day")) % 7)
+    # the windows run in these partitions, on four times the rows
+    v = spread(g, "product_id").withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("w", (F.col("product_id") * F.col("variant") + F.dayofmonth("day")) % 7)
     return M.split_largest_remainder(v, ["product_id", "day"], "q", "w", "variant")
 
 
