@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import POISSON, mixed as _mixed
 from tallyloom.operators.quantiles import exact_quantiles
-from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.scale import cut_lineage, in_order
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -112,9 +112,8 @@ def c_index(rows: DataFrame) -> DataFrame:
         "t0", "risk").agg(F.sum("c").alias("later"))
     events = cells.filter("observed = 1").select(F.col("time").alias("t0"), "risk", F.col("c").alias("events"))
     g = events.join(later, ["t0", "risk"], "full").fillna(0, ["events", "later"])
-    w = Window.partitionBy("t0").orderBy("risk")
-    g = g.withColumn("lower", F.coalesce(F.sum("later").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
-        "all_later", F.sum("later").over(Window.partitionBy("t0")))
+    # there are few event times and many risks, so the running counts go in ranges
+    g = in_order(g, [F.col("risk").asc()], ["t0"], {"upto": "later"}).withColumn("lower", F.col("upto") - F.col("later")).withColumnRenamed("upto_total", "all_later")
     return g.agg(F.sum(F.col("events") * F.col("all_later")).alias("pairs"),
                  F.sum(F.col("events") * (F.col("lower") + 0.5 * F.col("later"))).alias("concordant")).withColumn(
         "c_index", F.when(F.col("pairs") > 0, F.col("concordant") / F.col("pairs")))

@@ -10,7 +10,7 @@ from tallyloom.operators import metrics as X
 from tallyloom.operators import registry as R
 from tallyloom.operators import windows as W
 from tallyloom.operators.hurdle import pooled_hurdle
-from tallyloom.operators.scale import cut_lineage
+from tallyloom.operators.scale import cut_lineage, spread
 from tallyloom.operators.trees import pooled_trees
 from tallyloom.plans import methods as P
 from tallyloom.plans.methods import PLAN, TRAIN
@@ -52,7 +52,8 @@ def item_origins(s, origins=6, horizon=84):
     n = (b.z - b.a).days + 1
     d = s.sale.filter("quantity_sold > 0").groupBy("product_id", F.datediff("day", F.lit(b.a)).alias("pos")).agg(F.sum("quantity_sold").alias("q"))
     os = F.array(*[F.lit(n - horizon - 30 * k) for k in range(origins)])
-    r = d.withColumn("origin", F.explode(os))
+    # an item's days are sent once; its origins are counted where they are
+    r = spread(d, "product_id").withColumn("origin", F.explode(os))
     past, age = F.col("pos") < F.col("origin"), F.col("origin") - F.col("pos")
     g = r.groupBy("product_id", "origin").agg(
         F.min(F.when(past, age)).alias("days_since_last"), F.max(F.when(past, age)).alias("days_since_first"),
@@ -92,10 +93,10 @@ def _(s):
     rows = item_origins(s).withColumn("time", F.least(F.coalesce(w, F.lit(weeks)), F.lit(weeks))).withColumn("observed", F.coalesce((w <= weeks).cast("int"), F.lit(0)))
     rows = cut_lineage(rows, "rows")
     asm = VectorAssembler(inputCols=[*FEATS, "week"], outputCol="features")
-    person = rows.filter("is_test = 0").withColumn("week", F.explode(F.sequence(F.lit(1).cast("long"), F.col("time"))))
+    person = spread(rows.filter("is_test = 0"), "product_id").withColumn("week", F.explode(F.sequence(F.lit(1).cast("long"), F.col("time"))))
     person = person.withColumn("label", ((F.col("week") == F.col("time")) & (F.col("observed") == 1)).cast("double"))
     model = LogisticRegression(maxIter=30, regParam=1e-3).fit(asm.transform(person))
-    test = rows.filter("is_test = 1").withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
+    test = spread(rows.filter("is_test = 1"), "product_id").withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
     p = model.transform(asm.transform(test)).withColumn("stay", 1 - vector_to_array("probability")[1])
     hz = p.groupBy("product_id", "time", "observed", "days_since_last").agg(F.sort_array(F.collect_list(F.struct("week", "stay"))).alias("h"))
     exp = F.aggregate("h", F.struct(F.lit(1.0).alias("surv"), F.lit(0.0).alias("t")), lambda a, x: F.struct((a["surv"] * x["stay"]).alias("surv"), (a["t"] + a["surv"]).alias("t")))["t"]
