@@ -244,6 +244,95 @@ def similar_pairs(names: DataFrame, col: str, min_ratio: int) -> DataFrame:
     return met.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+PIVOTS = (1, 8, 64)  # members of a group that all others meet before the rest is compared
+DEALT = 4096  # members of a group that one task compares with all others
+
+
+def _alike(far: float) -> Column:
+    """The edit distance of ``a`` and ``b`` is at most the share ``far`` of the longer one."""
+    return F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor(F.greatest(F.length("a"), F.length("b")) * far + 1e-9).cast("int")) >= 0
+
+
+def _linked(groups: DataFrame, labels: DataFrame, far: float, whole: bool) -> DataFrame:
+    """``labels`` (node, label) joined by links between members of a group; ``groups``: key, side, node.
+
+    Members with an equal side don't meet. Only members of different components are compared: first all members with a
+    few pivots, then, if ``whole``, those outside the largest component of their group with all others. So a group
+    whose members link costs a multiple of its length.
+    """
+    for pivots in (*PIVOTS, 0) if whole else PIVOTS[:2]:
+        placed = cut_lineage(groups.join(labels, "node"), "placed")
+        largest = (placed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+                   .agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("most < size"))
+        open_ = placed.join(largest, "key").withColumn("deals", F.ceil(F.col("size") / DEALT).cast("int"))
+        draw = F.pmod(F.xxhash64("node", F.lit(pivots)), F.ceil(F.col("size") / max(pivots, 1))) == 0
+        few = open_.filter(draw if pivots else F.col("label") != F.col("main"))
+        few = few.select("key", F.pmod(F.hash("node"), "deals").alias("deal"), F.col("side").alias("side_a"), F.col("label").alias("label_a"), F.col("node").alias("a"))
+        every = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "side", "label", F.col("node").alias("b"))
+        met = spread(few, "key", "deal").join(spread(every, "key", "deal"), ["key", "deal"])
+        apart = (F.col("label_a") != F.col("label")) & (F.col("side_a").isNull() | (F.col("side_a") != F.col("side")))
+        found = cut_lineage(met.filter(apart & _alike(far)).select(F.col("label_a").alias("a"), F.col("label").alias("b")).distinct(), "links")
+        if found.head(1):
+            ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+            roots = min_label_components(found, ends).select(F.col("node").alias("label"), F.col("label").alias("root"))
+            labels = cut_lineage(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        discard(placed, found)
+    return labels
+
+
+def _shape_lists(shapes: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
+    """Lists (t, sl, i, piece) through which shapes within ``t`` edits meet, as the shorter and as the longer one.
+
+    A pair of names is linked within ``t`` edits at most, where t is the lesser ``most`` of their shapes. One of the two offers its own most
+    and the other any t from ``least`` on, so each side offers all of them. Pieces as in ``similar_pairs``; an empty piece is found everywhere.
+    Of t + 1 pieces, the first one at which no more edits than pieces lie behind is whole, with at most i edits before it and t - i after it.
+    """
+    s = shapes.withColumn("t", F.explode(F.sequence("least", "most"))).withColumn("n", F.length("shape"))
+
+    def pieces(df):
+        df = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
+        base, plain = F.floor(F.col("sl") / (F.col("t") + 1)).cast("int"), F.col("t") + 1 - F.col("sl") % (F.col("t") + 1)
+        return df.withColumns({"at": F.col("i") * base + F.greatest(F.col("i") - plain, F.lit(0)), "len": base + (F.col("i") >= plain).cast("int")})
+
+    short = pieces(s.withColumn("sl", F.col("n"))).select("t", "sl", "i", F.expr("substring(shape, at + 1, len)").alias("piece"), "shape")
+    long = pieces(s.withColumn("sl", F.explode(F.sequence(F.greatest(F.col("n") - F.col("t"), F.lit(0)), F.col("n")))))
+    before, after, longer = F.col("i"), F.col("t") - F.col("i"), F.col("n") - F.col("sl")
+    first = F.greatest(F.lit(0), F.col("at") - before, F.col("at") + longer - after)
+    last = F.least(F.col("n") - F.col("len"), F.col("at") + before, F.col("at") + longer + after)
+    long = long.filter(first <= last).withColumn("p", F.explode(F.sequence(first, last)))
+    return short, long.select("t", "sl", "i", F.expr("substring(shape, p + 1, len)").alias("piece"), "shape").distinct()
+
+
+def similar_components(names: DataFrame, col: str, min_ratio: int) -> DataFrame:
+    """(node, label): components of the distinct ``names`` under the links of ``similar_pairs``, each labelled by its least name.
+
+    No pairs are kept. Names that are equal without their digits have one shape; taking characters of one kind out of
+    two strings never adds edits, so names can be linked only if their shapes are as near. Links are sought inside each shape, then
+    along lists of shapes with a common piece, then between all near shapes that are not in one component already. What links is
+    skipped; near shapes that don't link are compared in full.
+    """
+    far = 1 - min_ratio / 100.0
+    nodes = cut_lineage(names.select(F.col(col).alias("node"), F.regexp_replace(col, "[0-9]+", "").alias("shape")).distinct(), "nodes")
+    labels = _linked(nodes.select(F.col("shape").alias("key"), F.lit(None).cast("string").alias("side"), "node"), nodes.select("node", F.col("node").alias("label")), far, True)
+    n = F.length("node")
+    sized = nodes.groupBy("shape").agg(F.min("node").alias("node"), F.floor(F.min(n) * far + 1e-9).cast("int").alias("least"), F.floor(F.max(n) / (1 - far) * far + 1e-9).cast("int").alias("most"))
+    sized = cut_lineage(sized, "shapes")
+    short, long = [cut_lineage(x, "shape-lists") for x in _shape_lists(sized, far)]
+    lists = short.union(long).distinct().join(sized.select("shape", "node"), "shape")
+    labels = _linked(lists.select(F.struct("t", "sl", "i", "piece").alias("key"), F.lit(None).cast("string").alias("side"), "node"), labels, far, False)
+
+    one = nodes.join(labels, "node").groupBy("shape").agg(F.min("label").alias("l"), F.max("label").alias("m"))
+    one = cut_lineage(one.select("shape", F.when(F.col("l") == F.col("m"), F.col("l")).alias("only")), "shape-labels")
+    a, b = short.join(one, "shape"), long.join(one.select("shape", F.col("only").alias("only_b")), "shape").withColumnRenamed("shape", "shape_b")
+    met = a.join(b, ["t", "sl", "i", "piece"]).filter("shape <> shape_b AND NOT coalesce(only = only_b, false)")
+    near = met.select("t", F.least("shape", "shape_b").alias("x"), F.greatest("shape", "shape_b").alias("y")).distinct().filter("levenshtein(x, y, t) >= 0").select("x", "y").distinct()
+    near = cut_lineage(near, "near-shapes")
+    sides = near.select(F.struct("x", "y").alias("key"), F.explode(F.array("x", "y")).alias("shape")).join(nodes, "shape")
+    labels = _linked(sides.select("key", F.col("shape").alias("side"), "node"), labels, far, True)
+    discard(nodes, sized, short, long, one, near)
+    return labels
+
+
 def name_clusters(names: DataFrame, min_ratio: int = 80, medium: int = 90) -> DataFrame:
     """One row for each name: its cluster, the suggested spelling, how sure that is and whether a person should look.
 
@@ -256,16 +345,18 @@ def name_clusters(names: DataFrame, min_ratio: int = 80, medium: int = 90) -> Da
     key = T.spelling_key(F.col("name"))
     n = names.withColumn("key", key).filter("key <> ''").withColumn("norm", F.array_join(F.array_sort(F.split("key", " ")), " "))
     n = cut_lineage(n, "spellings")
-    nodes = n.select("norm").distinct()
-    edges = cut_lineage(similar_pairs(nodes, "norm", min_ratio), "similar")
-    labels = min_label_components(edges, nodes.select(F.col("norm").alias("node")))
-    score = 100 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))
-    weakest = edges.withColumn("score", score).join(labels, edges["a"] == labels["node"]).groupBy("label").agg(F.min("score").alias("weakest"))
+    labels = similar_components(n, "norm", min_ratio)
     best = F.max_by("name", F.struct("rows", "name"))
     spelled = n.groupBy("norm", "key").agg(best.alias("own"), F.max("rows").alias("top")).withColumn("m", T.product_marks(F.col("key")))
     spelled = spelled.join(labels, spelled["norm"] == labels["node"]).drop("node", "norm")
     differ = [F.countDistinct(F.col("m")[c]) > 1 for c in ("colours", "sizes", "code", "numbers")]
     whole = spelled.groupBy("label").agg(F.count("*").alias("spellings"), F.max_by("own", F.struct("top", "own")).alias("all"), (differ[0] | differ[1] | differ[2] | differ[3]).alias("conflict"))
+    whole = cut_lineage(whole, "clusters")
+    # only clusters that take one name need their weakest link
+    agreed = whole.filter("spellings > 1 AND NOT conflict").select("label").join(labels, "label")
+    edges = similar_pairs(agreed, "node", min_ratio)
+    score = 100 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))
+    weakest = edges.withColumn("score", score).join(labels, edges["a"] == labels["node"]).groupBy("label").agg(F.min("score").alias("weakest"))
     whole = whole.join(weakest, "label", "left").withColumn("weakest", F.coalesce("weakest", F.lit(100.0)))
     alone = F.col("spellings") == 1
     j = n.join(spelled.select("key", "own", "label"), "key").join(whole, "label")
