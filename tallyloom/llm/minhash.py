@@ -51,6 +51,7 @@ PLANES = 4  # bits of each
 WORDS = 8  # 64-bit words of a sketch
 BUCKETS = 64 * WORDS  # bits in the sketch of a small set
 PIVOTS = (8, 64)  # drawn from each list in the rounds between the first and the last
+SIEVE = 1 << 24  # bits in the map of the ids whose texts are read again
 U64 = np.uint64
 
 
@@ -228,6 +229,19 @@ def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, collisi
     return close, full.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("n")).filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")
 
 
+def _sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted`` (column ``key``); none that is in it is lost.
+
+    A bitmap of ``SIEVE`` hashed keys, 2 MB at most whatever the table, goes to all tasks, so that texts nobody needs aren't moved by the join that follows.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(SIEVE))
+    slot, at = F.shiftright(place, 15), place.bitwiseAND(32767)
+    bits = wanted.select(slot.alias("__slot"), at.alias("__at")).repartition("__slot").groupBy("__slot").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    met = rows.withColumns({"__slot": slot, "__at": at}).join(F.broadcast(bits), "__slot")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the id names its component) for each row.
 
@@ -252,7 +266,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
 
     # full sets of the classes that meet another one
     active = cut_lineage(classes.join(postings.select("class").distinct(), "class", "left_semi").select("class", "label", "signature"), "active")
-    held = base.join(active.select(F.col("label").alias("l"), F.col("class").alias("c")), F.col("doc_id").eqNullSafe(F.col("l")))
+    texts = _sifted(base, "doc_id", active.select(F.col("label").alias("doc_id")))
+    held = texts.join(active.select(F.col("label").alias("l"), F.col("class").alias("c")), F.col("doc_id").eqNullSafe(F.col("l")))
     held = held.select("c", _whole_sets(F.col("text"), k).alias("s")).filter("s.class = c").select("s.class", "s.shingles")
     sets = cut_lineage(held.dropDuplicates(["class"]), "shingle-sets")
 

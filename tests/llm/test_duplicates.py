@@ -248,3 +248,12 @@ def test_near_duplicates_about_the_limit_of_small_sets(spark, k, percent):
     root = grouped(sets, links)
     got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=k, percent=percent)
     assert {r.doc_id: r.component_id for r in got.collect()} == root
+
+
+def test_sieve_loses_no_wanted_row(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-2000, 2000)] + [(None, "none"), (7, "again")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in range(-1999, 2000, 7)] + [(None,), (7,)], "doc_id long")
+    got = sorted(r.text for r in minhash._sifted(rows, "doc_id", wanted).collect())
+    need = {f"t{i}" for i in range(-1999, 2000, 7)} | {"t7", "none", "again"}
+    assert need <= set(got) and len(got) == len(set(got)) < len(need) + 40
+    assert minhash._sifted(rows, "doc_id", wanted.limit(0)).count() == 0
