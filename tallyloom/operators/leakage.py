@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import backtest as B
 from tallyloom.operators import policy as P
+from tallyloom.operators.scale import spread
 
 MARK = "#"
 
@@ -26,10 +27,17 @@ def changed_future(series: DataFrame, key: str, plan: B.FoldPlan, future: Column
 
 
 def differing(a: DataFrame, b: DataFrame, keys: list[str], value: str, by: list[str]) -> DataFrame:
-    """Rows of ``by`` and the number of keys whose value is missing on one side or differs."""
-    left, right = (d.select(*keys, F.struct(F.round(value, 6)).alias(n)) for d, n in ((a, "x"), (b, "y")))
-    same = F.col("x").eqNullSafe(F.col("y"))
-    return left.join(right, keys, "full").groupBy(*by).agg(F.count("*").alias("rows"), F.count(F.when(~same, 1)).alias("differing_rows"))
+    """Rows of ``by`` and the number of keys whose value is missing on one side or differs.
+
+    The rows are those of a full join on ``keys``, told from counts: rows that are partitioned by some of the keys stay where they are.
+    """
+    # a key with a null meets nobody
+    alone = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    sides = [d.select(*keys, F.round(value, 6).alias("v"), F.when(alone, n).alias("side"), F.lit(n).alias("x"), F.lit(1 - n).alias("y")) for n, d in ((1, a), (0, b))]
+    each = sides[0].unionByName(sides[1]).groupBy(*keys, "side", "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    met = each.groupBy(*keys, "side").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("same"))
+    rows = F.when((F.col("x") > 0) & (F.col("y") > 0), F.col("x") * F.col("y")).otherwise(F.col("x") + F.col("y"))
+    return met.groupBy(*by).agg(F.sum(rows).alias("rows"), F.sum(rows - F.col("same")).alias("differing_rows"))
 
 
 def fold_leaks(series: DataFrame, key: str, plan: B.FoldPlan, run: Callable[[DataFrame, B.FoldPlan], DataFrame], future: Column | None = None) -> DataFrame:
@@ -46,14 +54,13 @@ def fold_leaks(series: DataFrame, key: str, plan: B.FoldPlan, run: Callable[[Dat
 
 
 def error_leaks(days: DataFrame, items: DataFrame, n: Column, observed: DataFrame, folds: int = 12, step: int = 30) -> DataFrame:
-    """fold, rows and differing_rows of the policy's errors up to ``folds`` ends, ``step`` days apart, with another future behind each end."""
-    ends = F.explode(F.sequence(F.lit(1), F.lit(folds)))
-    copy = (F.col("product_id") * 100 + F.col("k")).alias("product_id")
-    # Spark sizes the copies as if they were the items alone: unhinted, all of them can go through the driver in a broadcast
-    asked = items.withColumn("k", ends).select(copy, "lead_time_days", (n - step * F.col("k")).alias("cut")).hint("merge")
-    each = days.withColumn("k", ends).withColumn("cut", n - step * F.col("k"))
-    known = each.select(copy, "pos", "qty")
-    other = each.select(copy, "pos", F.when(F.col("pos") < F.col("cut"), F.col("qty")).otherwise(F.col("qty") * 3 + 17).alias("qty"))
-    a, b = (P.fold_errors(d, asked, n, observed, upto=F.col("cut")).withColumnRenamed("fold", "block") for d in (known, other))
-    split = lambda d: d.select((F.col("product_id") % 100).cast("int").alias("fold"), "product_id", "block", "error")
+    """fold, rows and differing_rows of the policy's errors up to ``folds`` ends, ``step`` days apart, with another future behind each end.
+
+    Days and items move once; the copies for each end, both runs and their comparison stay in the item's partition.
+    """
+    cut = n - step * F.col("copy")
+    other = F.when(F.col("pos") < cut, F.col("qty")).otherwise(F.col("qty") * 3 + 17)
+    days, items = (spread(d, "product_id") for d in (days.select("product_id", "pos", "qty"), items))
+    a, b = (P.fold_errors(days, items, n, observed, upto=cut, copies=F.sequence(F.lit(1), F.lit(folds)), qty=q).withColumnRenamed("fold", "block") for q in (None, other))
+    split = lambda d: d.select(F.col("copy").alias("fold"), "product_id", "block", "error")
     return differing(split(a), split(b), ["fold", "product_id", "block"], "error", ["fold"])

@@ -51,3 +51,21 @@ def test_copies_of_items_are_not_broadcast(spark):
     assert joins and not any("product_id" in x for x in joins)  # the calendar's rows are broadcast, the items' are not
     got = found.collect()
     assert len(got) == 12 and all(r.differing_rows == 0 and r.rows > 0 for r in got)
+
+
+def test_copies_of_days_do_not_move(spark):
+    days = spark.createDataFrame([(i, p, float((i * p) % 3)) for i in range(1, 6) for p in range(500)], "product_id long, pos int, qty double")
+    items = spark.createDataFrame([(i, 14) for i in range(1, 6)], "product_id long, lead_time_days int")
+    seen = spark.createDataFrame([(p, p) for p in range(501)], "pos int, seen int")
+    plan = K.error_leaks(days, items, F.lit(500), seen)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    # days and items by item, then one row a fold from each partition
+    assert len([x for x in moved if "REPARTITION_BY_NUM" not in x]) == 1 and all("hashpartitioning(product_id" in x for x in moved if "REPARTITION_BY_NUM" in x)
+
+
+def test_differing_counts_as_a_full_join(spark):
+    rng = random.Random(3)
+    a, b = (spark.createDataFrame([(rng.choice([1, 2, 3, 4, 5, None]), rng.choice(["x", "y"]), rng.choice([0.0, 1.0, None])) for _ in range(12)], "k int, g string, v double").cache() for _ in range(2))
+    left, right = a.select("k", "g", F.struct("v").alias("p")), b.select("k", "g", F.struct("v").alias("q"))
+    want = left.join(right, ["k", "g"], "full").groupBy("g").agg(F.count("*").alias("rows"), F.count(F.when(~F.col("p").eqNullSafe(F.col("q")), 1)).alias("differing_rows"))
+    assert sorted(K.differing(a, b, ["k", "g"], "v", ["g"]).collect()) == sorted(want.collect())
