@@ -244,42 +244,239 @@ def similar_pairs(names: DataFrame, col: str, min_ratio: int) -> DataFrame:
     return met.filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-PIVOTS = (1, 8, 64)  # members of a group that all others meet before the rest is compared
-DEALT = 4096  # members of a group that one task compares with all others
+PIVOTS = (1, 8)  # members of a group that all others meet
+STRAYS = 64  # members of a shape that its names outside the largest component meet; up to so many of these meet all
+FEW = (4, 16)  # members of two near classes that meet before the rest is asked for
+DEALT = 4096  # members of a class that one task compares with all others
+DELETED = 3  # digits that are left out at most to find near digits; beyond that all members meet
+SAMPLED = 20_000_000  # rows of near digits that are looked through at once while links are likely
+
+
+def _most_edits(far: float, a: str, b: str) -> Column:
+    return F.floor(F.greatest(F.length(a), F.length(b)) * far + 1e-9).cast("int")
 
 
 def _alike(far: float) -> Column:
     """The edit distance of ``a`` and ``b`` is at most the share ``far`` of the longer one."""
-    return F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor(F.greatest(F.length("a"), F.length("b")) * far + 1e-9).cast("int")) >= 0
+    return F.call_function("levenshtein", F.col("a"), F.col("b"), _most_edits(far, "a", "b")) >= 0
+
+
+def _merged(named: DataFrame, found: DataFrame) -> DataFrame:
+    """``named``, which has a column label, after the components a and b of ``found`` are joined."""
+    found = cut_lineage(found.distinct(), "links")
+    if found.head(1):
+        ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        roots = min_label_components(found, ends).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        named = cut_lineage(_renamed(named, roots), "labels")
+    discard(found)
+    return named
+
+
+def _renamed(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """``named`` with its labels replaced as ``roots`` (label, root) says."""
+    return named.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root").select(named.columns)
+
 
+def _apart(met: DataFrame, far: float) -> DataFrame:
+    """The components a and b of those pairs (a, label_a, b, label_b) that link two of them."""
+    return met.filter((F.col("label_a") != F.col("label_b")) & _alike(far)).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
-def _linked(groups: DataFrame, labels: DataFrame, far: float, whole: bool) -> DataFrame:
-    """``labels`` (node, label) joined by links between members of a group; ``groups``: key, side, node.
 
-    Members with an equal side don't meet. Only members of different components are compared: first all members with a
-    few pivots, then, if ``whole``, those outside the largest component of their group with all others. So a group
-    whose members link costs a multiple of its length.
+def _within(nodes: DataFrame, far: float) -> DataFrame:
+    """``nodes`` (node, shape, cls) with a label that is the same for names of one shape that are linked through a few of its names.
+
+    Every name is compared with those few once; which of them belong together is a small question then.
     """
-    for pivots in (*PIVOTS, 0) if whole else PIVOTS[:2]:
-        placed = cut_lineage(groups.join(labels, "node"), "placed")
-        largest = (placed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    sizes = nodes.groupBy("shape").agg(F.count("*").alias("size")).filter("size > 1")
+    draw = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PIVOTS[-1])) == 0
+    few = nodes.join(sizes, "shape").filter(draw).groupBy("shape").agg(F.sort_array(F.collect_list("node")).alias("few"))
+    close = lambda p: F.call_function("levenshtein", F.col("node"), p, F.floor(F.greatest(F.length("node"), F.length(p)) * far + 1e-9).cast("int")) >= 0
+    met = cut_lineage(nodes.join(few, "shape", "left").withColumn("hits", F.filter("few", close)).drop("few"), "met")
+    first = F.get("hits", F.lit(0))
+    same = cut_lineage(met.filter(F.size("hits") > 1).select(first.alias("a"), F.explode(F.slice("hits", 2, 1 << 20)).alias("b")).distinct(), "links")
+    ends = same.select(F.col("a").alias("node")).union(same.select("b")).distinct()
+    roots = min_label_components(same, ends).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    named = cut_lineage(_renamed(met.select(*nodes.columns, F.coalesce(first, "node").alias("label")), roots), "labels")
+    discard(met, same)
+    return named
+
+
+def _without_strays(named: DataFrame, far: float) -> DataFrame:
+    """``named`` (node, shape, label) joined by links of names outside the largest component of their shape: first with some
+    members of the shape, then, where few such names are left, with all.
+
+    One name that missed its links would else keep its whole class apart from all others.
+    """
+    for whole in (False, True):
+        largest = (named.groupBy("shape", "label").agg(F.count("*").alias("c")).groupBy("shape")
                    .agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).filter("most < size"))
-        open_ = placed.join(largest, "key").withColumn("deals", F.ceil(F.col("size") / DEALT).cast("int"))
-        draw = F.pmod(F.xxhash64("node", F.lit(pivots)), F.ceil(F.col("size") / max(pivots, 1))) == 0
-        few = open_.filter(draw if pivots else F.col("label") != F.col("main"))
-        few = few.select("key", F.pmod(F.hash("node"), "deals").alias("deal"), F.col("side").alias("side_a"), F.col("label").alias("label_a"), F.col("node").alias("a"))
-        every = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "side", "label", F.col("node").alias("b"))
-        met = spread(few, "key", "deal").join(spread(every, "key", "deal"), ["key", "deal"])
-        apart = (F.col("label_a") != F.col("label")) & (F.col("side_a").isNull() | (F.col("side_a") != F.col("side")))
-        found = cut_lineage(met.filter(apart & _alike(far)).select(F.col("label_a").alias("a"), F.col("label").alias("b")).distinct(), "links")
-        if found.head(1):
-            ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-            roots = min_label_components(found, ends).select(F.col("node").alias("label"), F.col("label").alias("root"))
-            labels = cut_lineage(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        discard(placed, found)
+        largest = cut_lineage(largest.filter(F.col("size") - F.col("most") <= STRAYS) if whole else largest, "largest")
+        placed = named.join(largest, "shape")
+        every = placed if whole else placed.filter(F.pmod(F.xxhash64("node", F.lit(STRAYS)), F.ceil(F.col("size") / STRAYS)) == 0)
+        few = placed.filter("label <> main").select("shape", F.col("label").alias("label_a"), F.col("node").alias("a"))
+        met = spread(few, "a").join(every.select("shape", F.col("label").alias("label_b"), F.col("node").alias("b")), "shape")
+        named = _merged(named, _apart(met, far))
+        discard(largest)
+    return named
+
+
+def _linked(groups: DataFrame, labels: DataFrame, far: float) -> DataFrame:
+    """``labels`` (node, label) joined by links of the members of a group with a few of them; ``groups``: key, node.
+
+    Only members of different components are compared. So a group whose members link costs a multiple of its length.
+    """
+    for pivots in PIVOTS:
+        placed = cut_lineage(groups.join(labels, "node"), "placed")
+        sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("key", "size")
+        open_ = placed.join(sizes, "key")
+        draw = F.pmod(F.xxhash64("node", F.lit(pivots)), F.ceil(F.col("size") / pivots)) == 0
+        few = open_.filter(draw).select("key", F.col("label").alias("label_a"), F.col("node").alias("a"))
+        met = spread(few, "key").join(spread(open_.select("key", F.col("label").alias("label_b"), F.col("node").alias("b")), "key"), "key")
+        labels = _merged(labels, _apart(met, far))
+        discard(placed)
     return labels
 
 
+def _digit_edits():
+    """Column function (u, v, most): by how many edits the digits of two names of these classes differ at most if the names are within ``most`` edits.
+
+    In a class all digits are 0. Names within ``most`` edits have an alignment that costs c in their classes, where h
+    digits are left out, put in or set against another character, and at most ``most - c`` digits are replaced. So their
+    digits are within ``most - c + h`` edits, and the least c for each h is found by the usual recursion. -1 where no alignment is cheap enough.
+    """
+    def reach(u, v, most):
+        import numpy as np
+        import pandas as pd
+
+        if not len(u):
+            return pd.Series([], dtype="int32")
+        lu, lv, most = u.str.len().to_numpy(), v.str.len().to_numpy(), most.to_numpy()
+
+        def codes(texts, width):
+            return np.array([[ord(c) for c in t] + [-1] * (width - len(t)) for t in texts], dtype=np.int32).reshape(len(texts), width)
+
+        n, wu, wv, hs = len(u), int(lu.max()), int(lv.max()), int(most.max()) + 1
+        a, b, zero, far = codes(u, wu), codes(v, wv), ord("0"), np.int16(10_000)
+
+        def step(cost, disturbs):
+            """One more edit, which disturbs a digit where ``disturbs``."""
+            moved = np.full_like(cost, far)
+            moved[:, 1:] = cost[:, :-1]
+            return np.where(disturbs[:, None], moved, cost) + np.int16(1)
+
+        start = np.full((n, hs), far, dtype=np.int16)
+        start[:, 0] = 0
+        row = [start]
+        for j in range(wv):
+            row.append(step(row[-1], b[:, j] == zero))
+        out = np.full((n, hs), far, dtype=np.int16)
+        for i in range(wu + 1):
+            if i:
+                digit = a[:, i - 1] == zero
+                new = [step(row[0], digit)]
+                for j in range(wv):
+                    same, other = a[:, i - 1] == b[:, j], digit != (b[:, j] == zero)
+                    best = np.where(same[:, None], row[j], step(row[j], other))
+                    best = np.minimum(best, step(row[j + 1], digit))
+                    new.append(np.minimum(best, step(new[-1], b[:, j] == zero)))
+                row = new
+            for k in np.flatnonzero(lu == i):
+                out[k] = row[lv[k]][k]
+        edits = most[:, None] - out + np.arange(hs)[None, :]
+        return pd.Series(np.where(out <= most[:, None], edits, -1).max(axis=1).astype("int32"))
+
+    return F.pandas_udf(reach, "int")
+
+
+def _left_out(digits: Column, most: Column, limit: int) -> Column:
+    """array<struct(variant, out)>: ``digits`` and what remains of them if up to ``most`` (at most ``limit``) are left out.
+
+    Strings within ``most`` edits have one in common.
+    """
+    texts = F.array(digits)
+    found = [F.transform(texts, lambda t: F.struct(t.alias("variant"), F.lit(0).alias("out")))]
+    for k in range(1, limit + 1):
+        texts = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.when(F.length(t) > 0, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>")))))
+        found.append(F.when(most >= k, F.transform(texts, lambda t: F.struct(t.alias("variant"), F.lit(k).alias("out")))).otherwise(F.array().cast("array<struct<variant:string,out:int>>")))
+    return F.concat(*found)
+
+
+def _by_digits(named: DataFrame, open_: DataFrame, far: float, every: int = 1) -> DataFrame:
+    """``named`` joined by links of names whose digits are within ``e`` edits; ``open_``: classes u and v, e.
+
+    Names meet by what remains of their digits. ``every`` takes only one in so many of these remainders; only such are followed
+    that occur in more than one component.
+    """
+    limit = open_.agg(F.max("e")).first()[0]
+    if limit is None:
+        return named
+    most = open_.select(F.col("u").alias("cls"), "e").union(open_.select("v", "e")).groupBy("cls").agg(F.max("e").alias("most"))
+    rows = named.join(most, "cls").withColumn("x", F.explode(_left_out(F.regexp_replace("node", "[^0-9]", ""), F.col("most"), limit)))
+    rows = rows.select("node", "cls", "label", "x.variant", "x.out").filter(F.pmod(F.xxhash64("variant"), F.lit(every)) == 0)
+    written = rows = cut_lineage(rows, "digits")
+    shared = rows.groupBy("variant").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("variant")
+    rows = rows.join(shared, "variant", "left_semi")
+    sides = [rows.join(open_.select(F.col(c).alias("cls"), "u", "v", "e"), "cls").filter("out <= e").select("u", "v", "variant", F.col("node").alias(n), F.col("label").alias("label_" + n))
+             for c, n in (("u", "a"), ("v", "b"))]
+    named = _merged(named, _apart(sides[0].join(sides[1], ["u", "v", "variant"]), far))
+    discard(written)
+    return named
+
+
+def _across(named: DataFrame, pairs: DataFrame, far: float) -> DataFrame:
+    """``named`` (node, cls, label) joined by all links of names of near classes; ``pairs``: classes u and v, their sizes c_u and c_v.
+
+    Pairs of classes that are one component are never looked at. A few members meet first. What is left is decided by the digits in which the names of a
+    pair may differ: names meet by equal or near digits, or, where classes are small or their digits may differ in much, all with all.
+    """
+    def still_open(pairs, named):
+        one = named.groupBy("cls").agg(F.min("label").alias("l"), F.max("label").alias("m"))
+        one = cut_lineage(one.select("cls", F.when(F.col("l") == F.col("m"), F.col("l")).alias("only")), "class-labels")
+        u, v = (one.select(F.col("cls").alias(c), F.col("only").alias("only_" + c)) for c in "uv")
+        left = pairs.join(u, "u").join(v, "v").filter("NOT coalesce(only_u = only_v, false)").drop("only_u", "only_v")
+        left = cut_lineage(left, "open")
+        discard(one)
+        return left
+
+    def side(pairs, members, cls, name):
+        return pairs.join(members.select(F.col("cls").alias(cls), F.col("node").alias(name), F.col("label").alias("label_" + name)), cls)
+
+    sizes = cut_lineage(named.groupBy("cls").agg(F.count("*").alias("size")), "sizes")
+    left = still_open(pairs, named)
+    for few in FEW:
+        drawn = named.join(sizes, "cls").filter(F.pmod(F.xxhash64("node", F.lit(few)), F.ceil(F.col("size") / few)) == 0)
+        drawn = cut_lineage(drawn, "drawn")
+        met = spread(side(left.select("u", "v"), drawn, "u", "a"), "u", "v").join(spread(side(left.select("u", "v"), drawn, "v", "b"), "u", "v"), ["u", "v"])
+        named = _merged(named, _apart(met, far))
+        # of classes this small, all members have met
+        left = still_open(left.filter((F.col("c_u") > few) | (F.col("c_v") > few)), named)
+    left = left.withColumn("e", _digit_edits()("u", "v", _most_edits(far, "u", "v")))
+    left = cut_lineage(left.filter("e >= 0"), "open")
+    digits = F.length(F.regexp_replace("u", "[^0]", "")), F.length(F.regexp_replace("v", "[^0]", ""))
+    # links are likely where digits may differ: some remainders are enough for most pairs
+    near = F.when(F.col("e") > 0, F.col("c_u") * (digits[0] + 1) + F.col("c_v") * (digits[1] + 1))
+    every = int(left.agg(F.coalesce(F.sum(near), F.lit(0))).first()[0]) // SAMPLED + 1
+    while every > 1:
+        named = _by_digits(named, left.filter("e > 0").select("u", "v", F.lit(1).alias("e")), far, every)
+        left = still_open(left, named)
+        every //= 16
+
+    def remainders(size, n):  # of up to e digits out of n
+        each, total = F.lit(1.0), F.lit(1.0)
+        for k in range(1, DELETED + 1):
+            each = each * (n - (k - 1)) / k
+            total = total + F.when(F.col("e") >= k, F.greatest(each, F.lit(0.0))).otherwise(0.0)
+        return size * total
+
+    whole = (F.col("e") > DELETED) | (F.col("e") >= F.least(*digits)) & (F.col("e") > 0) | (F.col("c_u") * F.col("c_v") <= 16 * (remainders(F.col("c_u"), digits[0]) + remainders(F.col("c_v"), digits[1])))
+    left = cut_lineage(left.withColumn("whole", whole).withColumn("deals", F.ceil(F.col("c_u") / DEALT).cast("int")), "open")
+    named = _by_digits(named, left.filter("NOT whole").select("u", "v", "e"), far)
+    a = side(left.filter("whole").select("u", "v", "deals"), named, "u", "a").withColumn("deal", F.pmod(F.hash("a"), "deals")).drop("deals")
+    b = side(left.filter("whole").select("u", "v", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")), named, "v", "b")
+    return _merged(named, _apart(spread(a, "u", "v", "deal").join(spread(b, "u", "v", "deal"), ["u", "v", "deal"]), far))
+
+
 def _shape_lists(shapes: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
     """Lists (t, sl, i, piece) through which shapes within ``t`` edits meet, as the shorter and as the longer one.
 
@@ -307,29 +504,39 @@ def similar_components(names: DataFrame, col: str, min_ratio: int) -> DataFrame:
     """(node, label): components of the distinct ``names`` under the links of ``similar_pairs``, each labelled by its least name.
 
     No pairs are kept. Names that are equal without their digits have one shape; taking characters of one kind out of
-    two strings never adds edits, so names can be linked only if their shapes are as near. Links are sought inside each shape, then
-    along lists of shapes with a common piece, then between all near shapes that are not in one component already. What links is
-    skipped; near shapes that don't link are compared in full.
+    two strings never adds edits, so names can be linked only if their shapes are as near. Names of one class are equal but for the values of
+    their digits, and their classes are as near, too. Links are sought with a few members of each shape, then
+    along lists of shapes with a common piece, then between all near classes that are not in one component already. What links is
+    skipped; near classes that don't link are told apart by the digits in which their names may differ.
     """
     far = 1 - min_ratio / 100.0
-    nodes = cut_lineage(names.select(F.col(col).alias("node"), F.regexp_replace(col, "[0-9]+", "").alias("shape")).distinct(), "nodes")
-    labels = _linked(nodes.select(F.col("shape").alias("key"), F.lit(None).cast("string").alias("side"), "node"), nodes.select("node", F.col("node").alias("label")), far, True)
+    nodes = cut_lineage(names.select(F.col(col).alias("node"), F.regexp_replace(col, "[0-9]+", "").alias("shape"), F.regexp_replace(col, "[0-9]", "0").alias("cls")).distinct(), "nodes")
+    named = _without_strays(_within(nodes, far), far)
     n = F.length("node")
     sized = nodes.groupBy("shape").agg(F.min("node").alias("node"), F.floor(F.min(n) * far + 1e-9).cast("int").alias("least"), F.floor(F.max(n) / (1 - far) * far + 1e-9).cast("int").alias("most"))
     sized = cut_lineage(sized, "shapes")
     short, long = [cut_lineage(x, "shape-lists") for x in _shape_lists(sized, far)]
     lists = short.union(long).distinct().join(sized.select("shape", "node"), "shape")
-    labels = _linked(lists.select(F.struct("t", "sl", "i", "piece").alias("key"), F.lit(None).cast("string").alias("side"), "node"), labels, far, False)
+    # one name stands for each shape here
+    own = cut_lineage(named.join(sized.select("node"), "node").select("node", "label"), "labels")
+    roots = _linked(lists.select(F.struct("t", "sl", "i", "piece").alias("key"), "node"), own, far).withColumnRenamed("label", "root")
+    named = cut_lineage(_renamed(named, own.join(roots, "node").select("label", "root").distinct()), "labels")
 
-    one = nodes.join(labels, "node").groupBy("shape").agg(F.min("label").alias("l"), F.max("label").alias("m"))
+    one = named.groupBy("shape").agg(F.min("label").alias("l"), F.max("label").alias("m"))
     one = cut_lineage(one.select("shape", F.when(F.col("l") == F.col("m"), F.col("l")).alias("only")), "shape-labels")
     a, b = short.join(one, "shape"), long.join(one.select("shape", F.col("only").alias("only_b")), "shape").withColumnRenamed("shape", "shape_b")
     met = a.join(b, ["t", "sl", "i", "piece"]).filter("shape <> shape_b AND NOT coalesce(only = only_b, false)")
     near = met.select("t", F.least("shape", "shape_b").alias("x"), F.greatest("shape", "shape_b").alias("y")).distinct().filter("levenshtein(x, y, t) >= 0").select("x", "y").distinct()
-    near = cut_lineage(near, "near-shapes")
-    sides = near.select(F.struct("x", "y").alias("key"), F.explode(F.array("x", "y")).alias("shape")).join(nodes, "shape")
-    labels = _linked(sides.select("key", F.col("shape").alias("side"), "node"), labels, far, True)
-    discard(nodes, sized, short, long, one, near)
+    near = near.union(one.filter("only IS NULL").select("shape", "shape"))
+    classes = nodes.groupBy("shape", "cls").agg(F.count("*").alias("c"))
+    u, v = (classes.select(F.col("shape").alias(x), F.col("cls").alias(c), F.col("c").alias("c_" + c)) for x, c in (("x", "u"), ("y", "v")))
+    pairs = near.join(u, "x").join(v, "y").filter("x <> y OR u <= v")
+    pairs = pairs.filter(F.call_function("levenshtein", F.col("u"), F.col("v"), _most_edits(far, "u", "v")) >= 0).select("u", "v", "c_u", "c_v")
+    pairs = cut_lineage(pairs, "near-classes")
+    named = _across(named.select("node", "cls", "label"), pairs, far)
+    least = named.groupBy("label").agg(F.min("node").alias("root"))
+    labels = cut_lineage(_renamed(named, least).select("node", "label"), "labels")
+    discard(nodes, sized, short, long, one, pairs)
     return labels
 
 
